@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecorpus.llm import chat, exact_dedup, sharding, topk
+from cuecorpus.llm import chat, exact_dedup, minhash, sharding, topk, toxicity
 from cuecorpus.llm.workspace import table
 
 QUERIES: dict = {}
@@ -50,6 +50,21 @@ FROM marked GROUP BY conv_id
 """
 
 
+def held_out(id_col: str = "doc_id"):
+    """Documents whose labels are never learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    s = toxicity.Settings()
+    model = toxicity.train(docs.select("doc_id", "text"), labels.where(~held_out()), s)
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model, s)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= s.threshold).cast("int").alias("predicted"))
+
+
 @_query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
@@ -70,6 +85,12 @@ FROM d
 """
 
 
+@_query
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of near-duplicates that it belongs to."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every hundredth vector, by integer inner product over all vectors."""
