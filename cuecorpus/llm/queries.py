@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecorpus.llm import chat, exact_dedup, minhash, sharding, suffix_dedup, topk, toxicity
+from cuecorpus.llm import chat, exact_dedup, minhash, mixing, packing, sharding, suffix_dedup, topk, toxicity
 from cuecorpus.llm.workspace import table
 
 QUERIES: dict = {}
@@ -98,6 +98,13 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: a row for each time that one is read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", packing.word_count(F.col("text")).alias("words"))
+    return mixing.mix_sources(docs, F.col("words")).select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_position").alias("position"), F.col("_tokens").alias("tokens"))
+
+
 @_query
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every hundredth vector, by integer inner product over all vectors."""
@@ -116,3 +123,12 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@_query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins of 4096 words; equal texts, whatever their case and white space, never share a bin."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", packing.word_count(F.col("text")).alias("words"), F.xxhash64(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")).alias("cluster")
+    )
+    return packing.pack(docs, F.col("words"), F.col("source"), F.col("cluster")).drop("words", "cluster")
