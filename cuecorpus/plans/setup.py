@@ -1,0 +1,17 @@
+"""The session's folder for checkpoints."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where none is set (tests on one machine), a temporary one."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
