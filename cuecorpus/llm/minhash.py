@@ -7,9 +7,11 @@ a value that no later step can beat.
 1. Each whole text becomes its set of word shingles; equal sets form a class at once, by a digest of the set.
 2. One document of each class is hashed and banded. With 32 bands of 4 slots, a pair at the limit of 0.75 shares no
    band once in 200,000 pairs.
-3. In each bucket the members are compared with a hub, not with each other, and pairs of one component are not compared
-   again. What hubs leave apart is compared pair by pair, when its band agreement allows a link at all.
-4. Pairs are confirmed on full sets; confirmed links are joined to components by joins and aggregations.
+3. In each bucket the members are compared with a hub, not with each other, on full sets; links are joined to components
+   by joins and aggregations.
+4. In buckets that the hub leaves in several components, members of different components are compared inside a task: the
+   shared elements of one set with all others are counted over postings, and only links that join components come out.
+   Large buckets are dealt into pairs of blocks of a bounded size.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: A link: 100 * shared >= LIMIT * union.
 LIMIT = 75
+#: Bytes of sets in a block of a bucket, about.
+BLOCK = 16_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 40) - 1)
 _NONE = np.uint64(2**64 - 1)
@@ -125,7 +129,66 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hubs: int = 4) -> DataFrame:
+def _join_components(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, cross: bool, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join components of one group. ``cross``: only pairs of different blocks are compared."""
+    names, comp = np.unique(comps, return_inverse=True)
+    if len(names) < 2:
+        return []
+    root = np.arange(len(names))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sizes = np.asarray([len(x) for x in sets])
+    elements = np.concatenate(sets)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    largest = np.bincount(comp).argmax()
+    out = []
+    for q in np.flatnonzero(comp != largest):  # the pairs of the largest component's own members are known
+        lo, hi = np.searchsorted(elements, sets[q], "left"), np.searchsorted(elements, sets[q], "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        shared = np.bincount(owner[at], minlength=len(sets))
+        linked = (100 * shared >= LIMIT * (sizes[q] + sizes - shared)) & (comp != comp[q])
+        if cross:
+            linked &= blocks != blocks[q]
+        for o in np.flatnonzero(linked):
+            a, b = find(comp[q]), find(comp[o])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[q]), int(ids[o])))
+    return out
+
+
+def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    last = None
+
+    def finish() -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        blocks, ids, comps, sets = zip(*held, strict=True)
+        return _join_components(np.asarray(ids), np.asarray(comps), np.asarray(blocks), last[1] != last[2], [np.frombuffer(x, np.uint64) for x in sets])
+
+    for batch in batches:
+        links = []
+        cols = [batch.column(c).to_pylist() for c in range(7)]
+        for key, lower, upper, *row in zip(*cols, strict=True):
+            if (key, lower, upper) != last:
+                links += finish()
+                held.clear()
+                last = (key, lower, upper)
+            held.append(tuple(row))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    links = finish()
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Links are pairs of documents with 100 * intersection >= 75 * union of their sets of five-word shingles;
@@ -138,38 +201,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linkable = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    keys = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = staged(keys.join(crowded, "key").distinct(), "minhash-members")
+    keys = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("key"))
+    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = staged(keys.join(crowded, "key"), "minhash-members")
     sets = staged(named.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
 
-    links, grouped, tried = None, None, None
-    for turn in range(hubs + 1):
-        placed = members.withColumn("comp", F.col("id"))
-        if grouped is not None:
-            placed = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        # Buckets that still hold several components.
-        spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), (F.min if turn % 2 == 0 else F.max)("comp").alias("hub_comp")).where("low < high")
-        if turn < hubs:
-            inside = placed.join(spread.select("key", "hub_comp"), "key")
-            pick = inside.where("comp = hub_comp").groupBy("key").agg((F.min if turn < 2 else F.max)("id").alias("hub"))
-            pairs = inside.where("comp <> hub_comp").join(pick, "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            inside = placed.join(spread.select("key"), "key")
-            other = inside.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = inside.withColumnRenamed("id", "a").join(other, "key").where("a < b AND comp <> comp_b").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "minhash-pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = confirm(pairs, sets)
-        links = staged(found if grouped is None else found.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))), "minhash-links")
-        grouped = connected(links)
+    # The member that shares the most buckets with others is the hub of each of its buckets.
+    ranked = members.select("key", "id").join(members.groupBy("id").agg(F.sum("n").alias("shared")), "id")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("shared", F.negative("id").alias("minus"))).alias("_h")).select("key", F.negative("_h.minus").alias("hub"))
+    pairs = members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = staged(confirm(pairs, sets), "minhash-links")
+    grouped = connected(links)
+
+    # Buckets of three and more that the hub left in several components.
+    placed = members.where("n > 2").join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("comp"))
+    apart = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.ceil(F.sum("n_shingles") * 8 / BLOCK).alias("blocks")).where("_low < _high")
+    rest = placed.join(apart.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rest.select("key", "id", "comp", "block", other.alias("_o")).select("key", "id", "comp", "block", F.least("block", "_o").alias("lower"), F.greatest("block", "_o").alias("upper"))
+    found = dealt.join(sets, "id").repartition("key", "lower", "upper").sortWithinPartitions("key", "lower", "upper", "id").select("key", "lower", "upper", "block", "id", "comp", "shingles").mapInArrow(_link_buckets, "a long, b long")
+    more = staged(found.distinct(), "minhash-links")
+    if not more.isEmpty():
+        grouped = connected(more.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     out = sketched.join(classes, ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
-    if grouped is not None:
-        out = out.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    out = out.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
