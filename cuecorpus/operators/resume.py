@@ -30,9 +30,9 @@ RULES = (
 def stage_hits(requests: DataFrame, cache: DataFrame, resume: bool = True) -> DataFrame:
     """``hit`` of each requested stage (``video_id``, ``stage``, ``signature``, ``artifact``): the cache holds its signature,
     under the present schema, and the artifact is there."""
-    known = cache.where(F.col("schema_version") == SCHEMA_VERSION).select("video_id", "stage", F.col("signature").alias("_s")).distinct()
-    joined = requests.join(known.withColumn("_hit", F.lit(True)), (requests["video_id"] == known["video_id"]) & (requests["stage"] == known["stage"]) & (requests["signature"] == known["_s"]), "left")
-    return joined.select(requests["video_id"], requests["stage"], requests["signature"], (F.lit(resume) & F.coalesce("_hit", F.lit(False)) & F.col("artifact")).alias("hit"))
+    known = cache.where(F.col("schema_version") == SCHEMA_VERSION).select("video_id", "stage", "signature").distinct().withColumn("_hit", F.lit(True))
+    joined = requests.join(known, ["video_id", "stage", "signature"], "left")
+    return joined.select("video_id", "stage", "signature", (F.lit(resume) & F.coalesce("_hit", F.lit(False)) & F.col("artifact")).alias("hit"))
 
 
 def plan_stages(requests: DataFrame, cache: DataFrame, modes: DataFrame, resume: bool = True) -> DataFrame:
