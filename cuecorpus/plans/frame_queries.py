@@ -227,7 +227,7 @@ _EVENTS = """SELECT video_id, seconds, 0 AS priority, seq, '[' || ts || '] ' ||
 SELECT video_id, timestamp_seconds, 1, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_seconds, image) - 1, '[' || timestamp || '] 画面：' || description || '；屏幕文字：' || visible_text || CASE WHEN uncertainty <> '' THEN '；不确定性：' || uncertainty ELSE '' END FROM v_visual"""
 
 
-@query(_EVENTS)
+@query(_EVENTS, name="timeline")
 def timeline_events(spark, d):
     return timeline.build_timeline(v.v_cues(spark, d), v.v_visual(spark, d))
 

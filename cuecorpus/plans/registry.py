@@ -8,12 +8,12 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its name; ``sql`` may name the views of the fixtures."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function of (spark, sf_dir) under its name or ``name``; ``sql`` may name the views of the fixtures."""
 
     def put(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = with_views(sql) if sql else None
+        QUERIES[name or f.__name__] = f
+        ORACLES[name or f.__name__] = with_views(sql) if sql else None
         return f
 
     return put
