@@ -108,9 +108,6 @@ def call_model(spark, d):
 
 @query()
 def summaries(spark, d):
-    from cuecorpus.plans.setup import ensure_checkpoints
-
-    ensure_checkpoints(spark)
     texts = _texts(spark, d).withColumn("source", F.when(F.col("video_id") % 2 == 0, "whisper+vision").otherwise("file"))
     got = jobs.summarize_corpus(texts, v.v_videos(spark, d), _stub, 4000, "{title}\n{source}\n{transcript}")
     return got.withColumn("chunk_lengths", F.array_join(F.transform("chunk_lengths", lambda x: x.cast("string")), "|"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuecorpus.checkpoints import ensure_checkpoints
 from cuecorpus.functions import text as t
 from cuecorpus.operators import chunking, resume, subtitles, timeline, visual
 
@@ -63,6 +64,7 @@ def summarize_corpus(transcripts: DataFrame, videos: DataFrame, make: Callable[[
     Videos whose context is too long for the model are cut into chunks of half the size and tried again, down to 1,200
     characters. Chunks are spread over tasks by themselves, so a long video is no long task.
     """
+    ensure_checkpoints(transcripts.sparkSession)
     t.render(template)  # an unknown variable is an error before anything runs
     facts = videos.select("video_id", "title", "webpage_url", "uploader", "duration")
     part_tokens, final_tokens = (PART_TOKENS, FINAL_TOKENS) if local else (None, None)

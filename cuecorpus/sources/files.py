@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cuecorpus.checkpoints import ensure_checkpoints
 from cuecorpus.functions import text as t
 from cuecorpus.operators.subtitles import EXTENSIONS
 
@@ -110,6 +111,7 @@ def upsert_corpus(df: DataFrame, path: str, buckets: int = 64, key: str = "video
     The touched buckets are checkpointed before they are replaced, as they are read and written at once.
     """
     spark = df.sparkSession
+    ensure_checkpoints(spark)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     old = spark.read.parquet(path)
     touched = df.select(bucket.alias("bucket")).distinct()
