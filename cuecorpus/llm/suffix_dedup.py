@@ -4,8 +4,9 @@ Each byte covered by a string of ``LENGTH`` bytes that also starts earlier goes.
 content: of the ``GRAM``-byte strings inside a ``LENGTH``-byte string, the one with the smallest hash (the leftmost, if
 several) is its anchor, so equal strings have equal anchors wherever they stand. A run of starts with one anchor makes
 one piece. Pieces whose anchor occurs once in the corpus hold no repeat and are left out; the others meet in the shard of
-their anchor. There, equal pieces are one piece with several places, a suffix array is induced over the pieces, and
-suffixes next to each other that share ``LENGTH`` bytes are occurrences of one string: all but the first are marked.
+their anchor. There, equal pieces are one piece with several places, a suffix array is induced over the pieces that have
+company under their anchor, and suffixes next to each other that share ``LENGTH`` bytes are occurrences of one string: all
+but the first are marked.
 
 Anchors are counted, and pieces fetched, over joins; nothing of the corpus passes through the driver. An anchor with
 more than ``hot`` places has its pieces cut into single strings, dealt by the hash of all their bytes, so that no shard
@@ -26,12 +27,14 @@ from cuecorpus.llm import suffixes
 from cuecorpus.llm.words import batches_of, mix
 from cuecorpus.llm.words import _INVERSE, _VALUE, _powers
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Places of an anchor from which its strings are dealt one by one.
 HOT = 20_000
 #: Bytes of pieces in one suffix array, about.
 BLOCK = 3_000_000
 LOWEST = -(2**63)
+#: A place of a piece: document, version of it, first byte.
+PLACE = np.dtype([("id", "<i8"), ("version", "<i4"), ("start", "<i4")])
 
 
 def pieces(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -65,7 +68,7 @@ def pieces(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, versions = (np.asarray(batch.column(c), np.int64) for c in (0, 1))
+        ids, versions = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int32)
         texts = batch.column(2).to_pylist()
         for lo, hi in batches_of(texts):
             own, _, _, keys = pieces(texts[lo:hi])
@@ -73,16 +76,16 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, keys = own[order], keys[order]
             head = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (keys[1:] != keys[:-1]))))
             n = np.diff(np.append(head, len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own[head]]), pa.array(versions[lo:hi][own[head]]), pa.array(keys[head]), pa.array(n)], names=["_id", "_version", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own[head]]), pa.array(versions[lo:hi][own[head]]), pa.array(keys[head]), pa.array(n.astype(np.int32))], names=["_id", "_version", "key", "n"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, versions = (np.asarray(batch.column(c), np.int64) for c in (0, 1))
+        ids, versions = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int32)
         texts = batch.column(2).to_pylist()
         wanted = batch.column(3)
         hot = batch.column(4)
-        for lo, hi in batches_of(texts, 2_000_000):
+        for lo, hi in batches_of(texts):
             own, first, last, keys = pieces(texts[lo:hi])
             limits = np.searchsorted(own, np.arange(hi - lo + 1))
             found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
@@ -98,16 +101,22 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         found.setdefault((int(keys[i]), text[first[i] : last[i] + LENGTH]), []).append((k, int(first[i])))
             if found:
-                places = [x for p in found.values() for x in p]
-                doc = np.asarray([p[0] for p in places]) + lo
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in found.values()]))), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[doc], versions[doc], np.asarray([p[1] for p in places], np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary()), *lists], names=["key", "piece", "ids", "versions", "starts"])
+                counts = [len(p) for p in found.values()]
+                flat = np.asarray([x for p in found.values() for x in p], np.int64)
+                places = np.empty(len(flat), PLACE)
+                places["id"], places["version"], places["start"] = ids[lo + flat[:, 0]], versions[lo + flat[:, 0]], flat[:, 1]
+                limits = np.cumsum(counts)
+                packed = [places[e - n : e].tobytes() for e, n in zip(limits, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary()), pa.array(packed, pa.binary())], names=["key", "piece", "places"])
+
 
+def judge(found: list[bytes], company: np.ndarray, piece: np.ndarray, places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Spans to remove: ids, versions, starts and ends.
 
-def judge(found: list[bytes], piece: np.ndarray, ids: np.ndarray, versions: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Spans to remove: ids, versions, starts and ends. ``found`` are distinct pieces; the other arrays hold one entry for
-    each place of a piece."""
+    ``found`` are distinct pieces; ``company`` tells those that may share a string with another one. ``piece`` and
+    ``places`` hold one entry for each place of a piece.
+    """
+    ids, versions, starts = places["id"], places["version"], places["start"].astype(np.int64)
     order = np.lexsort((starts, versions, ids, piece))
     piece, ids, versions, starts = piece[order], ids[order], versions[order], starts[order]
     fresh = np.concatenate(([True], (piece[1:] != piece[:-1]) | (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1]) | (starts[1:] != starts[:-1])))
@@ -116,7 +125,11 @@ def judge(found: list[bytes], piece: np.ndarray, ids: np.ndarray, versions: np.n
     lengths = np.asarray([len(p) for p in found], np.int64)
     # A place of a piece that isn't its first repeats all of it.
     later = [x[~first] for x in (ids, versions, starts)] + [starts[~first] + lengths[piece[~first]]]
-    fid, fver, fstart = ids[first], versions[first], starts[first]
+    own = np.flatnonzero(company)
+    if not len(own):
+        return tuple(later)
+    fid, fver, fstart = (x[first][own] for x in (ids, versions, starts))
+    found, lengths = [found[i] for i in own], lengths[own]
 
     t, at = suffixes.layout(found)
     sa = suffixes.suffix_array(t)
@@ -141,37 +154,30 @@ def judge(found: list[bytes], piece: np.ndarray, ids: np.ndarray, versions: np.n
 
 def _judge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names: dict[tuple[int, bytes], int] = {}
-    places: list[tuple[np.ndarray, ...]] = []
+    numbers: list[int] = []
+    places: list[bytes] = []
     held, last = 0, None
 
-    def finish():
+    def finish() -> Iterator[pa.RecordBatch]:
         if names:
-            out = judge([p for _, p in names], *(np.concatenate(x) for x in zip(*places, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["_id", "_version", "start", "end"])
-        names.clear()
-        places.clear()
+            keys = np.asarray([k for k, _ in names], np.int64)
+            _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            piece = np.repeat(np.asarray(numbers), [len(p) // PLACE.itemsize for p in places])
+            ids, versions, starts, ends = judge([p for _, p in names], counts[inverse] > 1, piece, np.frombuffer(b"".join(places), PLACE))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(versions), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["_id", "_version", "start", "end"])
+        for x in (names, numbers, places):
+            x.clear()
 
     for batch in batches:
-        keys, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        flat = [[np.asarray(x, np.int64) for x in (lists.flatten(), lists.value_lengths())] for lists in (batch.column(c) for c in (2, 3, 4))]
-        limits = np.concatenate(([0], np.cumsum(flat[0][1])))
-        begin, numbers = 0, []
-
-        def take(upto, begin, numbers):
-            if numbers:
-                lo, hi = limits[begin], limits[upto]
-                places.append((np.repeat(np.asarray(numbers, np.int64), flat[0][1][begin:upto]), *(f[0][lo:hi] for f in flat)))
-
-        for k, (key, piece) in enumerate(zip(keys, found, strict=True)):
+        for key, piece, own in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             if held >= BLOCK and key != last:
-                take(k, begin, numbers)
                 yield from finish()
-                begin, numbers, held = k, [], 0
+                held = 0
             if (key, piece) not in names:
                 held += len(piece)
             numbers.append(names.setdefault((key, piece), len(names)))
+            places.append(own)
             last = key
-        take(len(keys), begin, numbers)
     yield from finish()
 
 
@@ -207,12 +213,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The bytes that are kept need not be valid UTF-8: a cut may fall inside a character.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), F.xxhash64(text).alias("_version"), text.alias("text"))
-    anchors = named.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, "_id long, _version long, key long, n long")
+    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), F.hash(text).alias("_version"), text.alias("text"))
+    anchors = named.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, "_id long, _version int, key long, n int")
     repeated = anchors.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1")
     wanted = anchors.select("_id", "_version", "key").join(repeated, "key").groupBy("_id", "_version").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("places") > hot, F.col("key"))).alias("hot_keys"))
-    fetched = named.join(wanted, ["_id", "_version"]).select("_id", "_version", "text", "keys", "hot_keys").mapInArrow(_fetch, "key long, piece binary, ids array<long>, versions array<long>, starts array<long>")
-    spans = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_judge_shards, "_id long, _version long, start long, end long")
+    fetched = named.join(wanted, ["_id", "_version"]).select("_id", "_version", "text", "keys", "hot_keys").mapInArrow(_fetch, "key long, piece binary, places binary")
+    spans = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_judge_shards, "_id long, _version int, start int, end int")
     by_doc = spans.groupBy("_id", "_version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = named.join(by_doc, ["_id", "_version"], "left").select("_id", "text", "spans").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(F.when(F.col("_id") != LOWEST, F.col("_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

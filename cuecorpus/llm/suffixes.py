@@ -24,22 +24,26 @@ def _types(t: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one (S-type); the last is one."""
     n = len(t)
     differs = np.flatnonzero(t[1:] != t[:-1])
-    nxt = np.searchsorted(differs, np.arange(n))
-    out = np.ones(n, bool)
-    has = nxt < len(differs)
-    at = differs[nxt[has]]
-    out[has] = t[at] < t[at + 1]
-    return out
+    rises = t[differs] < t[differs + 1]
+    runs = np.diff(np.concatenate(([-1], differs, [n - 1])))
+    return np.repeat(np.append(rises, True), runs)
 
 
 def _spread(t, chosen, sa, heads, filled, step):
     """Place suffixes, in the order given, at the next free places of their buckets (from the left or the right)."""
     chars = t[chosen]
-    order = np.argsort(chars, kind="stable")
-    chars, chosen = chars[order], chosen[order]
     counts = np.bincount(chars, minlength=SIGMA)
-    rank = np.arange(len(chars)) - np.repeat(np.cumsum(counts) - counts, counts)
-    sa[heads[chars] + step * (filled[chars] + rank)] = chosen
+    used = np.flatnonzero(counts)
+    if len(used) > 1:
+        chosen = chosen[np.argsort(chars, kind="stable")]
+    at = 0
+    for c in used:
+        own, begin = chosen[at : at + counts[c]], heads[c] + step * filled[c]
+        if step > 0:
+            sa[begin : begin + len(own)] = own
+        else:
+            sa[begin - len(own) + 1 : begin + 1] = own[::-1]
+        at += counts[c]
     filled += counts
 
 
@@ -49,7 +53,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, counts: np.ndar
     From left to right each suffix puts its larger predecessor into place, then from right to left each puts its smaller
     one; what a bucket adds to itself is taken in turn until nothing is added.
     """
-    sa = np.full(len(t), -1, np.int64)
+    sa = np.full(len(t), -1, np.int32)
     heads = np.cumsum(counts) - counts
     tails = heads + counts - 1
     larger = np.zeros(SIGMA, np.int64)
@@ -98,7 +102,9 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     A substring runs to the next leftmost-smaller place, that included.
     """
     ends = np.append(lms[1:], len(t) - 1)
-    where = np.searchsorted(lms, ordered)
+    number = np.zeros(len(t), np.int32)
+    number[lms] = np.arange(len(lms), dtype=np.int32)
+    where = number[ordered]
     length = ends[where] - ordered + 1
     a, b = ordered[:-1], ordered[1:]
     same = length[:-1] == length[1:]
@@ -119,19 +125,23 @@ def _sort_names(names: np.ndarray, most: int) -> np.ndarray:
     The names' alphabet is as large as the string, so buckets are of one or two names each and a pass from bucket to
     bucket would be a loop over single suffixes; ``most`` is the number of names that the longest piece has.
     """
-    rank, span = names, 1
     n = len(names)
+    bits = int(names.max() + 1).bit_length()
+    span = min(62 // bits, most)
+    key = np.zeros(n, np.int64)
+    for k in range(span):
+        key <<= bits
+        key[: n - k] |= names[k:] + 1
     while True:
-        order = np.argsort(rank, kind="stable")
-        if span >= most or (len(order) and rank[order[-1]] == n - 1):
+        order = np.argsort(key)
+        ordered = key[order]
+        head = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        if span >= most or head[-1] == n - 1:
             return order
-        second = np.zeros(n, np.int64)
-        second[: n - span] = rank[span:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        s = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))
+        rank[order] = head
+        key = rank * (n + 1)
+        key[: n - span] += rank[span:] + 1
         span *= 2
 
 
@@ -158,9 +168,9 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, lengths:
     A suffix shares at most one byte less than the suffix one place to its left did; all pieces take a step to the right
     at once, starting from what is left of the step before.
     """
-    before = np.full(len(t), -1, np.int64)
+    before = np.full(len(t), -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(len(t), np.int64)
+    out = np.zeros(len(t), np.int32)
     by_length = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[by_length], lengths[by_length]
     held = np.zeros(len(starts), np.int64)
