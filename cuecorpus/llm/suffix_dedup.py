@@ -27,7 +27,7 @@ from cuecorpus.llm import suffixes
 from cuecorpus.llm.words import batches_of, mix
 from cuecorpus.llm.words import _INVERSE, _VALUE, _powers
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 20
 #: Places of an anchor from which its strings are dealt one by one.
 HOT = 20_000
 #: Bytes of pieces in one suffix array, about.
@@ -219,6 +219,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = anchors.select("_id", "_version", "key").join(repeated, "key").groupBy("_id", "_version").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("places") > hot, F.col("key"))).alias("hot_keys"))
     fetched = named.join(wanted, ["_id", "_version"]).select("_id", "_version", "text", "keys", "hot_keys").mapInArrow(_fetch, "key long, piece binary, places binary")
     spans = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_judge_shards, "_id long, _version int, start int, end int")
-    by_doc = spans.groupBy("_id", "_version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # Spans travel as plain rows: few of them meet before the exchange, and lists of one cost more than they hold.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_doc = spans.repartition(parts, "_id", "_version").groupBy("_id", "_version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = named.join(by_doc, ["_id", "_version"], "left").select("_id", "text", "spans").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(F.when(F.col("_id") != LOWEST, F.col("_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
