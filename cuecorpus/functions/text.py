@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns, constants and texts that results depend on.
-SPACE = r"[\s\x1c-\x1f]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BREAKS = "(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
 TERM_EDGE = " \t\r\n,，。.!！?？:：;；()（）[]【】<>《》\"'"
 EVIDENCE = (
@@ -35,16 +36,16 @@ VARIABLES = ("title", "source", "transcript", "chunk_index", "chunk_count", "web
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return strip(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    return strip(F.regexp_replace(c, rf"{SPACE}+", " "))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -30,8 +30,9 @@ def _emit(files: DataFrame, cues: Column, keys: tuple[str, ...]) -> DataFrame:
     rows = files.select(*keys, F.filter(cues, lambda c: c["text"] != "").alias("_all"))
     before = F.concat(F.array(F.lit(None).cast("struct<ts:string,text:string>")), F.slice("_all", 1, F.greatest(F.size("_all") - 1, F.lit(0))))
     paired = F.zip_with("_all", before, lambda c, p: F.struct(c["ts"].alias("ts"), c["text"].alias("text"), (p.isNull() | (_line(c) != _line(p))).alias("new")))
-    kept = rows.where(F.size("_all") > 0).select(*keys, F.filter(paired, lambda c: c["new"]).alias("_kept"))
-    out = kept.select(*keys, F.posexplode("_kept").alias("seq", "_c"))
+    kept = rows.select(*keys, F.filter(paired, lambda c: c["new"] & c["text"].isNotNull()).alias("_kept"))
+    # The outer form: a plain explode would have the optimizer test the array before it is made, and so make it twice.
+    out = kept.select(*keys, F.posexplode_outer("_kept").alias("seq", "_c")).where("seq IS NOT NULL")
     return out.select(*keys, F.col("seq").cast("bigint").alias("seq"), F.col("_c.ts").alias("ts"), t.timestamp_to_seconds(F.col("_c.ts")).alias("seconds"), F.col("_c.text").alias("text"))
 
 
