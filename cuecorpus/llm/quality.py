@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's n-grams are of ``ORDER`` bytes. Documents are dealt once into blocks by hash of their id. A block counts the
-n-grams of its trusted texts; counts are summed over the corpus, and continuation counts, discounts and context sums of
+The model's n-grams are of ``ORDER`` bytes. Documents are dealt into blocks by hash of their id, packed and compressed by
+the tasks that read them. A block counts the n-grams of its trusted texts; counts are summed over the corpus, and continuation counts, discounts and context sums of
 all orders follow from them by aggregation. The distinct n-grams of the corpus get their probabilities by joins with
 these tables, sharded by n-gram; each block is sent those of its own n-grams and scores its documents with them. Limits
 are quantiles of the trusted documents' perplexity in each language.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ ORDER = 5
 QUANTILE = 0.98
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 16_000_000
+#: Bytes that a task reads before it packs them.
+PACK_BYTES = 32_000_000
 
 
 def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -42,26 +45,59 @@ def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return packed[at], sizes
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in batches_of(texts):
-            grams, n = np.unique(grams_of(texts[lo:hi])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["g", "c"])
-
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (``block``, ``doc_id``, ``lang``, ``text``) as one compressed row for each block and ``PACK_BYTES`` read."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            blocks = np.asarray(rows["block"], np.int64)
+            order = np.argsort(blocks, kind="stable")
+            cuts = np.flatnonzero(np.diff(blocks[order], prepend=-1, append=-1))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                own = rows.take(pa.array(order[lo:hi])).drop_columns(["block"]).combine_chunks()
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_table(own)
+                blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array([int(blocks[order[lo]])]), pa.array([blob], pa.binary())], names=["block", "blob"])
+        held.clear()
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        blocks, texts = np.asarray(batch.column(0), np.int64), batch.column(1).to_pylist()
-        for b in np.unique(blocks):
-            own = [texts[i] for i in np.flatnonzero(blocks == b)]
-            for lo, hi in batches_of(own):
-                held[b] = np.union1d(held.get(b, np.zeros(0, np.int64)), grams_of(own[lo:hi])[0])
-    for b, grams in held.items():
-        for at in range(0, len(grams), 100_000):
-            part = grams[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b)), pa.array(part)], names=["block", "g"])
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def _unpack(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
+    for blob in blobs:
+        yield pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_py())).read_all()
+
+
+def _learn(blobs: pa.Table, trusted: pa.Table) -> pa.Table:
+    """The distinct n-grams of a block, with how often its trusted texts have them."""
+    known = np.asarray(trusted["doc_id"], np.int64)
+    block = blobs["block"][0].as_py() if blobs.num_rows else 0
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for rows in _unpack(blobs["blob"]):
+        texts = rows["text"].to_pylist()
+        ids = rows["doc_id"].combine_chunks()
+        good = np.isin(np.asarray(ids.fill_null(0), np.int64), known) & np.asarray(ids.is_valid())
+        for lo, hi in batches_of(texts):
+            own, sizes = grams_of(texts[lo:hi])
+            found, inverse = np.unique(own, return_inverse=True)
+            n = np.bincount(inverse, weights=np.repeat(good[lo:hi], sizes), minlength=len(found)).astype(np.int64)
+            both = np.union1d(grams, found)
+            total = np.zeros(len(both), np.int64)
+            total[np.searchsorted(both, grams)] += counts
+            total[np.searchsorted(both, found)] += n
+            grams, counts = both, total
+    return pa.table({"block": pa.array(np.full(len(grams), block)), "g": pa.array(grams), "c": pa.array(counts)})
 
 
 def _last(g: Column, k: int) -> Column:
@@ -117,18 +153,23 @@ def kneser_ney(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataF
     return rows.select("g", F.log("p").alias("logp"))
 
 
-def _score(docs: pa.Table, table: pa.Table) -> pa.Table:
-    texts = docs["text"].to_pylist()
+def _score(blobs: pa.Table, table: pa.Table) -> pa.Table:
     grams, logs = np.asarray(table["g"], np.int64), np.asarray(table["logp"], np.float64)
     order = np.argsort(grams)
     grams, logs = grams[order], logs[order]
-    out = np.ones(len(texts))
-    for lo, hi in batches_of(texts):
-        own, sizes = grams_of(texts[lo:hi])
-        sums = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(grams, own)] if len(own) else own)))
-        ends = np.cumsum(sizes)
-        out[lo:hi] = np.exp(-(sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1))
-    return pa.table({"doc_id": docs["doc_id"], "lang": docs["lang"], "perplexity": pa.array(out)})
+    ids, langs, found = [], [], []
+    for rows in _unpack(blobs["blob"]):
+        texts = rows["text"].to_pylist()
+        out = np.ones(len(texts))
+        for lo, hi in batches_of(texts):
+            own, sizes = grams_of(texts[lo:hi])
+            sums = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(grams, own)] if len(own) else own)))
+            ends = np.cumsum(sizes)
+            out[lo:hi] = np.exp(-(sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1))
+        ids += rows["doc_id"].to_pylist()
+        langs += rows["lang"].to_pylist()
+        found.append(out)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "perplexity": pa.array(np.concatenate(found) if found else np.zeros(0))})
 
 
 def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -142,15 +183,17 @@ def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
+    blocks = max(1, -(-size // block_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
     block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("long").alias("block")
-    dealt = docs.select(block, F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text")).repartition(blocks, "block")
+    rows = docs.select(block, F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
+    dealt = rows.mapInArrow(_pack, "block long, blob binary").repartition(parts, "block").groupBy("block")
     known = trusted.where(F.col(id_col).isNotNull()).select(block, F.col(id_col).cast("long").alias("doc_id")).distinct()
-    counts = staged(dealt.join(known, ["block", "doc_id"], "left_semi").select("text").mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kneser-ney-counts")
-    grams = staged(dealt.select("block", "text").mapInArrow(_distinct, "block long, g long"), "kneser-ney-grams")
-    logs = kneser_ney(counts, grams.select("g").distinct())
-    sent = grams.join(logs, "g").select("block", "g", "logp")
-    scored = staged(dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, perplexity double"), "kneser-ney-scores")
+    learnt = staged(dealt.cogroup(known.groupBy("block")).applyInArrow(_learn, "block long, g long, c long"), "kneser-ney-blocks")
+    counts = staged(learnt.where("c > 0").groupBy("g").agg(F.sum("c").alias("c")), "kneser-ney-counts")
+    logs = kneser_ney(counts, learnt.select("g").distinct())
+    sent = learnt.select("block", "g").join(logs, "g").select("block", "g", "logp")
+    scored = staged(dealt.cogroup(sent.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, perplexity double"), "kneser-ney-scores")
     limits = scored.join(known.select("doc_id"), "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     # One row per language.
     return (
