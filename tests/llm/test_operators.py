@@ -105,6 +105,8 @@ def test_toxicity_without_labels(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.score_documents(docs, model).first()["_score"] < 0.3
     assert toxicity.score_documents(empty(spark), model).count() == 0
+    odds, bias = toxicity.fit(["", " ?"], np.array([0, 1]), np.ones(2), toxicity.Settings())
+    assert not odds.any() and bias < 0
 
 
 # 3 suffix arrays
