@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecorpus.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity
+from cuecorpus.llm import chat, exact_dedup, minhash, mixing, packing, sharding, suffix_dedup, topk, toxicity, word_quality
 from cuecorpus.llm.workspace import table
 
 QUERIES: dict = {}
@@ -100,9 +100,9 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's perplexity under a model of all documents that are labelled as good."""
+    """Every document's perplexity under a model of words in all documents that are labelled as good."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality.score_quality(table(spark, sf_dir, "documents"), good)
+    return word_quality.score_quality(table(spark, sf_dir, "documents"), good)
 
 
 @_query
