@@ -8,9 +8,12 @@ their anchor. There, equal pieces are one piece with several places, a suffix ar
 company under their anchor, and suffixes next to each other that share ``LENGTH`` bytes are occurrences of one string: all
 but the first are marked.
 
+Equal whole texts are merged before: the first stays, and the later ones go whole without being searched.
+
 Anchors are counted, and pieces fetched, over joins; nothing of the corpus passes through the driver. An anchor with
-more than ``hot`` places has its pieces cut into single strings, dealt by the hash of all their bytes, so that no shard
-depends on how often a passage occurs.
+more than ``hot`` places has its pieces cut into single strings, dealt by the hash of all their bytes. The task that
+reads the documents keeps the smallest place of such a string and marks all others itself, so a shard gets a string once
+from each task, however often it occurs.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from cuecorpus.llm import suffixes
 from cuecorpus.llm.words import batches_of, mix
 from cuecorpus.llm.words import _INVERSE, _VALUE, _powers
+from cuecorpus.llm.workspace import staged
 
 LENGTH, GRAM = 100, 20
 #: Places of an anchor from which its strings are dealt one by one.
@@ -33,8 +37,14 @@ HOT = 20_000
 #: Bytes of pieces in one suffix array, about.
 BLOCK = 3_000_000
 LOWEST = -(2**63)
+#: Parts of a group of equal texts that look for their first one.
+SALTS = 16
+#: Single strings whose smallest place a task holds before it sends them.
+HELD = 200_000
 #: A place of a piece: document, version of it, first byte.
 PLACE = np.dtype([("id", "<i8"), ("version", "<i4"), ("start", "<i4")])
+#: Bytes that a task has marked itself.
+SPAN = np.dtype([("id", "<i8"), ("version", "<i4"), ("start", "<i4"), ("end", "<i4")])
 
 
 def pieces(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -79,7 +89,27 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own[head]]), pa.array(versions[lo:hi][own[head]]), pa.array(keys[head]), pa.array(n.astype(np.int32))], names=["_id", "_version", "key", "n"])
 
 
+def _sent(rows: list[tuple[int, bytes | None, bytes]]) -> pa.RecordBatch:
+    keys, found, packed = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary()), pa.array(packed, pa.binary())], names=["key", "piece", "places"])
+
+
+def _runs(starts: list[int]) -> list[tuple[int, int]]:
+    """Starts of marked strings as spans."""
+    at = np.unique(np.asarray(starts, np.int64))
+    head = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    return list(zip(at[head].tolist(), (at[np.append(head[1:], len(at)) - 1] + LENGTH).tolist(), strict=True))
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with their places. Rows without a piece hold spans that are marked already, and may go to any shard."""
+    least: dict[bytes, tuple[int, int, int]] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if least:
+            yield _sent([(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), s, np.array([x], PLACE).tobytes()) for s, x in least.items()])
+        least.clear()
+
     for batch in batches:
         ids, versions = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int32)
         texts = batch.column(2).to_pylist()
@@ -89,15 +119,22 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, first, last, keys = pieces(texts[lo:hi])
             limits = np.searchsorted(own, np.arange(hi - lo + 1))
             found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            later: dict[tuple[int, int], list[int]] = {}
             for k in range(hi - lo):
+                doc = (int(ids[lo + k]), int(versions[lo + k]))
                 a, b = limits[k], limits[k + 1]
                 text, mine = texts[lo + k], keys[a:b]
                 single = np.isin(mine, np.asarray(hot[lo + k].values, np.int64))
                 for i in np.flatnonzero(np.isin(mine, np.asarray(wanted[lo + k].values, np.int64))) + a:
                     if single[i - a]:
                         for s in range(first[i], last[i] + 1):
-                            piece = text[s : s + LENGTH]
-                            found.setdefault((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), piece), []).append((k, s))
+                            place = (*doc, int(s))
+                            first_ = least.setdefault(text[s : s + LENGTH], place)
+                            if place < first_:
+                                least[text[s : s + LENGTH]] = place
+                                later.setdefault(first_[:2], []).append(first_[2])
+                            elif place > first_:
+                                later.setdefault(doc, []).append(int(s))
                     else:
                         found.setdefault((int(keys[i]), text[first[i] : last[i] + LENGTH]), []).append((k, int(first[i])))
             if found:
@@ -107,7 +144,13 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places["id"], places["version"], places["start"] = ids[lo + flat[:, 0]], versions[lo + flat[:, 0]], flat[:, 1]
                 limits = np.cumsum(counts)
                 packed = [places[e - n : e].tobytes() for e, n in zip(limits, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary()), pa.array(packed, pa.binary())], names=["key", "piece", "places"])
+                yield _sent([(k, p, x) for (k, p), x in zip(found, packed, strict=True)])
+            if later:
+                keys = mix(np.asarray([d[0] for d in later], np.int64).view(np.uint64)).view(np.int64).tolist()
+                yield _sent([(key, None, np.array([(*d, a, b) for a, b in _runs(at)], SPAN).tobytes()) for key, (d, at) in zip(keys, later.items(), strict=True)])
+            if len(least) >= HELD:
+                yield from flush()
+    yield from flush()
 
 
 def judge(found: list[bytes], company: np.ndarray, piece: np.ndarray, places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -169,12 +212,17 @@ def _judge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x.clear()
 
     for batch in batches:
+        marked = np.frombuffer(b"".join(batch.column(2).filter(batch.column(1).is_null()).to_pylist()), SPAN)
+        if len(marked):
+            yield pa.RecordBatch.from_arrays([pa.array(marked[c].copy()) for c in ("id", "version", "start", "end")], names=["_id", "_version", "start", "end"])
+        batch = batch.filter(batch.column(1).is_valid())
         for key, piece, own in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             if held >= BLOCK and key != last:
                 yield from finish()
                 held = 0
             if (key, piece) not in names:
                 held += len(piece)
+            held += len(own)
             numbers.append(names.setdefault((key, piece), len(names)))
             places.append(own)
             last = key
@@ -203,6 +251,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def later_copies(named: DataFrame) -> DataFrame:
+    """``_id``, ``_version`` and ``n`` (bytes) of documents whose whole text, of ``LENGTH`` bytes and more, is that of
+    one with a smaller id."""
+    own = named.where(F.octet_length("text") >= LENGTH).select("_id", "_version", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("_h"))
+    first = own.groupBy("_h").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+    first = first.select("_h", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = own.withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
+    return salted.join(first, ["_h", "_salt"]).where("_id > _first").select("_id", "_version", "n").distinct()
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes).
 
@@ -214,11 +272,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), F.hash(text).alias("_version"), text.alias("text"))
-    anchors = named.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, "_id long, _version int, key long, n int")
+    copies = staged(later_copies(named), "suffix-copies")
+    # No filter on length here: all joins of whole texts share one exchange.
+    anchors = named.join(copies.select("_id", "_version"), ["_id", "_version"], "left_anti").select("_id", "_version", "text").mapInArrow(_anchors, "_id long, _version int, key long, n int")
     repeated = anchors.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1")
     wanted = anchors.select("_id", "_version", "key").join(repeated, "key").groupBy("_id", "_version").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("places") > hot, F.col("key"))).alias("hot_keys"))
     fetched = named.join(wanted, ["_id", "_version"]).select("_id", "_version", "text", "keys", "hot_keys").mapInArrow(_fetch, "key long, piece binary, places binary")
     spans = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_judge_shards, "_id long, _version int, start int, end int")
+    spans = spans.unionByName(copies.select("_id", "_version", F.lit(0).alias("start"), F.col("n").alias("end")))
     # Spans travel as plain rows: few of them meet before the exchange, and lists of one cost more than they hold.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_doc = spans.repartition(parts, "_id", "_version").groupBy("_id", "_version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

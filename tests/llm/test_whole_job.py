@@ -3,10 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cuecorpus.llm import word_quality
-from tests.llm.test_operators import awkward, empty, make, words  # noqa: F401
+from cuecorpus.llm import suffix_dedup, word_quality
+from tests.llm.test_operators import awkward, brute_repeats, empty, make, words  # noqa: F401
 
 
 def brute_words(text):
@@ -72,3 +73,27 @@ def test_shuffled_words_are_less_likely(spark):
     trusted = spark.range(50).withColumnRenamed("id", "doc_id")
     got = {r["doc_id"]: r["perplexity"] for r in word_quality.score_quality(docs, trusted).collect()}
     assert min(got[i] for i in range(60, 70)) > 5 * max(got[i] for i in range(50, 60))
+
+
+def test_a_hot_string_leaves_a_task_once():
+    text = words(60).encode()
+    keys = np.unique(suffix_dedup.pieces([text])[3]).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array([9, 4, 7, 4, 8]), pa.array([1] * 5, pa.int32()), pa.array([text] * 4 + [b"x" + text]), pa.array([keys] * 5), pa.array([keys] * 5)], names=list("abcde"))
+    rows = [r for b in suffix_dedup._fetch(iter([batch])) for r in b.to_pylist()]
+    places = [np.frombuffer(r["places"], suffix_dedup.PLACE) for r in rows if r["piece"] is not None]
+    assert len(places) == len(text) - 99 + 1 * (len(places) > len(text) - 99) and all(len(p) == 1 for p in places)
+    spans = {tuple(x) for r in rows if r["piece"] is None for x in np.frombuffer(r["places"], suffix_dedup.SPAN).tolist()}
+    assert {i for i, *_ in spans} == {7, 8, 9} and (9, 1, 0, len(text)) in {(i, v, min(a for j, _, a, _ in spans if j == i), max(b for j, _, _, b in spans if j == i)) for i, v, _, _ in spans}
+
+
+def test_equal_texts_are_merged_before_the_search(spark):
+    from pyspark.sql import functions as F
+
+    same, other = words(50), words(50)
+    texts = [other, same, same, same + "x", other, "short", "short", same]
+    docs = make(spark, [*enumerate(texts), (1, same)])
+    named = docs.select(F.col("doc_id").alias("_id"), F.hash(F.col("text").cast("binary")).alias("_version"), F.col("text").cast("binary").alias("text"))
+    assert sorted(r["_id"] for r in suffix_dedup.later_copies(named).collect()) == [2, 4, 7]
+    for hot in (suffix_dedup.HOT, 2):
+        got = suffix_dedup.remove_repeats(docs.where("doc_id <> 1").union(docs.where("doc_id = 1").limit(1)), hot=hot).orderBy("doc_id").collect()
+        assert [tuple(r[1:4]) + (bytes(r["kept"]),) for r in got] == brute_repeats([t.encode() for t in texts])
