@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+LONG = 40
 
 
 @dataclass(frozen=True)
@@ -47,14 +48,16 @@ class Settings:
 
 def word_features(word: str, buckets: int) -> list[int]:
     """The buckets of a word and of its n-grams of 3 to 5 characters."""
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     grams = [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in grams]
 
 
 def distinct_words(text: str) -> list[str]:
-    """A text's distinct words in order of first use."""
-    return list(dict.fromkeys(WORD.findall(text.lower())))
+    """A text's distinct words in order of first use. Of runs over ``LONG`` characters, as scripts without spaces have them,
+    each window of ``LONG`` counts as a word; windows share 4 characters, so that each n-gram of 5 is in one."""
+    found = WORD.findall(text.lower())
+    return list(dict.fromkeys(p for w in found for p in ([w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - 4, LONG - 4)])))
 
 
 def _segments(lengths: np.ndarray) -> np.ndarray:

@@ -1,12 +1,13 @@
 """Cases that a cut of the job would lose, against brute force."""
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from cuecorpus.llm import suffix_dedup, word_quality
+from cuecorpus.llm import suffix_dedup, toxicity, word_quality
 from tests.llm.test_operators import awkward, brute_repeats, empty, make, words  # noqa: F401
 
 
@@ -97,3 +98,15 @@ def test_equal_texts_are_merged_before_the_search(spark):
     for hot in (suffix_dedup.HOT, 2):
         got = suffix_dedup.remove_repeats(docs.where("doc_id <> 1").union(docs.where("doc_id = 1").limit(1)), hot=hot).orderBy("doc_id").collect()
         assert [tuple(r[1:4]) + (bytes(r["kept"]),) for r in got] == brute_repeats([t.encode() for t in texts])
+
+
+def test_toxicity_reads_long_runs_whole():
+    s = toxicity.Settings()
+    run = "".join(chr(0x4E00 + i) for i in range(200)) + "_grumblefink"
+    have = {b for w in toxicity.distinct_words(run) for b in toxicity.word_features(w, s.buckets)}
+    for n in (3, 4, 5):
+        assert all(zlib.crc32(run[i : i + n].encode()) % s.buckets in have for i in range(len(run) - n + 1))
+    odds = np.zeros(s.buckets, np.float32)
+    odds[[zlib.crc32(b"grumblefink"[i : i + 5]) % s.buckets for i in range(7)]] = 20
+    assert toxicity.Scorer(odds, -4.0, s).score(run) > 0.9
+    assert toxicity.distinct_words("A b a " + "x" * 40) == ["a", "b", "x" * 40]
