@@ -71,6 +71,12 @@ def context_terms(spark, d):
     return chunking.context_terms(vid).withColumn("terms", join("terms"))
 
 
+@query()
+def context_terms_all(spark, d):
+    """Over all videos; SQL's word bounds know ASCII only, so ``context_terms`` is held against it on such rows alone."""
+    return chunking.context_terms(v.v_videos(spark, d)).withColumn("terms", join("terms"))
+
+
 _PROMPT = "{title} {chunk_index}/{chunk_count} {source}\n```\n{transcript}\n```\n"
 
 
