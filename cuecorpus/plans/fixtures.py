@@ -198,12 +198,17 @@ def v_json3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("video_id", F.concat(F.lit('{"events":['), F.array_join(F.col("_e.e"), ","), F.lit("]}")).alias("content"))
 
 
-def v_asr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select(
+def v_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("seq"), (F.col("turn") * 20 + 0.4).alias("start"), F.when(F.col("turn") % 6 == 5, "  ").otherwise(F.col("text")).alias("text")
     )
 
 
+def v_asr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speech of a third of the videos; the others have none."""
+    return v_speech(spark, sf_dir).where("video_id % 3 = 0")
+
+
 SQL["v_asr_cues"] = """
 SELECT conv_id AS video_id, turn AS seq, printf('%02d:%02d:%02d', turn * 20 // 3600, turn * 20 % 3600 // 60, turn * 20 % 60) AS ts,
   turn * 20.0::DOUBLE AS seconds, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text

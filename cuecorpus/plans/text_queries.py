@@ -176,6 +176,12 @@ def asr_cues(spark, d):
     return subtitles.asr_to_cues(v.v_asr(spark, d))
 
 
+@query("SELECT video_id, turn AS seq, ts, seconds, text FROM v_said WHERE turn % 6 <> 5")
+def asr_cues_all(spark, d):
+    """Over all conversations."""
+    return subtitles.asr_to_cues(v.v_speech(spark, d))
+
+
 @query(r"""SELECT doc_id AS video_id, pos AS seq, line AS text FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM (SELECT doc_id, pos, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE line <> '') WHERE last IS NULL OR last <> line""")
 def adjacent_dedup(spark, d):

@@ -2,6 +2,8 @@
 
 import re
 
+import duckdb
+
 from cuecorpus.operators.chunking import TERM_PATTERNS
 from cuecorpus.plans.queries import QUERIES
 
@@ -35,3 +37,8 @@ def test_context_terms_of_all_videos(spark):
     assert wide
     for r in rows:
         assert got[r["video_id"]] == brute_terms(r["title"], r["uploader"], r["description"], r["tags"], r["categories"])
+
+
+def test_asr_cues_of_all_conversations(spark):
+    want = duckdb.sql(f"SELECT count(DISTINCT conv_id) FROM '{SF}/conversations.parquet' WHERE turn % 6 <> 5").fetchall()[0][0]
+    assert QUERIES["asr_cues_all"](spark, SF).select("video_id").distinct().count() == want
