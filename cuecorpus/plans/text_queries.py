@@ -253,3 +253,11 @@ _TEMPLATE = "{title}|{source}|{chunk_index}/{chunk_count}|{webpage_url}|{uploade
 def render_prompt(spark, d):
     c = F.col
     return v.v_videos(spark, d).select("video_id", t.render(_TEMPLATE, title=c("title"), source=F.lit("whisper"), transcript=c("description"), chunk_index=F.lit(1), chunk_count=F.lit(1), webpage_url=c("webpage_url"), uploader=c("uploader"), duration=c("video_id"), transcript_quality_note=t.quality_note(F.lit("whisper"))).alias("prompt"))
+
+
+@query(f"""SELECT video_id, title || '|whisper|1/1|' || webpage_url || '|' || coalesce(uploader, '') || '|' || coalesce(CAST(video_id AS VARCHAR), '') || '|{{x}}' || chr(10) || text || chr(10) || '{t.NOTES["whisper"]}' AS prompt FROM v_videos JOIN documents ON doc_id = video_id""")
+def render_prompt_whole(spark, d):
+    """With the whole text as transcript."""
+    c = F.col
+    rows = v.v_videos(spark, d).join(v.table(spark, d, "documents").select(c("doc_id").alias("video_id"), "text"), "video_id")
+    return rows.select("video_id", t.render(_TEMPLATE, title=c("title"), source=F.lit("whisper"), transcript=c("text"), chunk_index=F.lit(1), chunk_count=F.lit(1), webpage_url=c("webpage_url"), uploader=c("uploader"), duration=c("video_id"), transcript_quality_note=t.quality_note(F.lit("whisper"))).alias("prompt"))

@@ -42,3 +42,9 @@ def test_context_terms_of_all_videos(spark):
 def test_asr_cues_of_all_conversations(spark):
     want = duckdb.sql(f"SELECT count(DISTINCT conv_id) FROM '{SF}/conversations.parquet' WHERE turn % 6 <> 5").fetchall()[0][0]
     assert QUERIES["asr_cues_all"](spark, SF).select("video_id").distinct().count() == want
+
+
+def test_prompts_hold_whole_texts(spark):
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+    got = {r["video_id"]: r["prompt"] for r in QUERIES["render_prompt_whole"](spark, SF).collect()}
+    assert max(map(len, texts.values())) > 400 and all(texts[i] in got[i] for i in texts)
