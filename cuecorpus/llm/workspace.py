@@ -5,30 +5,50 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests on one machine), a fresh temporary folder that
-    is then set on the session."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a fresh temporary folder that is then set on the session,
+    if driver and executors are one machine. On a cluster an unset folder is an error, as executors share no local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in parts by the column ``by`` if one is named, and read it back.
 
     This cuts the lineage: a lost executor costs a reread of shared files, not a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks taken as they are."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def as_row(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
+    """The columns of ``df`` but ``skip`` in one struct, so that columns made beside it can't clash with the caller's."""
+    return F.struct(*[column(c) for c in df.columns if c not in skip])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those of types that Spark can't hash go in as JSON."""
+    odd = [f.name for f in df.schema if any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    plain = [column(c) for c in df.columns if c not in odd]
+    return F.xxhash64(F.lit(0), *plain, *([F.to_json(F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(odd)]))] if odd else []))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
