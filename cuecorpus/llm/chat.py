@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Runs of a mask whose places are summed up together.
+CHUNK = 256
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>"
 #: Strings that no formatted text may hold, besides the template's own marks.
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|im_(?:start|sep|next|end)\|>)"
@@ -40,8 +42,8 @@ def format_conversations(
 ) -> DataFrame:
     """One row per conversation: ``conv``, ``n_blocks``, ``formatted``, ``mask``.
 
-    ``mask`` is an array of runs (``length`` in code points, ``loss``) that cover ``formatted`` from its start to its
-    end; only the texts of ``trained`` roles are under the loss, without marks.
+    ``mask`` is an array of runs (``length`` in code points, ``bytes`` in UTF-8, ``loss``) that cover ``formatted`` from its
+    start to its end; only the texts of ``trained`` roles are under the loss, without marks.
 
     Null roles and texts count as empty. Rows of one turn number (ties, repeated rows) are ordered by role, then text;
     a null turn number comes first. Rows without a conversation id form one conversation of their own. Further columns
@@ -76,7 +78,7 @@ def format_conversations(
         ),
     )
     lead = lambda b: F.concat(F.lit(START), escape(b["role"]), F.lit(SEP))
-    run = lambda length, loss: F.struct(length.cast("long").alias("length"), loss.alias("loss"))
+    run = lambda text, loss: F.struct(F.length(text).cast("long").alias("length"), F.octet_length(text).cast("long").alias("bytes"), loss.alias("loss"))
     formatted = F.array_join(F.transform("_blocks", lambda b: F.concat(lead(b), F.array_join(b["texts"], NEXT), F.lit(END))), "")
     mask = F.flatten(
         F.transform(
@@ -86,12 +88,12 @@ def format_conversations(
                     F.transform(
                         b["texts"],
                         lambda t, i: F.array(
-                            run(F.when(i == 0, F.length(lead(b))).otherwise(F.lit(len(NEXT))), F.lit(False)),
-                            run(F.length(t), b["role"].isin(*trained)),
+                            run(F.when(i == 0, lead(b)).otherwise(F.lit(NEXT)), F.lit(False)),
+                            run(t, b["role"].isin(*trained)),
                         ),
                     )
                 ),
-                F.array(run(F.lit(len(END)), F.lit(False))),
+                F.array(run(F.lit(END), F.lit(False))),
             ),
         )
     )
@@ -99,41 +101,42 @@ def format_conversations(
 
 
 def read_turns(formatted: Column) -> Column:
-    """The rows that a formatted string was made from: an array of (``role``, ``text``)."""
+    """The rows that a formatted string was made from: an array of (``role``, ``text``). Each block is cut once."""
     blocks = F.filter(_cut(formatted, END), lambda b: b != "")
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                _cut(F.element_at(_cut(b, SEP), 2), NEXT),
-                lambda t: F.struct(
-                    unescape(F.substring(F.element_at(_cut(b, SEP), 1), len(START) + 1, 2**31 - 1)).alias("role"), unescape(t).alias("text")
-                ),
-            ),
-        )
-    )
+    return F.flatten(F.flatten(F.transform(blocks, lambda b: F.transform(F.array(_cut(b, SEP)), _block_turns))))
 
 
-def read_loss(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("kept"))
-    walked = F.aggregate(
-        mask,
-        start,
-        lambda acc, m: F.struct(
-            (acc["at"] + m["length"]).alias("at"),
-            F.when(m["loss"] & (m["length"] > 0), F.concat(acc["kept"], F.array(unescape(F.substr(formatted, acc["at"].cast("int"), m["length"].cast("int"))))))
-            .otherwise(acc["kept"])
-            .alias("kept"),
-        ),
-        lambda acc: F.array_join(acc["kept"], ""),
-    )
-    return walked
+def _block_turns(parts: Column) -> Column:
+    """The turns of a block that is cut into its head and its texts."""
+    roles = F.array(unescape(F.substring(parts[0], len(START) + 1, 2**31 - 1)))
+    return F.flatten(F.transform(roles, lambda role: F.transform(_cut(parts[1], NEXT), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))))
+
+
+def _running(values: Column) -> Column:
+    """Sums of all numbers up to each, a 0 in front. An array that grows is copied with each step, so it never outgrows a
+    chunk."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def read_loss(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``_loss``: all text under the loss mask, unescaped, in order.
+
+    Runs are found by their bytes, as a place in bytes is reached at once. Where they start is summed up in chunks, then
+    over the chunks' sums, so a conversation of any number of turns takes time in proportion to its length.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("mask") - 1, F.lit(0)), F.lit(CHUNK)), lambda at: F.slice("mask", at + 1, CHUNK))
+    inner = formatted.withColumn("_inner", F.transform(chunks, lambda c: _running(F.transform(c, lambda m: m["bytes"]))))
+    outer = inner.withColumn("_outer", _running(F.transform("_inner", lambda s: F.element_at(s, -1))))
+    starts = F.flatten(F.transform("_inner", lambda s, k: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + F.get("_outer", k))))
+    runs = F.filter(F.zip_with("mask", starts, lambda m, at: F.struct(m["loss"].alias("loss"), m["bytes"].alias("bytes"), at.alias("at"))), lambda r: r["loss"])
+    raw = outer.select("*", F.col("formatted").cast("binary").alias("_raw"), runs.alias("_runs"))
+    texts = F.transform("_runs", lambda r: unescape(F.substr("_raw", (r["at"] + 1).cast("int"), r["bytes"].cast("int")).cast("string")))
+    return raw.withColumn("_loss", F.array_join(texts, "")).drop("_inner", "_outer", "_raw", "_runs")
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """What the formatted strings hold, read back from them: counts and digests of turns and of the text under the loss."""
-    read = formatted.select(conv, "n_blocks", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("_t"), read_loss(F.col("formatted"), F.col("mask")).alias("_loss"))
+    read = read_loss(formatted).select(conv, "n_blocks", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("_t"), "_loss")
     return read.select(
         conv,
         F.size("_t").cast("long").alias("n_turns"),
