@@ -24,57 +24,61 @@ LOWEST = -(2**63)
 Limit = tuple[int, int]
 
 
-def _prefix(level: int) -> Column:
-    """The first ``level * BITS`` bits of a row's 128-bit key; beyond the hash, those of the id."""
+def _prefix(level: int) -> tuple[Column, Column]:
+    """The first ``level * BITS`` bits of a row's 128-bit key: those of the hash, and beyond it those of the id."""
     bits = level * BITS
-    return F.shiftright(F.col("_h"), 64 - bits) if bits <= 64 else F.shiftright(F.col("_i"), 128 - bits)
+    if bits <= 64:
+        return (F.shiftright("_h", 64 - bits) if bits else F.lit(0)), F.lit(0)
+    return F.col("_h"), F.shiftright("_i", 128 - bits)
 
 
-def _limit(level: int, prefix: int, h: int | None) -> Limit:
+def _limit(level: int, prefix: tuple[int, int]) -> Limit:
     """The lowest key that has this prefix."""
     bits = level * BITS
-    return (prefix << (64 - bits), LOWEST) if bits <= 64 else (h, prefix << (128 - bits))
+    return (prefix[0] << (64 - bits), LOWEST) if bits <= 64 else (prefix[0], prefix[1] << (128 - bits))
+
+
+def _probe(rows: DataFrame, level: int, prefixes: set[tuple[int, int]]) -> dict[tuple[int, int], list[tuple[tuple[int, int], int]]]:
+    """For each prefix of the level before, those of this level below it with their bytes, in order: ``2**BITS`` at most,
+    whatever the rows are."""
+    (a, b), (x, y) = _prefix(level - 1), _prefix(level)
+    mine = F.lit(False)
+    for p, q in sorted(prefixes):
+        mine = mine | ((a == p) & (b == q))
+    got = rows.where(mine).groupBy(a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y")).agg(F.sum("_size").alias("bytes"))
+    out: dict[tuple[int, int], list] = {p: [] for p in prefixes}
+    for r in got.orderBy("x", "y").collect():
+        out[r["a"], r["b"]].append(((r["x"], r["y"]), r["bytes"]))
+    return out
 
 
 def find_splitters(rows: DataFrame, parts: int, total: int, slack: float) -> list[Limit]:
     """Keys that cut ``rows`` (``_h``, ``_i``, ``_size``) into ``parts`` parts of near equal bytes.
 
     Limits between two hashes come first, so equal texts stay together where the tolerance allows; a larger group is cut
-    between two ids. A limit that no key can meet any closer is taken as it is. At most 128 / BITS rounds.
+    between two ids. A limit that no key can meet any closer is taken as it is. At most 128 / BITS rounds, each of which
+    sends the driver ``2**BITS`` counts a limit at most.
     """
     # For each open limit: the prefix whose rows hold its place, and the bytes below that prefix.
-    open_, found, level, whole = {k: (0, 0) for k in range(1, parts)}, {}, 0, {}
+    open_, found, level = {k: ((0, 0), 0) for k in range(1, parts)}, {}, 0
     while open_:
         level += 1
-        if level == 1:
-            inside, outer = rows, F.lit(0)
-        elif (level - 1) * BITS < 64:
-            outer = _prefix(level - 1)
-            inside = rows.where(outer.isin(sorted({p for p, _ in open_.values()})))
-        else:
-            # The hash is settled: the rows of one text each, told apart by id.
-            outer = F.col("_h") if (level - 1) * BITS == 64 else _prefix(level - 1)
-            inside = rows.where(F.col("_h").isin(sorted({whole[k] for k in open_} if level > 9 else {p for p, _ in open_.values()})))
-        if (level - 1) * BITS == 64:
-            whole = {k: p for k, (p, _) in open_.items()}
-        keys = [F.col("_h").alias("h") if level * BITS > 64 else F.lit(0).alias("h"), outer.alias("outer"), _prefix(level).alias("inner")]
-        got = inside.groupBy(*keys).agg(F.sum("_size").alias("b")).orderBy("h", "outer", "inner").collect()
+        counts = _probe(rows, level, {p for p, _ in open_.values()})
         for k, (prefix, below) in list(open_.items()):
             goal = total * k / parts
-            mine = [r for r in got if r["outer"] == prefix and (level * BITS <= 64 or r["h"] == whole[k])]
-            best, at, inner, inner_below = None, below, None, below
-            for r in mine:
+            best, at, inner = None, below, None
+            for key, size in counts[prefix]:
                 if best is None or abs(at - goal) < best[0]:
-                    best = (abs(at - goal), _limit(level, r["inner"], whole.get(k)))
+                    best = (abs(at - goal), _limit(level, key))
                 if at <= goal:
-                    inner, inner_below = r["inner"], at
-                at += r["b"]
+                    inner = (key, at)
+                at += size
             if best is None:
                 found[k] = (LOWEST, LOWEST)
             elif best[0] <= slack or level * BITS == 128:
                 found[k] = best[1]
             else:
-                open_[k] = (inner, inner_below)
+                open_[k] = inner
                 continue
             del open_[k]
     return [found[k] for k in range(1, parts)]
