@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuecorpus.llm.workspace import column, row_hash
+
 SALTS = 32
 
 
@@ -35,7 +37,10 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text are one document under one id and carry the same flag. If all ids of a group are null, ``keep_id`` is null and
     each row is flagged as kept. Other columns are ignored; an empty table gives an empty table.
 
-    The winners are found on whole texts. A document looks its winner up by 256 + 64 bits of digest.
+    The winners are found on whole texts. A document looks its winner up by 256 + 64 bits of digest, not by its text again:
+    two texts that share the SHA-256 and the other hash as well would show as two winners of one key, and no two texts of
+    one SHA-256 are known. The rows of one key on the way back are those of one text and salt; where a text has so many
+    copies that they outgrow a task, Spark's own handling of skewed joins cuts them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = _keyed(docs, id_col, normalise(text) if normalise else text, salts)
@@ -52,14 +57,16 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The documents that stay, whole rows with their columns and exactly one per text.
 
-    The row with the largest id stays; of rows that tie on it, the one whose other columns are largest in order. Columns
-    of any names pass through.
+    Null counts as empty. The row with the largest id stays, null ids before none; of rows that tie on it, the one with the
+    largest hash of all its columns. Columns of any names and types pass through; an empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rest = F.struct(F.col(id_col), *[F.col(f"`{c}`") for c in docs.columns if c != id_col and c != text_col], F.col(text_col).isNotNull().alias("_has_text"))
-    keyed = docs.select(text.alias("_text"), F.xxhash64(text).alias("_digest"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("_salt"), rest.alias("_rest"))
-    salted = keyed.groupBy("_digest", "_salt", "_text").agg(F.max("_rest").alias("_rest"))
-    winners = salted.groupBy("_digest", "_text").agg(F.max("_rest").alias("_rest"))
-    return winners.select(
-        *[F.when(F.col("_rest._has_text"), F.col("_text")).alias(c) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns]
-    )
+    rank = F.struct(F.col(id_col).alias("id"), row_hash(docs).alias("tie"))
+    rest = [c for c in docs.columns if c != text_col]
+    # The text is part of the key, so what is carried beside it is the rest of the row.
+    carried = F.struct(F.col(text_col).isNotNull().alias("known"), F.struct(F.lit(0).alias("_"), *[column(c).alias(f"c{k}") for k, c in enumerate(rest)]).alias("rest"))
+    keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("digest"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"), rank.alias("rank"), carried.alias("row"))
+    best = [F.max("rank").alias("rank"), F.max_by("row", "rank").alias("row")]
+    winners = keyed.groupBy("digest", "salt", "text").agg(*best).groupBy("digest", "text").agg(*best)
+    at = {c: k for k, c in enumerate(rest)}
+    return winners.select(*[F.when(F.col("row.known"), F.col("text")).alias(c) if c == text_col else F.col(f"row.rest.c{at[c]}").alias(c) for c in docs.columns])
