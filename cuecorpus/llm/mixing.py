@@ -15,11 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cuecorpus.llm.workspace import as_row, row_hash, staged
+
 #: Times that a source may be read over.
 REPEATS = 2.0
 #: Tokens of a block, about.
 BLOCK_TOKENS = 2_000_000
 SEED = 17
+#: Sources whose sums the driver holds; of more it learns sums over all of them only.
+SOURCES = 10_000
+#: Exponents that are tried at once, and rounds, where the driver doesn't hold the sources.
+TRIED, ROUNDS = 32, 12
+MADE = ("_epoch", "_position", "_tokens", "_at")
 
 
 def temperature_weights(tokens: dict, budget: float | None = None, repeats: float = REPEATS, entropy: float | None = None) -> tuple[float, dict]:
@@ -54,34 +61,74 @@ def temperature_weights(tokens: dict, budget: float | None = None, repeats: floa
     return high, {k: 0.0 for k in tokens} | weights(high)
 
 
-def mix_sources(docs: DataFrame, tokens: Column, source_col: str = "source", id_col: str = "doc_id", budget: int | None = None, repeats: float = REPEATS, entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_epoch``, ``_position`` and ``_tokens``: a row for each time that a document is read.
+def spread_exponent(sums: DataFrame, total: int, budget: float, repeats: float = REPEATS, entropy: float | None = None) -> float:
+    """The exponent of :func:`temperature_weights` for any number of sources (``src``, ``t`` tokens above 0).
+
+    Each round tries exponents between the last two that part those which break a limit from those which don't. For each,
+    one aggregation gives the norm, the entropy and the largest ratio of a weight to its source's tokens.
+    """
+    low, high = 0.0, 1.0
+    share = F.ln(F.col("t") / F.lit(float(total)))
+    for k in range(ROUNDS):
+        tried = [low + (high - low) * i / (TRIED - 1) for i in range(TRIED)]
+        raw = F.exp(F.col("x") * F.col("l"))
+        rows = sums.select("t", share.alias("l"), F.explode(F.array(*[F.lit(x) for x in tried])).alias("x"))
+        got = rows.groupBy("x").agg(F.sum(raw).alias("z"), F.sum(raw * F.col("l")).alias("e"), F.max(raw / F.col("t")).alias("m")).collect()
+        ok = {r["x"] for r in got if budget * r["m"] / r["z"] <= repeats * (1 + 1e-12) and (entropy is None or math.log(r["z"]) - r["x"] * r["e"] / r["z"] <= entropy + 1e-12)}
+        at = next((i for i, x in enumerate(tried) if x in ok), TRIED - 1)
+        if at == 0:
+            return tried[0]
+        low, high = tried[at - 1], tried[at]
+    return high
+
+
+def _exponent(sums: DataFrame, total: int, budget: float, repeats: float, entropy: float | None, most: int) -> tuple[float, float]:
+    """The exponent and the norm of the weights."""
+    sums = sums.where("t > 0")
+    known = sums.limit(most + 1).collect()
+    if len(known) <= most:
+        tokens = {r["src"]: r["t"] for r in known}
+        x, _ = temperature_weights(tokens, budget, repeats, entropy)
+        return x, math.fsum(math.exp(x * math.log(v / total)) for v in tokens.values())
+    x = spread_exponent(sums, total, budget, repeats, entropy)
+    return x, sums.agg(F.sum(F.exp(F.lit(x) * F.ln(F.col("t") / F.lit(float(total)))))).first()[0]
+
+
+def mix_sources(docs: DataFrame, tokens: Column, source_col: str = "source", id_col: str = "doc_id", budget: int | None = None, repeats: float = REPEATS, entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, sources: int = SOURCES) -> DataFrame:
+    """``docs`` with ``_epoch``, ``_position``, ``_tokens`` and ``_at``: a row for each time that a document is read.
 
     ``budget`` is in tokens, by default all that there are. A document is read in an epoch when the tokens before it in its
     source's order, all epochs taken together, are below the source's budget; so each source's sum passes its budget by
-    less than one document. ``_position`` is that number of tokens. A null source is a source of its own; documents
-    without tokens are read as often as the place they stand at. Rows that repeat all columns are read alike, in turn.
-    The columns named above are replaced. An empty table gives an empty table.
+    less than one document. ``_position`` is that number of tokens, ``_at`` its part of the budget: the order of ``_at``
+    reads all sources side by side, each at its weight.
+
+    A null source is a source of its own. Null and negative numbers of tokens count as none; documents without tokens are
+    read as often as the place they stand at, once if their whole source has none. Documents are dealt into blocks by a
+    hash of all their columns, so null and repeated ids are spread; rows that repeat all columns are read alike, in turn.
+    Columns of any names and types pass through, but for the four above, which are replaced. An empty table gives an empty
+    table.
 
-    The driver learns one number per source.
+    Of at most ``sources`` sources the driver learns a sum each, of more only sums over all of them.
     """
-    passed = [F.col(f"`{c}`") for c in docs.columns if c not in ("_epoch", "_position", "_tokens")]
-    src = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
-    keyed = docs.select(*passed, tokens.cast("long").alias("_tokens"), src.alias("_src"))
-    sums = {r["_src"]: r["t"] for r in keyed.groupBy("_src").agg(F.sum("_tokens").alias("t")).collect()}
-    total = sum(sums.values())
-    _, weights = temperature_weights(sums, budget, repeats, entropy)
+    src = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("src")
+    size = F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).alias("tokens")
+    mark = F.xxhash64(F.col(id_col), row_hash(docs), F.lit(seed)).alias("mark")
+    narrow = staged(docs.select(src, size, mark), "mixing-sizes")
+    sums = narrow.groupBy("src").agg(F.sum("tokens").alias("t"))
+    total = sums.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
     goal = total if budget is None else budget
-    plan = keyed.sparkSession.createDataFrame(
-        [(k, int(v), int(round(goal * weights[k])), max(1, -(-v // block_tokens))) for k, v in sums.items()] or [("", 0, 0, 1)], "_src string, _all long, _budget long, _blocks long"
-    )
-    # One row per source, one per block of a source: small beside the documents.
-    salted = keyed.join(F.broadcast(plan), "_src").withColumn("_block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("_blocks")))
-    sized = salted.groupBy("_src", "_block").agg(F.sum("_tokens").alias("_sum"), F.max("_all").alias("_all"), F.max("_budget").alias("_budget"))
-    epochs = sized.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_budget") / F.greatest("_all", F.lit(1))) - 1, F.lit(0)).cast("int"))).alias("_epoch"))
-    ordered = W.partitionBy("_src", "_epoch").orderBy(F.xxhash64("_block", "_epoch", F.lit(seed)), "_block")
-    begun = epochs.withColumn("_begin", F.col("_all") * F.col("_epoch") + F.sum("_sum").over(ordered) - F.col("_sum")).where((F.col("_begin") < F.col("_budget")) | (F.col("_epoch") == 0) & (F.col("_all") == 0))
-    read = salted.drop("_all", "_budget", "_blocks").join(begun.select("_src", "_block", "_epoch", "_begin", "_budget", "_all"), ["_src", "_block"])
-    inside = W.partitionBy("_src", "_block", "_epoch").orderBy(F.xxhash64(F.col(id_col), F.col("_epoch"), F.lit(seed)), id_col)
-    placed = read.withColumn("_position", F.col("_begin") + F.sum("_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_tokens"))
-    return placed.where((F.col("_position") < F.col("_budget")) | (F.col("_all") == 0)).select(*passed, "_epoch", "_position", "_tokens")
+    x, norm = _exponent(sums, total, goal, repeats, entropy, sources)
+    weight = F.when(F.col("t") > 0, F.exp(F.lit(x) * F.ln(F.col("t") / F.lit(float(max(total, 1))))) / F.lit(norm or 1.0)).otherwise(0.0)
+    plan = sums.select("src", F.col("t").alias("all"), F.rint(F.lit(float(goal)) * weight).cast("long").alias("budget"), F.greatest(F.lit(1), F.ceil(F.col("t") / F.lit(block_tokens))).alias("blocks"))
+    plan = staged(plan, "mixing-plan")
+    block = F.pmod("mark", F.col("blocks")).alias("block")
+    sized = narrow.join(plan, "src").groupBy("src", block, "all", "budget").agg(F.sum("tokens").alias("sum"))
+    epochs = sized.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("budget") / F.greatest("all", F.lit(1))) - 1, F.lit(0)).cast("int"))).alias("epoch"))
+    ordered = W.partitionBy("src", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block")
+    begun = epochs.withColumn("begin", F.col("all") * F.col("epoch") + F.sum("sum").over(ordered) - F.col("sum")).where((F.col("begin") < F.col("budget")) | (F.col("epoch") == 0) & (F.col("all") == 0))
+    rows = docs.select(as_row(docs, MADE).alias("row"), src, size, mark).join(plan.select("src", "blocks"), "src")
+    read = rows.select("row", "src", "tokens", "mark", block).join(begun.select("src", "block", "epoch", "begin", "budget", "all"), ["src", "block"])
+    inside = W.partitionBy("src", "block", "epoch").orderBy(F.xxhash64("mark", "epoch"), "mark").rowsBetween(W.unboundedPreceding, 0)
+    placed = read.withColumn("position", F.col("begin") + F.sum("tokens").over(inside) - F.col("tokens"))
+    kept = placed.where((F.col("position") < F.col("budget")) | (F.col("all") == 0))
+    return kept.select("row.*", F.col("epoch").alias("_epoch"), F.col("position").alias("_position"), F.col("tokens").alias("_tokens"), (F.col("position") / F.greatest("budget", F.lit(1))).alias("_at"))
