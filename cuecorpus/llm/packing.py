@@ -1,6 +1,6 @@
 """Best-fit packing of documents into bins of a fixed number of words, with conflicts.
 
-Documents are dealt into packing shards by hash of their id, so copies and hot sources are spread evenly. In a shard,
+Documents are dealt into packing shards at random, so copies and hot sources are spread evenly. In a shard,
 pieces are taken from the longest to the shortest. Open bins are ordered by what is left in them, and each carries a
 bitmap of the sources and one of the duplicate clusters it holds. The search starts at the first bin that is large enough
 and goes on to its successors until it meets one without a conflict: the tightest compatible bin. If there is none, a bin
@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuecorpus.llm.workspace import as_row, row_hash, staged
+
 #: Words that a bin holds.
 CAPACITY = 4096
 #: Documents that one task packs, about; what is left open at a shard's end is a small part of its bins.
 SHARD_ROWS = 4000
 #: Words of such a shard, at most, about.
 SHARD_WORDS = 8_000_000
+SEED = 11
 #: Pieces of one source that a bin may hold.
 PER_SOURCE = 4
 
@@ -74,54 +77,62 @@ def _numbers(values: np.ndarray, shared_only: bool) -> np.ndarray:
     return numbers[inverse]
 
 
-def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, capacity: int = CAPACITY, per_source: int = PER_SOURCE, id_col: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
+MADE = T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("bin_offset", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("piece_start", T.LongType()), T.StructField("piece_length", T.LongType())])
+
+
+def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS, shard: Column | None = None) -> DataFrame:
     """``docs`` with ``bin_id``, ``bin_offset``, ``piece``, ``piece_start`` and ``piece_length``, a row per piece.
 
     A document longer than ``capacity`` is cut into full pieces, each a bin of its own, and a rest that is packed; nothing
     is dropped. A bin's pieces don't overlap, at most ``per_source`` are of one source, and no two of one cluster (null values
-    conflict with nothing).
-    Documents without length are packed too. Null ids are dealt by the hash of the null, rows that repeat an id are packed
-    apart like any others of one source. Columns of any names pass through, but for the five above, which are replaced.
+    conflict with nothing). Documents whose length is null or negative have none, and are packed too.
+
+    Rows are dealt into shards at random, whatever their ids, so null and repeated ids and rows that repeat all columns are
+    spread evenly; ``shard``, a number from 0, overrides that. The bins of a smaller shard have the smaller numbers. The rows
+    are written to the shared folder before they are packed, so pass no more columns than are wanted. Columns of any names
+    and types pass through, but for the five above, which are replaced. An empty table gives an empty table.
     """
-    added = ("bin_id", "bin_offset", "piece", "piece_start", "piece_length")
-    passed = [c for c in docs.columns if c not in added]
-    n, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(length.cast("long")), F.lit(0))).first()
-    shards = max(1, -(-n // shard_rows), -(-words // SHARD_WORDS))
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in passed],
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(shards)).cast("long").alias("_shard"),
-        F.coalesce(length, F.lit(0)).cast("long").alias("_length"),
-        F.when(source.isNotNull(), F.xxhash64(source)).alias("_source"),
-        F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("_cluster"),
+        as_row(docs, tuple(MADE.names)).alias("row"),
+        F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("length"),
+        F.when(source.isNotNull(), F.xxhash64(source)).alias("source"),
+        F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("cluster"),
+        row_hash(docs).alias("mark"),
+        F.rand(SEED).alias("dealt") if shard is None else shard.cast("long").alias("dealt"),
     )
-    schema = T.StructType([*[f for f in docs.schema if f.name not in added], T.StructField("bin_id", T.LongType()), T.StructField("bin_offset", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("piece_start", T.LongType()), T.StructField("piece_length", T.LongType())])
+    rows = staged(keyed, "packing-rows")
+    if shard is None:
+        n, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        shards = max(1, -(-n // shard_rows), -(-words // SHARD_WORDS))
+        rows = rows.withColumn("dealt", F.floor(F.col("dealt") * F.lit(shards)).cast("long"))
+    schema = T.StructType([rows.schema["row"], *MADE])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            ids = np.asarray(batch.column(batch.num_columns - 5), np.int64)
-            cuts = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+            numbers = np.asarray(batch.column("dealt"), np.int64)
+            cuts = np.concatenate(([0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)]))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b > a:
-                    if held and ids[a] != last:
+                    if held and numbers[a] != last:
                         yield from _pack_shard(held, last, capacity, per_source)
                         held = []
                     held.append(batch.slice(a, b - a))
-                    last = ids[a]
+                    last = numbers[a]
         if held:
             yield from _pack_shard(held, last, capacity, per_source)
 
-    rows = keyed.repartition("_shard").sortWithinPartitions("_shard", id_col, "_source", "_length", "_cluster")
-    return rows.select(*[F.col(f"`{c}`") for c in passed], "_shard", "_length", "_source", "_cluster", F.lit(0).alias("_end")).mapInArrow(packed, schema)
+    sorted_ = rows.repartition("dealt").sortWithinPartitions("dealt", "mark")
+    return sorted_.select("row", "dealt", "length", "source", "cluster").mapInArrow(packed, schema).select("row.*", *MADE.names)
 
 
 def _pack_shard(batches: list[pa.RecordBatch], shard: int, capacity: int, per_source: int) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches)
     count = table.num_rows
-    lengths = np.asarray(table["_length"], np.int64)
+    lengths = np.asarray(table["length"], np.int64)
     groups = []
-    for name, shared in (("_source", False), ("_cluster", True)):
+    for name, shared in (("source", False), ("cluster", True)):
         column = table[name].combine_chunks()
         known = np.asarray(column.is_valid())
         numbers = np.full(count, -1, np.int64)
@@ -142,7 +153,7 @@ def _pack_shard(batches: list[pa.RecordBatch], shard: int, capacity: int, per_so
         "piece_start": piece * capacity,
         "piece_length": np.where(is_rest, rest[row], capacity),
     }
-    out = table.drop_columns(["_shard", "_length", "_source", "_cluster", "_end"]).take(pa.array(row))
+    out = table.select(["row"]).take(pa.array(row))
     for name, values in cols.items():
         out = out.append_column(name, pa.array(values))
     yield from out.to_batches(max_chunksize=2000)
