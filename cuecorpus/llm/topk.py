@@ -1,13 +1,14 @@
 """Exact top-k search by inner product, exhaustive and term at a time.
 
-The query set is cut into chunks of a stated number of rows; a chunk is the only thing that is broadcast. For a chunk,
-each task walks over its candidates in blocks: a block is turned into postings per component, each posting list is
+The query set is cut into chunks of a stated number of rows and bytes; a chunk is the only thing that is broadcast, and it
+is gone from the driver before the next one comes. For a chunk, each task walks over its candidates in blocks: a block is turned into postings per component, each posting list is
 scattered, weighted by the queries' components, into a dense array of scores, and a partial selection keeps the best k
 of each query. The tasks' selections are merged by rank.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Queries broadcast at once.
-CHUNK = 20_000
+from cuecorpus.llm.workspace import shared_dir, staged
+
+#: Queries broadcast at once, and bytes of their components.
+CHUNK, CHUNK_BYTES = 20_000, 64_000_000
 #: Queries and candidates that meet in one array of scores.
 QUERY_BLOCK, ROW_BLOCK = 256, 4096
 LOWEST = np.iinfo(np.int64).min
@@ -67,7 +70,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, chunk: int = CHUNK) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Each query's k best candidates: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
     Candidates are all rows whose id is not the query's own. Vectors that are null, hold a null or a component that is
@@ -75,29 +78,36 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     Repeated candidate rows count once each. Vectors of unlike lengths are compared on the components both have. Fewer
     than k candidates give fewer rows, no query gives none.
 
-    The work is queries times rows, as the exhaustive search asks. Chunks of ``chunk`` queries are the only data that
-    is broadcast or passes through the driver; each chunk is one more scan of the vectors.
+    The work is queries times rows, as the exhaustive search asks. Each chunk of at most ``chunk`` queries and
+    ``chunk_bytes`` bytes is one more scan of the vectors; its best rows are written to the shared folder and its broadcast
+    is destroyed before the next chunk is read.
     """
+    spark = vectors.sparkSession
     usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("q"), is_query.alias("is_query")).where("q IS NOT NULL AND vec_id IS NOT NULL")
-    asked = usable.where("is_query").groupBy("vec_id").agg(F.min("q").alias("q"))
-    n = asked.count()
-    chunks = max(1, -(-n // chunk))
+    asked = staged(usable.where("is_query").groupBy("vec_id").agg(F.min("q").alias("q")), "topk-queries")
+    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    # A chunk's rows are those of one hash class; one that comes out larger is cut again below.
+    most = max(1, min(chunk, chunk_bytes // (8 * max(width, 1))))
+    chunks = max(1, -(-n // most))
+    parts = staged(asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")), "topk-chunks", by="chunk")
     schema = "query_id long, vec_id long, score long"
-    merged: DataFrame | None = None
-    for c in range(chunks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).orderBy("vec_id").toArrow()
-        names = np.asarray(rows["vec_id"], dtype=np.int64)
-        lists = rows["q"].combine_chunks()
-        width = int(np.max(np.asarray(lists.value_lengths()), initial=0)) if len(lists) else 0
-        part = _search(usable, names, _matrix(lists, width) if len(lists) else np.zeros((0, 0), np.int64), k, schema)
-        merged = part if merged is None else merged.unionByName(part)
+    path = f"{shared_dir(spark)}/topk-best-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for c in range(chunks if n else 0):
+        rows = parts.where(F.col("chunk") == c).select("vec_id", "q").toArrow()
+        for at in range(0, rows.num_rows, most):
+            own = rows.slice(at, most)
+            lists = own["q"].combine_chunks()
+            lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+            longest = int(np.max(np.asarray(lists.value_lengths()), initial=0))
+            sent = spark.sparkContext.broadcast((np.asarray(own["vec_id"], dtype=np.int64), _matrix(lists, longest)))
+            _search(usable, sent, k, schema).write.mode("append").parquet(path)
+            sent.destroy()
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    return spark.read.schema(schema).parquet(path).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-def _search(usable: DataFrame, names: np.ndarray, queries: np.ndarray, k: int, schema: str) -> DataFrame:
-    sent = usable.sparkSession.sparkContext.broadcast((names, queries))
 
+def _search(usable: DataFrame, sent, k: int, schema: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
         s, i = np.full((len(names), k), LOWEST), np.full((len(names), k), np.iinfo(np.int64).max)
