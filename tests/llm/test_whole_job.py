@@ -102,11 +102,31 @@ def test_equal_texts_are_merged_before_the_search(spark):
 
 def test_toxicity_reads_long_runs_whole():
     s = toxicity.Settings()
+    features = lambda w: set(toxicity.word_features([w], s.buckets)[0].tolist())
     run = "".join(chr(0x4E00 + i) for i in range(200)) + "_grumblefink"
-    have = {b for w in toxicity.distinct_words(run) for b in toxicity.word_features(w, s.buckets)}
+    have = set().union(*map(features, toxicity.words_of(run)))
+    inner = lambda g: features(f"{g}") - features("")
     for n in (3, 4, 5):
-        assert all(zlib.crc32(run[i : i + n].encode()) % s.buckets in have for i in range(len(run) - n + 1))
+        assert all(inner(run[i : i + n]) & have for i in range(len(run) - n + 1))
     odds = np.zeros(s.buckets, np.float32)
-    odds[[zlib.crc32(b"grumblefink"[i : i + 5]) % s.buckets for i in range(7)]] = 20
-    assert toxicity.Scorer(odds, -4.0, s).score(run) > 0.9
-    assert toxicity.distinct_words("A b a " + "x" * 40) == ["a", "b", "x" * 40]
+    odds[list(features("grumblefink"))] = 20
+    scorer = toxicity.Scorer(odds, -4.0, s, cache=3)
+    assert scorer.score(run) > 0.9 and scorer.scores(["a b c d e", run, "", "x"])[1] > 0.9
+    assert toxicity.words_of("A b a " + "x" * 40) == ["a", "b", "x" * 40]
+
+
+def test_word_features_do_not_depend_on_their_neighbours():
+    at, owner = toxicity.word_features(["ab", "", "longer", "é😀"], 2**20)
+    for k, w in enumerate(["ab", "", "longer", "é😀"]):
+        assert sorted(at[owner == k].tolist()) == sorted(toxicity.word_features([w], 2**20)[0].tolist())
+        assert (owner == k).sum() == 1 + sum(max(0, len(w) + 2 - n + 1) for n in (3, 4, 5))
+
+
+def test_toxicity_on_documents_it_never_saw(spark):
+    """The share of labelled toxic documents that are caught, and of clean ones that are not left alone, held out."""
+    from cuecorpus.llm.queries import QUERIES
+
+    rows = QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 100 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.015
