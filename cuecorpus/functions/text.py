@@ -31,6 +31,20 @@ NOTES = {
 NOTE_OTHER = "转写文本可能存在识别、清洗或断句错误；请结合上下文保守总结，不要编造原文没有的信息。"
 NOTE_VISION = " 画面描述由本地视觉模型生成，也可能存在漏读或误判；不确定内容不得当作事实。"
 LANGUAGE_WARNING = "标题包含较多英文术语；如果视频主要是英文，建议使用 --language en 或 --language auto 提升 Whisper 识别质量。"
+DOWNLOAD_HINTS = {
+    "bilibili_precondition_failed": [
+        "B 站返回 412，通常是风控或未携带有效登录态。",
+        "请优先尝试 --cookies /app/cookies/cookies.txt，或 --cookies-from-browser edge/chrome/firefox。",
+        "如果在 Docker 中读取浏览器 cookies，请先把浏览器 profile 挂载进容器，或导出 cookies.txt。",
+    ],
+    "rate_limited": ["上游服务限流，请稍后重试。"],
+    "insufficient_quota": ["OpenAI API 额度不足，请检查 API billing 和项目 quota。"],
+}
+MODEL_HINTS = {
+    "insufficient_quota": ["OpenAI API 额度不足，ChatGPT Plus 不等于 API 额度。", "程序会尽量生成 chatgpt_prompt.md，你可以复制到 ChatGPT 手动总结。"],
+    "rate_limited": ["请求被限流，请稍后重试或换用 --export-prompt。"],
+    "llm_error": ["可以使用 --export-prompt 导出提示词后手动总结。"],
+}
 ASR_LEAD = "视频元数据中出现的关键词包括："
 VARIABLES = ("title", "source", "transcript", "chunk_index", "chunk_count", "webpage_url", "uploader", "duration", "transcript_quality_note")
 
@@ -58,8 +72,21 @@ def split_lines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: Lower case letters that full case folding changes further, such as sharp s, final sigma and ligatures.
+FOLDED = {x: x.casefold() for x in map(chr, range(0x110000)) if x.casefold() != x == x.lower()}
+
+
 def casefold(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, and the letters that fold further one by one in texts that hold any."""
+    low = F.lower(c)
+    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    folded = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(low.rlike("[" + "".join(FOLDED) + "]"), folded).otherwise(low)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def cut(c: Column, n: int | Column) -> Column:
@@ -175,6 +202,23 @@ def model_error(message: Column) -> Column:
     )
 
 
+def _hints(code: Column, hints: dict[str, list[str]]) -> Column:
+    out = F.array().cast("array<string>")
+    for name, lines in hints.items():
+        out = F.when(code == name, F.array(*[F.lit(x) for x in lines])).otherwise(out)
+    return out
+
+
+def download_hints(code: Column) -> Column:
+    """What to try after a download failed with ``code``."""
+    return _hints(code, DOWNLOAD_HINTS)
+
+
+def model_hints(code: Column) -> Column:
+    """What to try after a model's call failed with ``code``."""
+    return _hints(code, MODEL_HINTS)
+
+
 def is_context_length(message: Column) -> Column:
     low = F.lower(message)
     return low.contains("context length") | low.contains("context window") | low.contains("too long") | low.contains("exceeds the context")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from cuecorpus.functions import text as t
@@ -46,35 +45,33 @@ def frames_from_showinfo(files: DataFrame, logs: DataFrame, scan_interval: float
     return rows.withColumn("timestamp", stamp).where("timestamp IS NOT NULL").select("video_id", "path", "timestamp", F.col("kind").alias("source"))
 
 
-def _ordered(frames: DataFrame, fold, schema: T.StructType) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = group.assign(_late=group["source"] != "scene").sort_values(["timestamp", "_late", "path"], kind="stable").drop(columns="_late")
-        return fold(order)[[f.name for f in schema]]
-
-    return frames.groupBy("video_id").applyInPandas(run, schema)
+def _ordered(frames: DataFrame, fold) -> DataFrame:
+    """Frames in order by video through a stream that holds no more than a row of state."""
+    rows = frames.repartition("video_id").withColumn("_late", F.col("source") != "scene").sortWithinPartitions("video_id", "timestamp", "_late", "path").drop("_late")
+    return rows.mapInArrow(fold, frames.schema)
 
 
 def merge_near_frames(frames: DataFrame) -> DataFrame:
     """Frames at most a second after the last kept one go; a scene frame takes the place of the last kept one."""
-    return _ordered(frames, lambda g: folds.merge_and_filter(g, None, None), frames.schema)
+    return _ordered(frames, folds.select_frames(True, False))
 
 
 def drop_similar_frames(frames: DataFrame, max_gap: float, threshold: int = 10) -> DataFrame:
     """Frames like the last kept one and less than ``max_gap`` after it go, scenes excepted."""
-    return _ordered(frames, lambda g: folds.filter_similar(g, max_gap, threshold), frames.schema)
+    return _ordered(frames, folds.select_frames(False, True, max_gap, threshold))
 
 
-def _chosen(position: Column, n: Column, count: Column) -> Column:
-    """Whether the row at ``position`` (from 0) of ``n`` is one of ``count`` spread evenly."""
-    # Rows count as chosen when some i in [0, count) rounds, half to even, to their position.
+def spread_evenly(position: Column, n: Column, count: Column) -> Column:
+    """Whether one of ``count`` places, spread evenly over ``n`` rows from the first to the last and rounded half to even,
+    is ``position`` (from 0)."""
     near = F.floor(position * (count - 1) / F.greatest(n - 1, F.lit(1)))
     hit = lambda i: (i >= 0) & (i < count) & (F.rint(i * (n - 1).cast("double") / F.greatest(count - 1, F.lit(1))) == position)
-    return (
-        F.when(count <= 0, False)
-        .when(n <= count, True)
-        .when(count == 1, position == F.floor(n / 2))
-        .otherwise(hit(near) | hit(near + 1) | hit(near - 1))
-    )
+    return hit(near) | hit(near + 1) | hit(near - 1)
+
+
+def _chosen(position: Column, n: Column, count: Column) -> Column:
+    """Whether the row at ``position`` (from 0) of ``n`` is one of ``count`` spread evenly; one alone is the middle."""
+    return F.when(count <= 0, False).when(n <= count, True).when(count == 1, position == F.floor(n / 2)).otherwise(spread_evenly(position, n, count))
 
 
 def even_sample(df: DataFrame, count: int | Column, partition: list[str], order: list) -> DataFrame:
@@ -112,8 +109,7 @@ def select_keyframes(frames: DataFrame, videos: DataFrame, min_scan: float = 5,
     """Plan, merge, drop similar, cap and name; all by video, over one partitioning."""
     plan = sampling_plan(videos.select("video_id", "duration"), min_scan, max_gap, max_frames).select("video_id", "max_gap", "max_frames")
     joined = frames.join(plan, "video_id")
-    schema = joined.schema
-    kept = _ordered(joined, lambda g: folds.merge_and_filter(g, float(g["max_gap"].iloc[0]), threshold), schema)
+    kept = _ordered(joined, folds.select_frames(True, True, "max_gap", threshold))
     return name_keyframes(cap_frames(kept, "max_frames").drop("max_gap", "max_frames"))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from cuecorpus.functions import text as t
 from cuecorpus.operators import folds
 
+MARK = "……"
+#: Lines that meet a transcript at once.
+LINES = 1000
+
 
 def nearby_context(frames: DataFrame, cues: DataFrame, window: float = 15, max_chars: int = 500) -> DataFrame:
     """``context`` of each frame: the cues at most ``window`` seconds away, in transcript order, cut to ``max_chars``.
@@ -34,13 +36,10 @@ def nearest_cue(frames: DataFrame, cues: DataFrame, max_chars: int = 500) -> Dat
     both = c.select("video_id", F.col("seconds").alias("at"), F.lit(None).cast("string").alias("path"), F.struct("_cue.seq", F.col("seconds"), "_cue.text").alias("_cue")).unionByName(
         frames.select("video_id", F.col("timestamp").alias("at"), "path"), allowMissingColumns=True
     )
-    order = W.partitionBy("video_id").orderBy("at", F.col("path").isNotNull())
-    rows = both.withColumns(
-        {
-            "_back": F.last("_cue", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)),
-            "_ahead": F.first("_cue", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)),
-        }
-    ).where("path IS NOT NULL")
+    own, late = W.partitionBy("video_id"), F.col("path").isNotNull()
+    # Both windows grow from their start, so each row costs the same; cues come before the frames of their time in both.
+    before, after = own.orderBy("at", late), own.orderBy(F.desc("at"), late)
+    rows = both.withColumns({k: F.last("_cue", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)) for k, w in (("_back", before), ("_ahead", after))}).where("path IS NOT NULL")
     far = lambda c: F.abs(F.col(f"{c}.seconds") - F.col("at"))
     ahead = F.col("_back").isNull() | (F.col("_ahead").isNotNull() & ((far("_ahead") < far("_back")) | ((far("_ahead") == far("_back")) & (F.col("_ahead.seq") < F.col("_back.seq")))))
     return rows.select("video_id", "path", t.rstrip(t.cut(F.when(ahead, F.col("_ahead.text")).otherwise(F.col("_back.text")), max_chars)).alias("context")).where("context IS NOT NULL")
@@ -131,28 +130,45 @@ def visual_lines(frames: DataFrame) -> DataFrame:
     return rows.withColumn("norm", t.normalize_line(F.col("line")))
 
 
+def _is_boilerplate(shown: Column, frames: Column) -> Column:
+    return (shown >= F.greatest(F.lit(3), F.floor((frames + 3) / 4))) & (F.length("norm") <= 40)
+
+
 def boilerplate_lines(frames: DataFrame) -> DataFrame:
     """Lines of at most 40 characters that a quarter of a video's frames, and three at least, show."""
     counted = visual_lines(frames).select("video_id", "image", "norm").distinct().groupBy("video_id", "norm").agg(F.count(F.lit(1)).alias("n"))
     sizes = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"))
-    least = F.greatest(F.lit(3), F.floor((F.col("frames") + 3) / 4))
-    return counted.join(sizes, "video_id").where((F.col("n") >= least) & (F.length("norm") <= 40)).select("video_id", "norm", "n")
+    return counted.join(sizes, "video_id").where(_is_boilerplate(F.col("n"), F.col("frames"))).select("video_id", "norm", "n")
 
 
-def remove_subtitle_overlap(lines: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Screen lines but for those of four characters and more that the transcript holds.
+def spoken_lines(lines: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Distinct lines (``video_id``, ``norm``) of four characters and more that the video's transcript holds.
 
-    Only the distinct lines of a video are searched for, each once.
+    A video's lines meet its transcript as lists of about ``LINES``, so the transcript travels once for each list and not
+    for each line, and a video of any number of lines is more than one row.
     """
-    spoken = transcripts.select("video_id", t.normalize_line(F.col("text")).alias("_spoken"))
     long = lines.where(F.length("norm") >= 4).select("video_id", "norm").distinct()
-    said = long.join(spoken, "video_id").where(F.col("_spoken").contains(F.col("norm"))).select("video_id", "norm")
-    return lines.join(said, ["video_id", "norm"], "left_anti").select(*lines.columns)
+    lists = long.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / LINES).alias("lists"))
+    dealt = long.join(lists, "video_id").groupBy("video_id", F.pmod(F.xxhash64("norm"), F.col("lists")).alias("list")).agg(F.collect_list("norm").alias("norms"))
+    spoken = transcripts.select("video_id", t.normalize_line(F.col("text")).alias("spoken"))
+    found = dealt.join(spoken, "video_id").select("video_id", F.filter("norms", lambda x: F.col("spoken").contains(x)).alias("norms"))
+    return found.select("video_id", F.explode("norms").alias("norm"))
+
+
+def remove_subtitle_overlap(lines: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Screen lines but for those of four characters and more that the transcript holds."""
+    return lines.join(spoken_lines(lines, transcripts), ["video_id", "norm"], "left_anti").select(*lines.columns)
 
 
 def useful_lines(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Lines that are neither boilerplate nor spoken."""
+    sizes = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("_frames"))
     lines = visual_lines(frames)
-    return remove_subtitle_overlap(lines.join(boilerplate_lines(frames), ["video_id", "norm"], "left_anti").select(*lines.columns), transcripts)
+    # A line counts once for each frame that shows it: where it is the first such line of the frame.
+    first = F.row_number().over(W.partitionBy("video_id", "norm", "image").orderBy("pos")) == 1
+    counted = lines.withColumn("_first", first.cast("int")).withColumn("_shown", F.sum("_first").over(W.partitionBy("video_id", "norm")))
+    kept = counted.join(sizes, "video_id").where(~_is_boilerplate(F.col("_shown"), F.col("_frames"))).select(*lines.columns)
+    return remove_subtitle_overlap(kept, transcripts)
 
 
 def new_screen_lines(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -166,14 +182,24 @@ def new_screen_lines(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def compact_visual(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Visual frames without repeated lines, and without those that add nothing."""
-    rows = new_screen_lines(frames, transcripts).withColumn("description", t.collapse("description")).withColumn("description_key", t.casefold(F.col("description")))
-    schema = T.StructType([f for f in rows.schema if f.name not in ("delta_lines", "description_key")])
+    """Visual frames without repeated lines, and without those that add nothing.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return folds.compact(group.sort_values(["timestamp_seconds", "image"], kind="stable"))[[f.name for f in schema]]
-
-    return rows.groupBy("video_id").applyInPandas(run, schema)
+    A frame with new lines stays. One without goes if it is of low importance, or if its description is like that of the
+    last frame that stayed. Frames with lines part a video into segments; only what has no lines passes through Python, and
+    segments are dealt by themselves, so a long video is many tasks.
+    """
+    rows = new_screen_lines(frames, transcripts).withColumn("description", t.collapse("description")).withColumn("_key", t.casefold(F.col("description")))
+    order = W.partitionBy("video_id").orderBy("timestamp_seconds", "image").rowsBetween(W.unboundedPreceding, 0)
+    has = F.size("delta_lines") > 0
+    rows = rows.withColumns({"_segment": F.sum(has.cast("int")).over(order), "_head": F.last(F.when(has, F.col("_key")), True).over(order)})
+    plain = rows.where(~has & ~F.col("importance").eqNullSafe("low")).select("video_id", F.col("_segment").alias("segment"), "timestamp_seconds", "image", F.col("_key").alias("key"), F.col("_head").alias("head"))
+    stream = plain.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "timestamp_seconds", "image")
+    stay = stream.mapInArrow(folds.unlike_last, plain.schema).select("video_id", "image", "timestamp_seconds", F.lit(True).alias("_stay"))
+    kept = rows.join(stay, ["video_id", "image", "timestamp_seconds"], "left").where(has | F.coalesce("_stay", F.lit(False)))
+    short = lambda c, most: F.when(F.length(c) > most, F.concat(t.rstrip(t.cut(c, most)), F.lit(MARK))).otherwise(c)
+    shown = kept.withColumn("visible_text", short(F.array_join("delta_lines", "\n"), F.lit(240)))
+    said = shown.withColumn("description", short(F.col("description"), F.when(F.col("visible_text") != "", 80).otherwise(120)))
+    return said.select(*frames.columns)
 
 
 def vision_metrics(batches: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden cases of the library's operators, row models of its folds, and what must hold whatever the input."""
 
+import difflib
 import json
 import random
 from datetime import datetime
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuecorpus.functions import text as t
-from cuecorpus.operators import chunking, folds, keyframes, resume, subtitles, timeline, visual
+from cuecorpus.operators import chunking, keyframes, resume, subtitles, timeline, visual
 from cuecorpus.plans import jobs
 from cuecorpus.sources import files
 
@@ -138,15 +139,47 @@ def test_compaction(spark):
     assert lines == [f"参数 {'ABCDE'[i]}{i}x" for i in range(4)]
 
 
-def test_event_budget():
+COMMAND = "$ npx skills add owner/repo --skill example"
+
+
+def kept_events(texts, budget):
+    """Places and texts of the events within a budget, one choice after the other."""
+    total, n = sum(len(x) + 1 for x in texts), len(texts)
+    if budget <= 0:
+        return []
+    if total <= budget:
+        return list(enumerate(texts))
+    want = max(1, min(n, n * budget // total))
+    proof = [i for i, x in enumerate(texts) if "npx skills" in x]
+    if want == 1:
+        chosen = {n // 2}
+    else:
+        held = min(len(proof), max(1, want // 5))
+        chosen = set(proof[len(proof) - held :])
+        chosen |= {round(i * (n - 1) / max(want - held - 1, 1)) for i in range(want - held)}
+        while len(chosen) < want:
+            away = {i: min(abs(i - c) for c in chosen) for i in range(n) if i not in chosen}
+            chosen.add(min(i for i in away if away[i] == max(away.values())))
+    each = max(1, budget // len(chosen) - 1)
+    tail = "……" if each > 2 else ""
+    out = [(i, texts[i] if len(texts[i]) <= each else texts[i][: max(1, each - len(tail))].rstrip() + tail) for i in sorted(chosen)]
+    return [x for k, x in enumerate(out) if sum(len(y) + 1 for _, y in out[: k + 1]) <= budget]
+
+
+def test_event_budget(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        texts = ["x" * rng.randint(0, 60) + rng.choice(["", " $ npx skills add owner/repo --skill example"]) for _ in range(rng.randint(1, 25))]
-        budget = rng.randint(0, 900)
-        kept = folds.limit_events(texts, budget)
-        assert sum(len(x) + 1 for _, x in kept) <= max(budget, 0) and [i for i, _ in kept] == sorted({i for i, _ in kept})
-    texts = ["画面" * 60 for _ in range(9)] + ["$ npx skills add owner/repo --skill example"]
-    assert any("npx skills add owner/repo --skill example" in x for _, x in folds.limit_events(texts, 650))
+    cases = [(["x" * rng.randint(0, 60) + rng.choice(["", "", f" {COMMAND}"]) for _ in range(rng.randint(1, 70))], rng.randint(0, 1500)) for _ in range(150)]
+    cases += [([f"{i} " + rng.choice(["y", COMMAND]) * 9 for i in range(40)], b) for b in range(30, 1200, 60)]
+    cases.append((["画面" * 60 for _ in range(9)] + [COMMAND], 650))
+    rows = [(k, float(i), f"{i:03d}", x) for k, (texts, _) in enumerate(cases) for i, x in enumerate(texts)]
+    events = spark.createDataFrame(rows, "video_id long, seconds double, image string, text string")
+    budgets = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(cases)], "video_id long, budget long")
+    got = {}
+    for r in timeline.limit_visual_events(events, budgets).collect():
+        got.setdefault(r["video_id"], []).append((int(r["seconds"]), r["text"]))
+    for k, (texts, budget) in enumerate(cases):
+        assert sorted(got.get(k, [])) == kept_events(texts, budget), (k, texts, budget)
+    assert any(COMMAND in x for _, x in got[len(cases) - 1])
 
 
 def test_timeline_keeps_all_cues(spark):
@@ -159,21 +192,95 @@ def test_timeline_keeps_all_cues(spark):
     assert text.index("[00:00:05] 话语5") < text.index("[00:00:05] 画面") < text.index("[00:00:06] 话语6")
 
 
+def packed(text, most):
+    if len(text) <= most:
+        return [text]
+    parts = [line[k : k + most] for line in text.splitlines() for k in range(0, max(1, len(line)), most)]
+    out = [[]]
+    for x in parts:
+        if out[-1] and sum(len(y) + 1 for y in out[-1]) + len(x) + 1 > most:
+            out.append([])
+        out[-1].append(x)
+    return ["\n".join(x) for x in out]
+
+
+def balanced(text, most):
+    if len(text) <= most:
+        return [text]
+    out, rest = [], text
+    for left in range(-(-len(text) // most), 1, -1):
+        even = -(-len(rest) // left)
+        breaks = [b for b, c in enumerate(rest) if c == "\n" and 1 <= b <= max(even, most)]
+        near = [max((b for b in breaks if b <= even), default=None), min((b for b in breaks if b >= even), default=None)]
+        ends = [b + 1 for b in near if b is not None]
+        end = min(ends, key=lambda x: abs(x - even), default=even)
+        out.append(rest[:end].rstrip("\n"))
+        rest = rest[end:]
+    return [*out, rest.lstrip("\n")]
+
+
 def test_chunks(spark):
     rng = random.Random(2)
-    for text, n, apart in (("\n".join(["x" * 180] * 50), 2, 500), ("\n".join(["y" * 80] * 90), 2, 300)):
-        parts = folds.split_even(text, 5000)
-        assert len(parts) == n and max(map(len, parts)) - min(map(len, parts)) < apart
-    for _ in range(200):
-        text = "".join(rng.choice("ab\n") for _ in range(rng.randint(0, 200)))
-        most = rng.randint(1, 50)
-        for f in (folds.split_packed, folds.split_even):
-            assert "".join(f(text, most)).replace("\n", "") == text.replace("\n", "")
-        assert all(len(x) <= most for x in folds.split_packed(text, most))
+    long = ["\n".join(["x" * 180] * 50), "\n".join(["y" * 80] * 90)]
+    cases = [(x, 5000) for x in long] + [("".join(rng.choice("ab\n字😀") for _ in range(rng.randint(0, 200))), rng.randint(1, 50)) for _ in range(300)]
+    cases += [("a\r\nb\x0bc\u2028d\n" * 9, 7), ("\n" * 40, 3), ("", 1), (None, 5)]
+    df = spark.createDataFrame([(k, x, n) for k, (x, n) in enumerate(cases)], "video_id long, text string, most int")
+    for split, model in ((chunking.split_text, packed), (chunking.split_text_balanced, balanced)):
+        got = {}
+        for r in split(df, F.col("most")).orderBy("video_id", "chunk_index").collect():
+            got.setdefault(r["video_id"], []).append(r["text"])
+            assert r["n_chars"] == len(r["text"])
+        for k, (x, n) in enumerate(cases):
+            assert got.get(k) == (None if x is None else model(x, n)), (split, x, n)
+    for k, apart in ((0, 500), (1, 300)):
+        sizes = [len(x) for x in balanced(*cases[k])]
+        assert len(sizes) == 2 and max(sizes) - min(sizes) < apart
     with pytest.raises(ValueError):
         chunking.split_text(said(spark, "x"), 0)
 
 
+def test_full_case_folding(spark):
+    values = ["ΟΔΟΣ ﬁ", "Straße ẞ", "ſK", "ꭰᏸ", "ᾳ İI ŉ", "plain ASCII", "", "Ǆ ﬗ"]
+    assert cells(spark, values, t.casefold) == [x.casefold() for x in values]
+
+
+def model_compact(rows):
+    """Rows (description, new lines, importance) in order, one after the other."""
+    out, last = [], ""
+    for i, (key, lines, importance) in enumerate(rows):
+        alike = bool(last and key) and difflib.SequenceMatcher(None, last, key).ratio() >= 0.88
+        if lines or not (key == last or alike or importance == "low"):
+            out.append(i)
+            last = key
+    return out
+
+
+def test_compaction_against_a_row_model(spark):
+    rng = random.Random(8)
+    said_ = ["the quick brown fox jumps", "the quick brown fox jumped", "another scene", "", "another scene!"]
+    rows = [(v, i, rng.choice(said_), f"only {v} {i}" if rng.random() < 0.2 else "", rng.choice(["low", "medium", "high"])) for v in range(30) for i in range(40)]
+    frames_ = spark.createDataFrame([(v, float(i), "00:00:00", f"{i:04d}", "periodic", d, x, m, "") for v, i, d, x, m in rows], "video_id long, timestamp_seconds double, timestamp string, image string, frame_source string, description string, visible_text string, importance string, uncertainty string")
+    none = spark.createDataFrame([], "video_id long, text string")
+    got = {}
+    for r in visual.compact_visual(frames_, none).collect():
+        got.setdefault(r["video_id"], []).append(int(r["timestamp_seconds"]))
+    for v in range(30):
+        own = [(d, x, m) for w, _, d, x, m in rows if w == v]
+        assert sorted(got.get(v, [])) == model_compact(own)
+
+
+def test_texts_of_frames_are_cut(spark):
+    got = visual.compact_visual(shown(spark, [(5, "d" * 200, "字" * 500, "high"), (9, "e" * 200, "", "high")]), said(spark, "")).orderBy("timestamp_seconds").collect()
+    assert [(r["description"], r["visible_text"]) for r in got] == [("d" * 80 + "……", "字" * 240 + "……"), ("e" * 120 + "……", "")]
+
+
+def test_hints(spark):
+    logs = ["HTTP Error 412: x", "429", "insufficient_quota", "else"]
+    code = lambda c: t.download_error(c, F.lit("https://b23.tv/x"))
+    assert [len(x) for x in cells(spark, logs, lambda c: t.download_hints(code(c)))] == [3, 1, 1, 0]
+    assert [len(x) for x in cells(spark, ["exceeded your current quota", "Rate limit", "?"], lambda c: t.model_hints(t.model_error(c)))] == [2, 1, 1]
+
+
 def test_context_terms(spark):
     v = spark.createDataFrame([(1, "使用 LLaMA-3.1 and GPT Store", "Ann", "GPT store; see https://x.y GPT Store again", ["tag one", "x" * 31], ["cat"])], "video_id long, title string, uploader string, description string, tags array<string>, categories array<string>")
     terms = chunking.context_terms(v).first()["terms"]
