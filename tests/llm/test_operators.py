@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuecorpus.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, suffix_dedup, suffixes, topk, toxicity
 from cuecorpus.llm.components import connected
+from cuecorpus.llm.spread import join_spread
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = np.random.default_rng(3)
@@ -252,6 +254,46 @@ def test_superminhash_estimates():
     assert (alone[0] == signs[0]).all()
 
 
+def test_no_pair_near_the_limit_is_lost(spark):
+    """Pairs at 0.75 and a little above: all links are found, by signatures and by prefixes alike."""
+    rng = random.Random(77)
+    texts, links = [], 0
+    for k in range(150):
+        n = rng.randint(60, 300)
+        base = [f"p{k}w{i}" for i in range(n + 4)]
+        # Words at the end change: d shingles of n differ on both sides, (n - d) / (n + d) is just 0.75 or more.
+        d = n // 7
+        other = base[: n + 4 - d] + [f"q{k}w{i}" for i in range(d)]
+        links += 100 * (n - d) >= 75 * (n + d)
+        texts += [" ".join(base), " ".join(other)]
+    docs = make(spark, list(enumerate(texts)))
+    assert links == 150
+    for exact in (False, True):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, exact=exact).collect()}
+        assert all(got[2 * k + 1] == 2 * k for k in range(150)), exact
+
+
+def test_prefixes_against_brute_force(spark):
+    rng = random.Random(3)
+    base = [words(rng.randint(3, 60), 40).split() for _ in range(25)]
+    rows = []
+    for k in range(140):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"n{k}"
+        rows.append((k, " ".join(w)))
+    want = brute_near(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(make(spark, rows), exact=True).collect()}
+    assert got == want
+
+
+def test_join_spread(spark):
+    left = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("k"))
+    right = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = join_spread(left, right, "k", "id", crowd=40)
+    assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted((i, k, 2 * k) for i, k in map(tuple, left.collect()))
+
+
 def test_near_duplicates_awkward(spark, awkward):
     got = minhash.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
