@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cuecorpus.llm import exact_dedup, minhash, mixing, packing, toxicity
 from cuecorpus.llm.queries import held_out
-from cuecorpus.llm.workspace import staged, table
+from cuecorpus.llm.workspace import as_row, column, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; it is fitted on labelled rows of these documents."""
     s = toxicity.Settings()
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out()), s)
-    return toxicity.score_documents(docs, model, s).where(F.col("_score") < s.threshold).drop("_score")
+    rows = docs.select(as_row(docs).alias("row"), "text")
+    return toxicity.score_documents(rows, model, s).where(F.col("_score") < s.threshold).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +32,42 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources reads them."""
-    words = packing.word_count(F.col("text"))
-    return mixing.mix_sources(docs, words).select(*docs.columns)
+    """Documents as often as the mix of sources reads them, written in the order in which it reads them.
+
+    The order is that of the files and of the rows in a file: each part holds what is read within an equal share of all
+    sources' budgets.
+    """
+    mixed = mixing.mix_sources(docs, packing.word_count(F.col("text")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_turn = mixed.repartitionById(parts, F.least(F.floor(F.col("_at") * parts), F.lit(parts - 1)).cast("int"))
+    return by_turn.sortWithinPartitions("_at", "_epoch", "doc_id").select(*[column(c) for c in docs.columns])
+
+
+def _reading_shards(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``_shard``: packing shards of neighbours in the order of files and rows; none if ``docs`` isn't read from
+    files."""
+    try:
+        read = docs.select("doc_id", "source", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return None
+    rows = read.groupBy("_file").agg(F.ceil((F.max("_row") + 1) / packing.SHARD_ROWS).alias("_shards"))
+    # One row for each file that the stage before wrote.
+    first = rows.select("_file", (F.sum("_shards").over(W.orderBy("_file")) - F.col("_shards")).alias("_first"))
+    return read.join(first, "_file").withColumn("_shard", F.col("_first") + F.floor(F.col("_row") / packing.SHARD_ROWS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document; a document that is read twice never meets itself in a bin."""
-    narrow = docs.select("doc_id", "source", packing.word_count(F.col("text")).alias("words"))
-    return packing.pack(narrow, F.col("words"), F.col("source"), F.col("doc_id")).drop("words")
+    """The place of every piece of every document; a document that is read twice never meets itself in a bin.
+
+    Documents are packed with their neighbours in the mix's order, so the numbers of bins follow that order.
+    """
+    words = packing.word_count(F.col("text")).alias("words")
+    ordered = _reading_shards(docs)
+    if ordered is None:
+        narrow, shard = docs.select("doc_id", "source", words), None
+    else:
+        narrow, shard = ordered.select("doc_id", "source", words, "_shard"), F.col("_shard")
+    return packing.pack(narrow, F.col("words"), F.col("source"), F.col("doc_id"), shard=shard).drop("words", "_shard")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
