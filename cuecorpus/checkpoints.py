@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where none is set (tests on one machine), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where none is set, a temporary one
+    if driver and executors are one machine, and an error otherwise."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

@@ -22,6 +22,7 @@ EVIDENCE = (
 )
 VISUAL_LEAST, VISUAL_MOST, VISUAL_RATIO = 800, 3200, 0.25
 RETRY_TOKENS = 2600
+CUT_SHORT = ("length", "max_tokens")
 NOTES = {
     "whisper": "本文本由 Whisper 音频转写生成，可能存在专有名词、英文术语、产品名、人名、数字、标点和断句错误。请结合上下文只修正明显误识别；无法确定时保守表述，不要编造原文没有的信息。",
     "auto_subtitle": "本文本来自平台自动字幕，可能存在自动识别错误。请结合上下文只修正明显误识别；无法确定时保守表述，不要编造原文没有的信息。",
@@ -227,7 +228,7 @@ def is_context_length(message: Column) -> Column:
 def response_status(content: Column, finish_reason: Column) -> Column:
     reason = F.coalesce(F.lower(strip(finish_reason)), F.lit(""))
     return (
-        F.when(reason.isin("length", "max_tokens"), "truncated")
+        F.when(reason.isin(*CUT_SHORT), "truncated")
         .when(reason == "", "missing_reason")
         .when(reason != "stop", "abnormal")
         .when(strip(F.coalesce(content, F.lit(""))) == "", "empty")

@@ -53,41 +53,71 @@ def _blocks(content: Column, vtt: bool) -> Column:
     return F.filter(cues, lambda c: c["ts"].isNotNull())
 
 
-def parse_srt(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    return _emit(files, _blocks(F.col(content), False), keys)
-
-
-def parse_vtt(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    return _emit(files, _blocks(F.col(content), True), keys)
-
-
-def parse_json3(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    """Caption events; a start that isn't a whole number of milliseconds leaves the cue untimed."""
-    events = F.from_json(F.col(content), "events array<struct<tStartMs:bigint,segs:array<struct<utf8:string>>>>")["events"]
-    cues = F.transform(
+def _events(content: Column) -> Column:
+    events = F.from_json(content, "events array<struct<tStartMs:bigint,segs:array<struct<utf8:string>>>>")["events"]
+    return F.transform(
         F.coalesce(events, F.array().cast("array<struct<tStartMs:bigint,segs:array<struct<utf8:string>>>>")),
         lambda e: F.struct(
             F.when(e["tStartMs"].isNotNull(), t.format_timestamp(e["tStartMs"] / 1000)).alias("ts"),
             t.clean_cue_text(F.coalesce(F.array_join(F.transform(e["segs"], lambda s: F.coalesce(s["utf8"], F.lit(""))), ""), F.lit(""))).alias("text"),
         ),
     )
-    return _emit(files, cues, keys)
 
 
 def _untimed(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.lit(None).cast("string").alias("ts"), t.collapse(x).alias("text")))
 
 
+def _markup(content: Column) -> Column:
+    return _untimed(t.split_lines(F.regexp_replace(content, "<[^>]+>", "\n")))
+
+
+def _plain(content: Column) -> Column:
+    lines = F.transform(t.split_lines(content), t.strip)
+    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"(?U)^\d+\z") & ~x.contains("-->"))
+    return _untimed(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), r"\{\\.*?\}", "")))
+
+
+#: The cues of a file's content by its extension.
+FORMATS = {
+    ".srt": lambda c: _blocks(c, False),
+    ".vtt": lambda c: _blocks(c, True),
+    ".json3": _events,
+    **dict.fromkeys((".srv1", ".srv2", ".srv3", ".ttml"), _markup),
+    ".ass": _plain,
+}
+
+
+def parse_srt(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    return _emit(files, _blocks(F.col(content), False), keys)
+
+
+def parse_vtt(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    return _emit(files, _blocks(F.col(content), True), keys)
+
+
+def parse_json3(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Caption events; a start that isn't a whole number of milliseconds leaves the cue untimed."""
+    return _emit(files, _events(F.col(content)), keys)
+
+
 def parse_markup(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Text between tags; entities stay as they are."""
-    return _emit(files, _untimed(t.split_lines(F.regexp_replace(F.col(content), "<[^>]+>", "\n"))), keys)
+    return _emit(files, _markup(F.col(content)), keys)
 
 
 def parse_plain(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Lines other than blank ones, numbers and time lines, without tags and override codes."""
-    lines = F.transform(t.split_lines(F.col(content)), t.strip)
-    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"(?U)^\d+\z") & ~x.contains("-->"))
-    return _emit(files, _untimed(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), r"\{\\.*?\}", ""))), keys)
+    return _emit(files, _plain(F.col(content)), keys)
+
+
+def parse_files(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Files of all known formats in one pass, each row by the parser of its ``ext``."""
+    cues = None
+    for ext, parse in FORMATS.items():
+        mine, own = F.col("ext") == ext, parse(F.col(content))
+        cues = F.when(mine, own) if cues is None else cues.when(mine, own)
+    return _emit(files.where(F.col("ext").isin(*FORMATS)), cues, keys)
 
 
 def drop_adjacent_duplicates(cues: DataFrame) -> DataFrame:

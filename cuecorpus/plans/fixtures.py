@@ -32,11 +32,11 @@ def v_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         i.alias("video_id"),
         i.cast("string").alias("id"),
-        F.substring(first, 1, 60).alias("title"),
+        first.alias("title"),
         F.concat(F.lit("https://video.example/"), i.cast("string")).alias("webpage_url"),
         F.when(i % 5 != 0, F.col("source")).alias("uploader"),
         F.when(i % 7 != 0, F.col("n_chars") / 4.0).alias("duration"),
-        F.substring("text", 1, 400).alias("description"),
+        F.col("text").alias("description"),
         F.array("lang", "source", second).alias("tags"),
         F.array("lang").alias("categories"),
         F.when(i % 4 == 0, empty).when(i % 4 == 1, F.array("lang")).when(i % 4 == 2, F.array(F.lit("en"), F.lit("zh"))).otherwise(F.array(F.lit("en"))).alias("subtitle_langs"),
@@ -45,9 +45,9 @@ def v_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["v_videos"] = """
-SELECT doc_id AS video_id, CAST(doc_id AS VARCHAR) AS id, substring(split_part(text, chr(10), 1), 1, 60) AS title,
+SELECT doc_id AS video_id, CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS title,
   'https://video.example/' || doc_id AS webpage_url, CASE WHEN doc_id % 5 <> 0 THEN source END AS uploader,
-  CASE WHEN doc_id % 7 <> 0 THEN n_chars / 4.0::DOUBLE END AS duration, substring(text, 1, 400) AS description,
+  CASE WHEN doc_id % 7 <> 0 THEN n_chars / 4.0::DOUBLE END AS duration, text AS description,
   [lang, source, split_part(text, chr(10), 2)] AS tags, [lang] AS categories,
   CASE doc_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [lang] WHEN 2 THEN ['en', 'zh'] ELSE ['en'] END AS subtitle_langs,
   CASE WHEN doc_id % 3 = 0 THEN ['ai-zh'] ELSE []::VARCHAR[] END AS automatic_caption_langs
@@ -97,30 +97,30 @@ def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "scene").otherwise("periodic").alias("source"),
         "event_id",
         "event_type",
-        (F.col("event_id") % 4).alias("vec_id"),
+        (F.floor(F.col("event_id") / 3) % _n(table(spark, sf_dir, "embeddings"), "vec_id")).alias("vec_id"),
     )
-    hashes = v_hash(spark, sf_dir).where("vec_id < 4")
-    return rows.join(F.broadcast(hashes), "vec_id").drop("vec_id")
+    return rows.join(v_hash(spark, sf_dir), "vec_id").drop("vec_id")
 
 
 SQL["v_frames"] = """
 SELECT e.user_id AS video_id, 'e' || lpad(CAST(e.event_id AS VARCHAR), 8, '0') || '.jpg' AS path,
   floor((epoch_us(e.ts) - 1704067200000000) / 6000000) / 1000.0::DOUBLE AS timestamp,
   CASE WHEN e.event_type = 'error' THEN 'scene' ELSE 'periodic' END AS source, e.event_id, e.event_type, h.hash_value
-FROM events e JOIN v_hash h ON h.vec_id = e.event_id % 4"""
+FROM events e JOIN v_hash h ON h.vec_id = e.event_id // 3 % (SELECT count(DISTINCT vec_id) FROM embeddings)"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_frames(spark, sf_dir).select("video_id", "path", "timestamp", "source", "hash_value")
 
 
-def v_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model says of each frame, in whole texts."""
     docs = table(spark, sf_dir, "documents")
     n = _n(docs, "doc_id")
     line = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit(""))
-    d = docs.select(F.col("doc_id"), F.substring("text", 1, 120).alias("description"), F.substring(line, 1, 60).alias("_second"))
+    d = docs.select(F.col("doc_id"), F.col("text").alias("description"), line.alias("_second"))
     lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    cue = v_cues(spark, sf_dir).select("video_id", F.col("seq").alias("_seq"), F.substring("text", 1, 30).alias("_said"))
+    cue = v_cues(spark, sf_dir).select("video_id", F.col("seq").alias("_seq"), F.col("text").alias("_said"))
     f = v_frames(spark, sf_dir).withColumns({"doc_id": F.col("event_id") % n, "_seq": F.col("event_id") % 8})
     rows = f.join(d, "doc_id").join(lab, "doc_id", "left").join(cue, ["video_id", "_seq"], "left")
     e = F.col("event_id")
@@ -146,12 +146,12 @@ def v_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL["v_visual"] = """
+SQL["v_shown"] = """
 SELECT f.video_id, f.timestamp AS timestamp_seconds,
   printf('%02d:%02d:%02d', CAST(floor(f.timestamp) AS BIGINT) // 3600, CAST(floor(f.timestamp) AS BIGINT) % 3600 // 60, CAST(floor(f.timestamp) AS BIGINT) % 60) AS timestamp,
-  f.path AS image, f.source AS frame_source, substring(d.text, 1, 120) AS description,
-  concat_ws(chr(10), 'Kanal ' || f.video_id, 'Status: ' || f.event_type, substring(c.text, 1, 30),
-    nullif(substring(split_part(d.text, chr(10), 2), 1, 60), ''), CASE WHEN f.event_id % 40 = 0 THEN '$ pip install pkg' || f.event_id END) AS visible_text,
+  f.path AS image, f.source AS frame_source, d.text AS description,
+  concat_ws(chr(10), 'Kanal ' || f.video_id, 'Status: ' || f.event_type, c.text,
+    nullif(split_part(d.text, chr(10), 2), ''), CASE WHEN f.event_id % 40 = 0 THEN '$ pip install pkg' || f.event_id END) AS visible_text,
   CASE WHEN l.toxic = 1 THEN 'low' WHEN l.quality = 1 THEN 'high' ELSE 'medium' END AS importance,
   CASE WHEN f.event_id % 9 = 0 THEN 'unsure' ELSE '' END AS uncertainty, f.event_id
 FROM v_frames f JOIN documents d ON d.doc_id = f.event_id % (SELECT count(DISTINCT doc_id) FROM documents)
@@ -159,6 +159,17 @@ LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labe
 LEFT JOIN v_cues c ON c.video_id = f.video_id AND c.seq = f.event_id % 8"""
 
 
+def v_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with what was said of them, cut as the answers of models are when they are attached."""
+    cut = lambda c, n: t.rstrip(t.cut(t.strip(F.col(c)), n)).alias(c)
+    rows = v_shown(spark, sf_dir)
+    return rows.withColumns({"description": cut("description", 160), "visible_text": cut("visible_text", 320)})
+
+
+SQL["v_visual"] = """
+SELECT * REPLACE (rtrim(substring(trim(description, ' ' || chr(10) || chr(9)), 1, 160), ' ' || chr(10) || chr(9)) AS description, rtrim(substring(trim(visible_text, ' ' || chr(10) || chr(9)), 1, 320), ' ' || chr(10) || chr(9)) AS visible_text) FROM v_shown"""
+
+
 def v_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transcript text of each video of v_cues."""
     from cuecorpus.operators.subtitles import cues_to_text
@@ -272,7 +283,7 @@ SQL["v_modes"] = "SELECT doc_id AS video_id, doc_id % 4 < 2 AS with_vision, doc_
 
 def v_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers for batches of four frames: plain, fenced, in prose, with an index as text, with an item missing."""
-    v = v_visual(spark, sf_dir)
+    v = v_shown(spark, sf_dir)
     from cuecorpus.operators.visual import assign_batches
 
     b = assign_batches(v.select("video_id", F.col("image").alias("path"), F.col("timestamp_seconds").alias("timestamp"), F.col("frame_source").alias("source"), "description", "visible_text", "importance", "uncertainty"), 4)

@@ -174,7 +174,7 @@ def vision_metrics(spark, d):
     return visual.vision_metrics(_batches(spark, d).withColumns({"seconds": F.col("n") * 0.25, "split": F.col("batch") % 3 == 0}))
 
 
-@query("""WITH b AS (SELECT v.*, k // 4 AS batch, k % 4 + 1 AS index FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_seconds, image) - 1 AS k FROM v_visual) v),
+@query("""WITH b AS (SELECT v.*, k // 4 AS batch, k % 4 + 1 AS index FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_seconds, image) - 1 AS k FROM v_shown) v),
 j AS (SELECT *, CASE WHEN batch % 10 = 6 AND count(*) OVER (PARTITION BY video_id, batch) = 1 THEN 'no_frames' WHEN batch % 10 = 6 THEN 'missing_item' END AS error FROM b)
 SELECT video_id, CAST(batch AS INTEGER) AS batch, CASE WHEN error IS NULL THEN CAST(index AS INTEGER) END AS index, error, CASE WHEN error IS NULL THEN image END AS image, CASE WHEN error IS NULL THEN timestamp END AS timestamp,
   CASE WHEN error IS NULL THEN rtrim(substring(trim(description, ' ' || chr(10)), 1, 160), ' ' || chr(10)) END AS description,

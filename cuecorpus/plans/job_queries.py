@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from cuecorpus.functions import text as t
@@ -56,33 +58,21 @@ def chunk_stats(spark, d):
     return got.withColumn("chunk_lengths", F.array_join(F.transform("chunk_lengths", lambda x: x.cast("string")), "|"))
 
 
-_TERM = "trim(trim(regexp_replace(regexp_replace(x, 'https?://[^ \\n]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ,，。.!！?？:：;；()（）[]【】<>《》\"''' || chr(10)))"
-_FOUND = "list_concat(list_concat(regexp_extract_all({c}, '\\b[A-Za-z][A-Za-z0-9]*(?:[.+_-][A-Za-z0-9]+)+\\b'), regexp_extract_all({c}, '\\b[A-Za-z]*[A-Z][A-Za-z0-9]*(?:\\s+[A-Za-z]*[A-Z][A-Za-z0-9]*){{0,2}}\\b')), regexp_extract_all({c}, '\\b[A-Za-z]+(?:\\s+[A-Z][A-Za-z0-9]+){{1,2}}\\b'))"
-
-
-@query(f"""WITH RECURSIVE a AS (SELECT video_id, coalesce(title, '') AS title, coalesce(uploader, '') AS uploader, coalesce(description, '') AS description, tags, categories FROM v_videos WHERE regexp_full_match(concat_ws(' ', title, uploader, description, tags[3]), '[\\x00-\\x7f]*')),
-c AS (SELECT video_id, list_filter(list_transform(list_concat(list_concat(list_concat({_FOUND.format(c='title')}, {_FOUND.format(c='uploader')}), {_FOUND.format(c='description')}), list_concat(list_filter(tags[1:12], lambda x: length(x) <= 30), list_filter(categories[1:8], lambda x: length(x) <= 30))), lambda x: {_TERM}), lambda x: length(x) BETWEEN 2 AND 60) AS terms FROM a),
-walk AS (SELECT video_id, terms, []::VARCHAR[] AS kept, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS i FROM c
-  UNION ALL SELECT video_id, terms, CASE WHEN ok THEN list_append(kept, x) ELSE kept END, CASE WHEN ok THEN size + length(x) + 2 ELSE size END, i FROM (SELECT video_id, terms, kept, size, i + 1 AS i, terms[i + 1] AS x,
-    len(list_filter(kept, lambda k: contains(lower(k), lower(terms[i + 1])))) = 0 AND size + length(terms[i + 1]) <= 800 AS ok FROM walk WHERE i < len(terms)))
-SELECT video_id, array_to_string(kept, '|') AS terms, CASE WHEN len(kept) > 0 THEN '{t.ASR_LEAD}' || array_to_string(kept, '、') END AS asr_prompt FROM walk WHERE i = len(terms)""")
-def context_terms(spark, d):
-    vid = v.v_videos(spark, d).where(F.concat_ws(" ", "title", "uploader", "description", F.element_at("tags", 3)).rlike(r"^[\x00-\x7f]*\z"))
-    return chunking.context_terms(vid).withColumn("terms", join("terms"))
-
-
 @query()
-def context_terms_all(spark, d):
-    """Over all videos; SQL's word bounds know ASCII only, so ``context_terms`` is held against it on such rows alone."""
+def context_terms(spark, d):
+    """Over all videos and whole descriptions, where SQL is too slow; its word bounds know ASCII only, too."""
     return chunking.context_terms(v.v_videos(spark, d)).withColumn("terms", join("terms"))
 
 
+#: Its former name, for whole texts, stays.
+query(name="context_terms_all")(context_terms)
+
 _PROMPT = "{title} {chunk_index}/{chunk_count} {source}\n```\n{transcript}\n```\n"
 
 
 @query(_SPLIT.replace("documents", "fenced").replace("WITH RECURSIVE parts", "WITH RECURSIVE fenced AS (SELECT doc_id, replace(text, '. ', '.```') AS text FROM documents), parts") + """
 SELECT p.video_id, rtrim(string_agg(title || ' ' || chunk_index || '/' || n || ' file' || chr(10) || '```' || chr(10) || replace(text, '```', '''''''') || chr(10) || '```' || chr(10), chr(10) || chr(10) ORDER BY chunk_index), ' ' || chr(10)) || chr(10) AS prompts
-FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM packed) p JOIN (SELECT doc_id AS video_id, substring(split_part(text, chr(10), 1), 1, 60) AS title FROM documents) v ON v.video_id = p.video_id GROUP BY 1""")
+FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM packed) p JOIN (SELECT doc_id AS video_id, split_part(text, chr(10), 1) AS title FROM documents) v ON v.video_id = p.video_id GROUP BY 1""")
 def export_prompts(spark, d):
     texts = _texts(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(".```"))).withColumn("source", F.lit("file"))
     return chunking.export_prompts(texts, v.v_videos(spark, d), 1000, _PROMPT)
@@ -96,7 +86,7 @@ def merge_material(spark, d):
 
 
 def _stub():
-    def answer(prompt: str, tokens):
+    def answer(prompt: str, tokens, system: str, temperature: float):
         if "too-long" in prompt:
             return prompt[:40], "length" if tokens is not None and tokens < 2000 else "stop"
         if len(prompt) % 7 == 0:
@@ -130,6 +120,39 @@ def vision_requests(spark, d):
     return jobs.build_vision_requests(f, v.v_cues(spark, d), terms).withColumn("paths", join("paths")).withColumn("texts", join("texts"))
 
 
+def _eye():
+    """Sees no more than two frames at once, and nothing on every 50th image."""
+
+    def answer(parts, tokens, system: str, temperature: float):
+        images = [x for kind, x in parts if kind == "image"]
+        if len(images) > 2 or any(int(x[1:9]) % 50 == 0 for x in images):
+            raise RuntimeError("context length exceeded")
+        return json.dumps({"frames": [{"index": k, "description": f"seen {x}", "visible_text": ["a", "b"], "importance": "HIGH"} for k, x in enumerate(images, 1)]})
+
+    return answer
+
+
+def _analyzed(spark, d):
+    f = v.frames(spark, d)
+    terms = f.select("video_id", F.array(F.lit("term")).alias("terms")).distinct()
+    return jobs.analyze_frames(f.drop("hash_value"), v.v_cues(spark, d), terms, _eye, 4)
+
+
+# Batches of two follow a first one of four; one that holds an image on which nothing is seen ends its video.
+_SEEN = """k AS (SELECT *, CAST(substring(path, 2, 8) AS BIGINT) % 50 = 0 AS blind, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, path) - 1 AS k FROM v_frames),
+g AS (SELECT *, CASE WHEN k < 4 THEN 0 ELSE 1 + (k - 4) // 2 END AS outer_batch FROM k), bad AS (SELECT video_id, min(outer_batch) AS b FROM g WHERE blind GROUP BY 1)"""
+
+
+@query(f"WITH {_SEEN} SELECT g.video_id, path AS image, 'seen ' || path AS description, 'a；b' AS visible_text, 'high' AS importance FROM g LEFT JOIN bad USING (video_id) WHERE bad.b IS NULL OR outer_batch < bad.b")
+def vision_results(spark, d):
+    return _analyzed(spark, d)[0].select("video_id", "image", "description", "visible_text", "importance")
+
+
+@query(f"WITH {_SEEN} SELECT video_id, CASE WHEN b IS NULL THEN 'completed' ELSE 'failed' END AS status, n AS requested_frames FROM (SELECT video_id, count(*) AS n FROM v_frames GROUP BY 1) LEFT JOIN bad USING (video_id)")
+def vision_report(spark, d):
+    return _analyzed(spark, d)[1].select("video_id", "status", "requested_frames")
+
+
 _PLAN = """plan AS (SELECT m.video_id, m.with_vision, m.with_summary, tr AS transcript, CASE WHEN with_vision THEN kf END AS keyframes, CASE WHEN with_vision THEN vi AND kf END AS vision, CASE WHEN with_summary THEN su AND tr AND (NOT with_vision OR (vi AND kf)) END AS summary
 FROM (SELECT r.video_id, bool_or(CASE r.stage WHEN 'transcript' THEN h END) AS tr, bool_or(CASE r.stage WHEN 'keyframes' THEN h END) AS kf, bool_or(CASE r.stage WHEN 'vision' THEN h END) AS vi, bool_or(CASE r.stage WHEN 'summary' THEN h END) AS su
   FROM (SELECT q.*, q.artifact AND c.signature IS NOT NULL AS h FROM v_requests q LEFT JOIN v_stage_cache c ON c.video_id = q.video_id AND c.stage = q.stage AND c.signature = q.signature AND c.schema_version = 1) r GROUP BY 1) JOIN v_modes m USING (video_id))"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,50 +13,60 @@ from cuecorpus.checkpoints import ensure_checkpoints
 from cuecorpus.functions import text as t
 from cuecorpus.operators import chunking, resume, subtitles, timeline, visual
 
-#: A model: (prompt, max_tokens or None) to (content, finish reason).
-Model = Callable[[str, "int | None"], tuple]
+#: A model: (prompt, max_tokens or None, system=, temperature=) to (content, finish reason).
+Model = Callable[..., tuple]
+#: A vision model: (parts, max_tokens, system=, temperature=) to its content; a part is ("text", text) or ("image", path).
+VisionModel = Callable[..., str]
+# Fixed texts and values of model calls.
+SYSTEM, TEMPERATURE = "你是严谨的视频内容总结助手，只基于给定文本总结，并使用中文输出。", 0.2
+VISION_SYSTEM, VISION_TEMPERATURE = "你是严谨的视频关键帧分析器，只报告图片中明确可见的信息。", 0
+VISION_TASK = (
+    "请逐张分析后只返回 JSON 对象，不要使用 Markdown。格式为："
+    '{"frames":[{"index":1,"description":"画面事实",'
+    '"visible_text":"可辨认的屏幕文字，没有则为空字符串",'
+    '"importance":"high|medium|low","uncertainty":"不确定信息，没有则为空字符串"}]}。'
+    "必须为每张图片返回一项。相邻字幕只能用于校正 OCR 和判断信息增量，不能当作图片事实。"
+    "description 限 80 个中文字符，只写字幕没有表达的布局、操作、图表或画面变化。"
+    "visible_text 限 200 个中文字符，只保留新增或变化的关键文字、命令、参数和数字；"
+    "忽略重复页眉、页脚、水印、栏目名及前一张已经出现的文字。"
+    "importance 按新增价值判断：high=字幕之外的重要信息，medium=补强字幕，"
+    "low=主要重复字幕或装饰。无法确认的英文、命令或小字必须写入 uncertainty。"
+)
+VISION_TERMS = "视频已知术语（仅用于 OCR 拼写校正）："
 LEAST_CHUNK = 1200
 PART_TOKENS, FINAL_TOKENS = 1000, 1300
 PART_TEMPLATE = "# {title}\n\n这是第 {chunk_index}/{chunk_count} 段材料（{source}）。{transcript_quality_note}\n\n请按时间顺序列出要点。\n\n{transcript}"
 VISION_PART_TEMPLATE = "# {title}\n\n这是第 {chunk_index}/{chunk_count} 段语音与画面材料（{source}）。{transcript_quality_note}\n\n请按时间顺序列出要点，并用画面证据补充语音。\n\n{transcript}"
 
 
-def _status(content, reason) -> str:
-    why = str(reason or "").strip().lower()
-    if why in ("length", "max_tokens"):
-        return "truncated"
-    if why != "stop":
-        return "abnormal" if why else "missing_reason"
-    return "ok" if str(content or "").strip() else "empty"
-
-
 def call_model(requests: DataFrame, make: Callable[[], Model], max_tokens: int | None = None) -> DataFrame:
     """``requests`` (with ``prompt``) with ``answer``, ``status`` and ``attempts``.
 
     ``make`` makes the model once for each task. A truncated answer is asked for once more with a larger budget; any other
     fault ends a row's call at once. A fault, an exception too, is a row's status and never the job's end.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, answer string, status string, attempts int"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, answer string, attempts int, _reason string, _failed boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for pdf in batches:
             out = []
             for prompt in pdf["prompt"]:
-                tokens, answer, status, tries = max_tokens, None, "error", 0
+                tokens = max_tokens
                 for tries in (1, 2):
                     try:
-                        answer, reason = model(prompt, tokens)
-                        status = _status(answer, reason)
+                        answer, reason = model(prompt, tokens, system=SYSTEM, temperature=TEMPERATURE)
+                        failed = False
                     except Exception as e:  # a model's fault of any kind belongs to its row
-                        answer, status = str(e), "error"
-                    if status != "truncated":
+                        answer, reason, failed = str(e), None, True
+                    if failed or str(reason or "").strip().lower() not in t.CUT_SHORT:
                         break
                     tokens = 2 * tokens if tokens is not None else t.RETRY_TOKENS
-                out.append((answer, status, tries))
-            yield pdf.assign(answer=[x[0] for x in out], status=[x[1] for x in out], attempts=pd.Series([x[2] for x in out], index=pdf.index, dtype="int32"))
+                out.append((answer, tries, reason, failed))
+            yield pdf.assign(**{c: pd.Series([x[k] for x in out], index=pdf.index, dtype=d) for k, (c, d) in enumerate((("answer", object), ("attempts", "int32"), ("_reason", object), ("_failed", bool)))})
 
-    return requests.mapInPandas(run, schema)
+    status = F.when(F.col("_failed"), "error").otherwise(t.response_status(F.col("answer"), F.col("_reason")))
+    return requests.mapInPandas(run, schema).select(*requests.columns, "answer", status.alias("status"), "attempts")
 
 
 def summarize_corpus(transcripts: DataFrame, videos: DataFrame, make: Callable[[], Model], max_chars: int, template: str, local: bool = True) -> DataFrame:
@@ -106,27 +117,124 @@ def build_vision_requests(frames: DataFrame, cues: DataFrame, terms: DataFrame,
     )
 
 
+def _usable(content: str, frames: int) -> bool:
+    """Whether an answer has an item with a description for each frame; what it says is read by
+    :func:`cuecorpus.operators.visual.attach_visual_results`."""
+    try:
+        found = json.loads(content[content.index("{") : content.rindex("}") + 1])["frames"]
+        described = {int(x["index"]) for x in found if str(x.get("description") or "").strip()}
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return False
+    return described >= set(range(1, frames + 1))
+
+
+ASKED = "video_id {video}, path string, timestamp double, source string, batch int, index int, content string, calls int, splits int, size int, error string"
+
+
+def _ask_frames(make: Callable[[], VisionModel], size: int):
+    """A stream over frames by video and time. A batch that fails twice is halved, and later batches of its video are half as
+    long; a frame that fails alone fails its video, which is asked for no more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, video = make(), None
+        waiting: list = []
+        state = {"batch": 0, "calls": 0, "splits": 0, "size": size, "error": None}
+
+        def ask(rows: list) -> list[tuple[list, str]]:
+            parts = [("text", VISION_TASK)] + ([("text", VISION_TERMS + rows[0].terms)] if rows[0].terms else [])
+            for k, r in enumerate(rows, 1):
+                parts += [("text", f"第 {k} {r.said}"), ("image", r.path)]
+            fault = "no usable answer"
+            for _ in range(2):
+                state["calls"] += 1
+                try:
+                    content = model(parts, max(500, min(900, 180 * len(rows))), system=VISION_SYSTEM, temperature=VISION_TEMPERATURE)
+                    if _usable(content or "", len(rows)):
+                        return [(rows, content)]
+                except Exception as e:  # a model's fault of any kind belongs to its batch
+                    fault = str(e)
+            if len(rows) == 1:
+                raise RuntimeError(fault)
+            state["splits"] += 1
+            half = len(rows) // 2
+            return ask(rows[:half]) + ask(rows[half:])
+
+        def finish() -> list[tuple]:
+            out, before = [], state["splits"]
+            if waiting and state["error"] is None:
+                try:
+                    for rows, content in ask(waiting):
+                        out += [(r.video_id, r.path, r.timestamp, r.source, state["batch"], k, content if k == 1 else None, None, None, None, None) for k, r in enumerate(rows, 1)]
+                        state["batch"] += 1
+                except RuntimeError as e:
+                    out, state["error"] = [], str(e)
+                if state["splits"] > before:
+                    state["size"] = max(1, state["size"] // 2)
+            waiting.clear()
+            return out
+
+        def report() -> list[tuple]:
+            rows = [*finish(), (video, None, None, None, None, None, None, state["calls"], state["splits"], state["size"], state["error"])]
+            state.update(batch=0, calls=0, splits=0, size=size, error=None)
+            return rows
+
+        columns = [x.split()[0] for x in ASKED.split(", ")]
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if video is not None and row.video_id != video:
+                    out += report()
+                video = row.video_id
+                waiting.append(row)
+                if len(waiting) >= state["size"]:
+                    out += finish()
+            yield pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("batch", "index", "calls", "splits", "size")})
+        if video is not None:
+            yield pd.DataFrame(report(), columns=columns).astype({c: "Int32" for c in ("batch", "index", "calls", "splits", "size")})
+
+    return run
+
+
+def analyze_frames(frames: DataFrame, cues: DataFrame, terms: DataFrame, make: Callable[[], VisionModel], size: int = 4, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a vision model sees on frames (``video_id``, ``path``, ``timestamp``, ``source``), and a report by video.
+
+    ``existing`` are results to keep (see :func:`cuecorpus.operators.visual.reused_results`); their images aren't asked for
+    again. Videos are spread over tasks; within one, batches follow each other, as each learns its length from the last. No
+    task holds more than a batch. The answers are written to the checkpoint folder, so no model is asked twice for them.
+
+    Results are those of ``attach_visual_results``. The report has ``status`` (``completed`` or ``failed``), ``error``,
+    ``requested_frames``, ``calls``, ``fallback_splits`` and ``effective_batch_size``; a failed video keeps what it had.
+    """
+    ensure_checkpoints(frames.sparkSession)
+    pending = frames if existing is None else visual.pending_frames(frames, existing)
+    said = F.concat(F.lit("张图片，对应视频时间 "), t.format_timestamp(F.col("timestamp")), F.lit("。相邻字幕："), F.coalesce(F.nullif("context", F.lit("")), F.lit("无")))
+    rows = pending.join(visual.frame_context(pending, cues), ["video_id", "path"], "left").join(terms.select("video_id", F.array_join("terms", "、").alias("terms")), "video_id", "left")
+    rows = rows.select("video_id", "path", "timestamp", "source", said.alias("said"), F.coalesce("terms", F.lit("")).alias("terms"))
+    ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "timestamp", "path")
+    asked = ordered.mapInPandas(_ask_frames(make, size), ASKED.format(video=frames.schema["video_id"].dataType.simpleString())).checkpoint()
+    answered = asked.where("path IS NOT NULL")
+    results = visual.attach_visual_results(answered.where("content IS NOT NULL").select("video_id", "batch", "content"), answered.select("video_id", "path", "timestamp", "source", "batch", "index"))
+    results = results.where("error IS NULL").drop("batch", "index", "error")
+    if existing is not None:
+        results = existing.select(*results.columns).unionByName(results)
+    counted = pending.groupBy("video_id").agg(F.count(F.lit(1)).alias("requested_frames"))
+    report = asked.where("path IS NULL").join(counted, "video_id").select(
+        "video_id", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error", "requested_frames", "calls", F.col("splits").alias("fallback_splits"), F.col("size").alias("effective_batch_size")
+    )
+    return results, report
+
+
 def text_digest(videos: DataFrame, subtitle_files: DataFrame, asr: DataFrame, make: Callable[[], Model], max_chars: int, template: str, langs: str = "zh,ai-zh,en") -> DataFrame:
     """Summaries from subtitle files (``video_id``, ``file_name``, ``ext``, ``content``) or recognised speech."""
     transcripts = corpus_transcripts(videos, subtitle_files, asr, langs)
     return summarize_corpus(transcripts.where("error IS NULL").select("video_id", "source", "text"), videos, make, max_chars, template)
 
 
-def corpus_cues(files: DataFrame) -> DataFrame:
-    """Cues of files of all formats, each read by its parser."""
-    kinds = ((subtitles.parse_srt, (".srt",)), (subtitles.parse_vtt, (".vtt",)), (subtitles.parse_json3, (".json3",)), (subtitles.parse_markup, (".srv1", ".srv2", ".srv3", ".ttml")), (subtitles.parse_plain, (".ass",)))
-    out = None
-    for parse, ext in kinds:
-        part = parse(files.where(F.col("ext").isin(*ext)))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def corpus_transcripts(videos: DataFrame, subtitle_files: DataFrame, asr: DataFrame, langs: str) -> DataFrame:
     """The transcript of each video: best subtitle file, cleaned, or recognised speech."""
     chosen = subtitles.select_subtitle(subtitle_files, langs, videos)
     source = subtitles.subtitle_source(chosen, videos).select("video_id", "source", "warning")
-    cues = corpus_cues(subtitle_files.join(chosen, ["video_id", "file_name"], "left_semi"))
+    cues = subtitles.parse_files(subtitle_files.join(chosen, ["video_id", "file_name"], "left_semi"))
     texts = source.join(subtitles.cues_to_text(cues), "video_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     spoken = subtitles.cues_to_text(subtitles.asr_to_cues(asr))
     known = videos if "is_local" in videos.columns else videos.withColumn("is_local", F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuecorpus.functions import text as t
 from cuecorpus.operators import subtitles
 from cuecorpus.plans import fixtures as v
-from cuecorpus.plans.registry import query
+from cuecorpus.plans.registry import ORACLES, QUERIES, query
 from cuecorpus.sources import files
 
 join = lambda c: F.array_join(c, "|")
@@ -53,9 +53,9 @@ def media_listing(spark, d):
 
 @query(r"""SELECT doc_id AS video_id, coalesce(nullif(substring(regexp_replace(trim(regexp_replace(s, '[\\/:*?"<>|]+', '_', 'g')), '\s+', ' ', 'g'), 1, 80), ''), 'video') AS name,
   coalesce(nullif(substring(regexp_replace(trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN s ELSE doc_id || '-' || s END, '[\\/:*?"<>|]+', '_', 'g')), '\s+', ' ', 'g'), 1, 80), ''), 'video') AS key
-FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE replace(substring(text, 1, 120), '.', ':?') END AS s FROM documents)""")
+FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE replace(text, '.', ':?') END AS s FROM documents)""")
 def safe_name(spark, d):
-    s = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.replace(F.substring("text", 1, 120), F.lit("."), F.lit(":?")))
+    s = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.replace("text", F.lit("."), F.lit(":?")))
     rows = v.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), s.alias("s"))
     return rows.select("video_id", t.safe_name(F.col("s")).alias("name"), t.output_key(F.col("video_id").cast("string"), F.col("s"), F.col("video_id") % 2 == 0).alias("key"))
 
@@ -171,15 +171,13 @@ def parse_plain(spark, d):
     return subtitles.parse_plain(v.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("text").alias("content")))
 
 
-@query("SELECT video_id, seq, ts, seconds, text FROM v_asr_cues")
+@query("SELECT video_id, turn AS seq, ts, seconds, text FROM v_said WHERE turn % 6 <> 5")
 def asr_cues(spark, d):
-    return subtitles.asr_to_cues(v.v_asr(spark, d))
+    return subtitles.asr_to_cues(v.v_speech(spark, d))
 
 
-@query("SELECT video_id, turn AS seq, ts, seconds, text FROM v_said WHERE turn % 6 <> 5")
-def asr_cues_all(spark, d):
-    """Over all conversations."""
-    return subtitles.asr_to_cues(v.v_speech(spark, d))
+# Queries that once read a part only had a second one for the whole; those names stay.
+query("SELECT video_id, turn AS seq, ts, seconds, text FROM v_said WHERE turn % 6 <> 5", name="asr_cues_all")(asr_cues)
 
 
 @query(r"""SELECT doc_id AS video_id, pos AS seq, line AS text FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM (SELECT doc_id, pos, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line
@@ -255,9 +253,4 @@ def render_prompt(spark, d):
     return v.v_videos(spark, d).select("video_id", t.render(_TEMPLATE, title=c("title"), source=F.lit("whisper"), transcript=c("description"), chunk_index=F.lit(1), chunk_count=F.lit(1), webpage_url=c("webpage_url"), uploader=c("uploader"), duration=c("video_id"), transcript_quality_note=t.quality_note(F.lit("whisper"))).alias("prompt"))
 
 
-@query(f"""SELECT video_id, title || '|whisper|1/1|' || webpage_url || '|' || coalesce(uploader, '') || '|' || coalesce(CAST(video_id AS VARCHAR), '') || '|{{x}}' || chr(10) || text || chr(10) || '{t.NOTES["whisper"]}' AS prompt FROM v_videos JOIN documents ON doc_id = video_id""")
-def render_prompt_whole(spark, d):
-    """With the whole text as transcript."""
-    c = F.col
-    rows = v.v_videos(spark, d).join(v.table(spark, d, "documents").select(c("doc_id").alias("video_id"), "text"), "video_id")
-    return rows.select("video_id", t.render(_TEMPLATE, title=c("title"), source=F.lit("whisper"), transcript=c("text"), chunk_index=F.lit(1), chunk_count=F.lit(1), webpage_url=c("webpage_url"), uploader=c("uploader"), duration=c("video_id"), transcript_quality_note=t.quality_note(F.lit("whisper"))).alias("prompt"))
+QUERIES["render_prompt_whole"], ORACLES["render_prompt_whole"] = render_prompt, ORACLES["render_prompt"]

@@ -302,7 +302,8 @@ def test_plan_and_cache(spark):
 class Model:
     """Answers with the length of what it is asked; truncates once, and knows only short contexts."""
 
-    def __call__(self, prompt, tokens):
+    def __call__(self, prompt, tokens, system, temperature):
+        assert system == jobs.SYSTEM and temperature == 0.2
         if len(prompt) > 4000:
             raise RuntimeError("context window is too long")
         if "cut" in prompt and tokens and tokens < 2000:
@@ -321,6 +322,34 @@ def test_model_calls(spark):
     assert out[2]["fallback_used"] and out[2]["chunk_chars"] == 3000 and sum(out[2]["chunk_lengths"]) <= 9000
 
 
+class Eye:
+    """A vision model that sees at most two frames at once, nothing on images named blind, and notes its calls."""
+
+    def __call__(self, parts, tokens, system, temperature):
+        images = [x for kind, x in parts if kind == "image"]
+        with open(f"{images[0].rsplit('/', 1)[0]}/calls", "a") as f:
+            f.write(f"{len(images)} {tokens}\n")
+        if len(images) > 2 or any("blind" in x for x in images):
+            raise RuntimeError("context length exceeded")
+        return "```json\n" + json.dumps({"frames": [{"index": k, "description": f"结果 {k}", "visible_text": "", "importance": "medium", "uncertainty": ""} for k in range(1, len(images) + 1)]}) + "\n```"
+
+
+def test_vision_halves_what_fails_and_remembers(spark, tmp_path):
+    names = {1: [f"{i}.jpg" for i in range(6)], 2: ["0.jpg", "1.jpg", "2.jpg", "blind.jpg", "4.jpg"], 3: ["0.jpg"]}
+    for v in names:
+        (tmp_path / str(v)).mkdir()
+    rows = [(v, f"{tmp_path}/{v}/{x}", 5.0 * i, "periodic") for v, xs in names.items() for i, x in enumerate(xs)]
+    f = spark.createDataFrame(rows, "video_id long, path string, timestamp double, source string")
+    none = spark.createDataFrame([], "video_id long, seq long, ts string, seconds double, text string")
+    results, report = jobs.analyze_frames(f, none, spark.createDataFrame([(1, ["x"])], "video_id long, terms array<string>"), Eye, 4)
+    assert {v: results.where(f"video_id = {v}").count() for v in names} == {1: 6, 2: 0, 3: 1}
+    got = {r["video_id"]: (r["status"], r["fallback_splits"], r["effective_batch_size"]) for r in report.collect()}
+    assert got == {1: ("completed", 1, 2), 2: ("failed", 2, 2), 3: ("completed", 0, 4)}
+    assert [x.split()[0] for x in (tmp_path / "1" / "calls").read_text().splitlines()] == ["4", "4", "2", "2", "2"]
+    again, _ = jobs.analyze_frames(f.where("video_id = 1"), none, spark.createDataFrame([], "video_id long, terms array<string>"), Eye, 2, existing=results.where("video_id = 1"))
+    assert again.count() == 6 and len((tmp_path / "1" / "calls").read_text().splitlines()) == 5
+
+
 def test_digests_end_to_end(spark):
     videos = spark.createDataFrame([(1, "t", "u", None, 60.0, ["en"], []), (2, "t2", "u", None, None, [], [])], "video_id long, title string, webpage_url string, uploader string, duration double, subtitle_langs array<string>, automatic_caption_langs array<string>")
     f = spark.createDataFrame([(1, "a.en.srt", ".srt", "1\n00:00:01,000 --> 00:00:02,000\nhello")], "video_id long, file_name string, ext string, content string")

@@ -19,7 +19,7 @@ def brute_terms(title, uploader, description, tags, categories):
     kept, keys, size = [], [], 0
     for x in got:
         x = re.sub(r"\s+", " ", re.sub(r"https?://\S+", " ", x)).strip(" ,，。.!！?？:：;；()（）[]【】<>《》\"'\n")
-        key = x.lower().replace("ß", "ss")
+        key = x.casefold()
         if 2 <= len(x) <= 60 and not any(key in k for k in keys) and size + len(x) <= 800:
             kept.append(x)
             keys.append(key)
@@ -30,7 +30,7 @@ def brute_terms(title, uploader, description, tags, categories):
 def test_context_terms_of_all_videos(spark):
     from cuecorpus.plans import fixtures as v
 
-    got = {r["video_id"]: r["terms"] for r in QUERIES["context_terms_all"](spark, SF).collect()}
+    got = {r["video_id"]: r["terms"] for r in QUERIES["context_terms"](spark, SF).collect()}
     rows = v.v_videos(spark, SF).collect()
     assert len(got) == len(rows)
     wide = [r for r in rows if not (r["title"] + (r["uploader"] or "") + r["description"]).isascii()]
@@ -41,10 +41,10 @@ def test_context_terms_of_all_videos(spark):
 
 def test_asr_cues_of_all_conversations(spark):
     want = duckdb.sql(f"SELECT count(DISTINCT conv_id) FROM '{SF}/conversations.parquet' WHERE turn % 6 <> 5").fetchall()[0][0]
-    assert QUERIES["asr_cues_all"](spark, SF).select("video_id").distinct().count() == want
+    assert QUERIES["asr_cues"](spark, SF).select("video_id").distinct().count() == want
 
 
 def test_prompts_hold_whole_texts(spark):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
-    got = {r["video_id"]: r["prompt"] for r in QUERIES["render_prompt_whole"](spark, SF).collect()}
+    got = {r["video_id"]: r["prompt"] for r in QUERIES["render_prompt"](spark, SF).collect()}
     assert max(map(len, texts.values())) > 400 and all(texts[i] in got[i] for i in texts)
