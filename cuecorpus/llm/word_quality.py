@@ -7,7 +7,8 @@ shards that own them, and with them the counts of its trusted triples. Triples a
 all that follows a pair; pairs and words are dealt by themselves and get sums made beforehand. Each shard answers with
 counts, in the order of the keys asked, and a block works out the probabilities of its words from the answers.
 
-All trusted text is learnt from. What is gathered grows with the distinct triples of blocks, which is nearly the number
+Trusted text is learnt from, but for every ``held_out``-th document: limits are quantiles of documents that the model hasn't
+learnt, since those that it has are far likelier to it than any unseen text, however good. What is gathered grows with the distinct triples of blocks, which is nearly the number
 of words.
 """
 
@@ -26,6 +27,8 @@ from cuecorpus.llm.words import _INVERSE, _LOWER, _MUL, _SPACE, _VALUE, _powers,
 from cuecorpus.llm.workspace import staged
 
 ORDER = 3
+#: One in so many trusted documents sets limits and isn't learnt from.
+HELD_OUT = 10
 #: Bytes of text in a block, about: a word has five keys in a worker's memory.
 BLOCK_BYTES = 5_000_000
 #: Stands before a text's first word.
@@ -265,11 +268,14 @@ def _scorer(shards: int, totals: dict[int, list[int]]):
     return score
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, block_bytes: int = BLOCK_BYTES, held_out: int = HELD_OUT) -> DataFrame:
     """One row per document: ``doc_id``, ``lang``, ``perplexity`` (per word), ``threshold``, ``kept``.
 
     All else is as in ``quality.score_quality``. Below single words all words are alike: one more than the trusted text
     has. Without trusted text every perplexity is 1. A text without words has a perplexity of 1.
+
+    One trusted document in ``held_out``, by hash of its id, is left out of the model, and a language's limit is the quantile
+    of those; a language that has none, and all if ``held_out`` is 0, take the quantile of the documents learnt.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -277,10 +283,13 @@ def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     blocks = max(1, -(-size // block_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
     block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("long").alias("block")
-    rows = docs.select(block, F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
+    # Rows without an id are never trusted, so any block will do for them.
+    dealt_by = F.when(F.col(id_col).isNotNull(), block).otherwise(F.pmod(F.xxhash64(F.col(text_col)), F.lit(blocks))).alias("block")
+    rows = docs.select(dealt_by, F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"))
     dealt = rows.mapInArrow(_pack, "block long, blob binary").repartition(parts, "block").groupBy("block")
     known = trusted.where(F.col(id_col).isNotNull()).select(block, F.col(id_col).cast("long").alias("doc_id")).distinct()
-    learnt = staged(dealt.cogroup(known.groupBy("block")).applyInArrow(_learner(blocks), ROW), "kneser-ney-blocks")
+    aside = (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(held_out)) == 0) if held_out else F.lit(False)
+    learnt = staged(dealt.cogroup(known.where(~aside).groupBy("block")).applyInArrow(_learner(blocks), ROW), "kneser-ney-blocks")
     spread = lambda df: df.repartition(parts, "kind", "shard")
     triples = staged(spread(learnt.where("kind = -3")).groupBy("kind", "shard").applyInArrow(_triples(blocks), ROW), "kneser-ney-triples")
     pairs = staged(spread(triples.where("kind = -2")).groupBy("kind", "shard").applyInArrow(_pairs(blocks), ROW), "kneser-ney-pairs")
@@ -293,7 +302,9 @@ def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     asked = spread(learnt.where("kind > 0")).groupBy("kind", "shard")
     answers = asked.cogroup(tables.where("kind > 0").groupBy("kind", "shard")).applyInArrow(_answer, ROW)
     scored = staged(dealt.cogroup(answers.groupBy("block")).applyInArrow(_scorer(blocks, totals), "doc_id long, lang string, perplexity double"), "kneser-ney-scores")
-    limits = scored.join(known.select("doc_id"), "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    judged = scored.join(known.select("doc_id", aside.alias("aside")), "doc_id")
+    at = lambda c: F.percentile_approx(F.when(c, F.col("perplexity")), quantile, 10_000)
+    limits = judged.groupBy("lang").agg(F.coalesce(at(F.col("aside")), at(F.lit(True))).alias("threshold"))
     # One row per language.
     return (
         scored.alias("s")
