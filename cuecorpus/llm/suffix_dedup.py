@@ -42,9 +42,9 @@ SALTS = 16
 #: Single strings whose smallest place a task holds before it sends them.
 HELD = 200_000
 #: A place of a piece: document, version of it, first byte.
-PLACE = np.dtype([("id", "<i8"), ("version", "<i4"), ("start", "<i4")])
+PLACE = np.dtype([("id", "<i8"), ("version", "<i8"), ("start", "<i4")])
 #: Bytes that a task has marked itself.
-SPAN = np.dtype([("id", "<i8"), ("version", "<i4"), ("start", "<i4"), ("end", "<i4")])
+SPAN = np.dtype([("id", "<i8"), ("version", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
 def pieces(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -78,7 +78,7 @@ def pieces(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, versions = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int32)
+        ids, versions = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
         texts = batch.column(2).to_pylist()
         for lo, hi in batches_of(texts):
             own, _, _, keys = pieces(texts[lo:hi])
@@ -111,7 +111,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least.clear()
 
     for batch in batches:
-        ids, versions = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int32)
+        ids, versions = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
         texts = batch.column(2).to_pylist()
         wanted = batch.column(3)
         hot = batch.column(4)
@@ -265,20 +265,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes).
 
     A null text is empty; texts shorter than 100 bytes hold nothing to remove. Documents are ordered by id, nulls first;
-    rows that share an id but not the text are ordered by a hash of the text, rows that repeat both are one document and
+    rows that share an id (or have none) but not the text are told apart and ordered by a 64-bit hash of the text, rows that repeat both are one document and
     don't count as repeats of each other. Further columns are ignored; an empty table gives an empty table.
 
     The bytes that are kept need not be valid UTF-8: a cut may fall inside a character.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), F.hash(text).alias("_version"), text.alias("text"))
+    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"), F.xxhash64(text).alias("_version"), text.alias("text"))
     copies = staged(later_copies(named), "suffix-copies")
     # No filter on length here: all joins of whole texts share one exchange.
-    anchors = named.join(copies.select("_id", "_version"), ["_id", "_version"], "left_anti").select("_id", "_version", "text").mapInArrow(_anchors, "_id long, _version int, key long, n int")
+    anchors = named.join(copies.select("_id", "_version"), ["_id", "_version"], "left_anti").select("_id", "_version", "text").mapInArrow(_anchors, "_id long, _version long, key long, n int")
     repeated = anchors.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1")
     wanted = anchors.select("_id", "_version", "key").join(repeated, "key").groupBy("_id", "_version").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("places") > hot, F.col("key"))).alias("hot_keys"))
     fetched = named.join(wanted, ["_id", "_version"]).select("_id", "_version", "text", "keys", "hot_keys").mapInArrow(_fetch, "key long, piece binary, places binary")
-    spans = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_judge_shards, "_id long, _version int, start int, end int")
+    spans = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_judge_shards, "_id long, _version long, start int, end int")
     spans = spans.unionByName(copies.select("_id", "_version", F.lit(0).alias("start"), F.col("n").alias("end")))
     # Spans travel as plain rows: few of them meet before the exchange, and lists of one cost more than they hold.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

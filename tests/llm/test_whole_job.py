@@ -44,7 +44,7 @@ def test_word_model_against_brute_force(spark):
     docs = make(spark, list(enumerate(texts)))
     learnt = (0, 1, 5, 6)
     trusted = spark.createDataFrame([(i,) for i in learnt], "doc_id long")
-    got = {r["doc_id"]: r for r in word_quality.score_quality(docs, trusted, block_bytes=100).collect()}
+    got = {r["doc_id"]: r for r in word_quality.score_quality(docs, trusted, block_bytes=100, held_out=0).collect()}
     p = brute_word_model([texts[i] for i in learnt])
     for i, t in enumerate(texts):
         w = ("", "", *brute_words(t))
@@ -79,7 +79,7 @@ def test_shuffled_words_are_less_likely(spark):
 def test_a_hot_string_leaves_a_task_once():
     text = words(60).encode()
     keys = np.unique(suffix_dedup.pieces([text])[3]).tolist()
-    batch = pa.RecordBatch.from_arrays([pa.array([9, 4, 7, 4, 8]), pa.array([1] * 5, pa.int32()), pa.array([text] * 4 + [b"x" + text]), pa.array([keys] * 5), pa.array([keys] * 5)], names=list("abcde"))
+    batch = pa.RecordBatch.from_arrays([pa.array([9, 4, 7, 4, 8]), pa.array([1] * 5, pa.int64()), pa.array([text] * 4 + [b"x" + text]), pa.array([keys] * 5), pa.array([keys] * 5)], names=list("abcde"))
     rows = [r for b in suffix_dedup._fetch(iter([batch])) for r in b.to_pylist()]
     places = [np.frombuffer(r["places"], suffix_dedup.PLACE) for r in rows if r["piece"] is not None]
     assert len(places) == len(text) - 99 + 1 * (len(places) > len(text) - 99) and all(len(p) == 1 for p in places)
@@ -93,7 +93,7 @@ def test_equal_texts_are_merged_before_the_search(spark):
     same, other = words(50), words(50)
     texts = [other, same, same, same + "x", other, "short", "short", same]
     docs = make(spark, [*enumerate(texts), (1, same)])
-    named = docs.select(F.col("doc_id").alias("_id"), F.hash(F.col("text").cast("binary")).alias("_version"), F.col("text").cast("binary").alias("text"))
+    named = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("binary")).alias("_version"), F.col("text").cast("binary").alias("text"))
     assert sorted(r["_id"] for r in suffix_dedup.later_copies(named).collect()) == [2, 4, 7]
     for hot in (suffix_dedup.HOT, 2):
         got = suffix_dedup.remove_repeats(docs.where("doc_id <> 1").union(docs.where("doc_id = 1").limit(1)), hot=hot).orderBy("doc_id").collect()
@@ -130,3 +130,26 @@ def test_toxicity_on_documents_it_never_saw(spark):
     toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
     clean = [r["predicted"] for r in rows if r["toxic"] == 0]
     assert len(toxic) > 100 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.015
+
+
+def test_unseen_good_documents_are_kept(spark):
+    """Of good documents that were not named as trusted, about as many are kept as the quantile says."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scored = word_quality.score_quality(spark.read.parquet(f"{sf}/documents.parquet"), good.where(~unseen))
+    kept = scored.join(good.where(unseen), "doc_id").agg(F.avg(F.col("kept").cast("double"))).first()[0]
+    assert abs(kept - word_quality.QUANTILE) <= 0.05
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    texts = [words(40) + f" {i}" for i in range(400)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(5, texts[0])], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs).collect()
+    # Rows without an id come first, in the order of their texts' hashes.
+    ordered = [r["text"] for r in docs.where("doc_id IS NULL").orderBy(F.xxhash64(F.col("text").cast("binary"))).collect()] + [texts[0]]
+    assert sorted((*tuple(r[1:4]), bytes(r["kept"])) for r in got) == sorted(brute_repeats([t.encode() for t in ordered]))
