@@ -43,14 +43,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return by_turn.sortWithinPartitions("_at", "_epoch", "doc_id").select(*[column(c) for c in docs.columns])
 
 
-def _reading_shards(docs: DataFrame) -> DataFrame | None:
-    """``docs`` with ``_shard``: packing shards of neighbours in the order of files and rows; none if ``docs`` isn't read from
-    files."""
+def _reading_shards(docs: DataFrame, narrow: list) -> DataFrame | None:
+    """The ``narrow`` columns of ``docs`` with ``_shard``: packing shards of neighbours in the order of files and rows; none if
+    ``docs`` isn't read from files."""
     try:
-        read = docs.select("doc_id", "source", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        read = docs.select(*narrow, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
         return None
-    rows = read.groupBy("_file").agg(F.ceil((F.max("_row") + 1) / packing.SHARD_ROWS).alias("_shards"))
+    rows = docs.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).groupBy("_file").agg(F.ceil((F.max("_row") + 1) / packing.SHARD_ROWS).alias("_shards"))
     # One row for each file that the stage before wrote.
     first = rows.select("_file", (F.sum("_shards").over(W.orderBy("_file")) - F.col("_shards")).alias("_first"))
     return read.join(first, "_file").withColumn("_shard", F.col("_first") + F.floor(F.col("_row") / packing.SHARD_ROWS))
@@ -61,13 +61,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents are packed with their neighbours in the mix's order, so the numbers of bins follow that order.
     """
-    words = packing.word_count(F.col("text")).alias("words")
-    ordered = _reading_shards(docs)
+    # Words are counted before the join with the files, so that no text takes part in it.
+    narrow = ["doc_id", "source", packing.word_count(F.col("text")).alias("words")]
+    ordered = _reading_shards(docs, narrow)
     if ordered is None:
-        narrow, shard = docs.select("doc_id", "source", words), None
+        rows, shard = docs.select(*narrow), None
     else:
-        narrow, shard = ordered.select("doc_id", "source", words, "_shard"), F.col("_shard")
-    return packing.pack(narrow, F.col("words"), F.col("source"), F.col("doc_id"), shard=shard).drop("words", "_shard")
+        rows, shard = ordered.select("doc_id", "source", "words", "_shard"), F.col("_shard")
+    return packing.pack(rows, F.col("words"), F.col("source"), F.col("doc_id"), shard=shard).drop("words", "_shard")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
