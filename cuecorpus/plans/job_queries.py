@@ -96,7 +96,8 @@ def _stub():
     return answer
 
 
-@query()
+@query("""SELECT doc_id AS video_id, CASE WHEN doc_id % 5 = 0 THEN substring('too-long ' || text, 1, 40) WHEN length(text) % 7 = 0 THEN '' ELSE length(text) || ':' || substring(text, 1, 20) END AS answer,
+  CASE WHEN doc_id % 5 <> 0 AND length(text) % 7 = 0 THEN 'empty' ELSE 'ok' END AS status, CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM documents""")
 def call_model(spark, d):
     rows = _texts(spark, d).select("video_id", F.when(F.col("video_id") % 5 == 0, F.concat(F.lit("too-long "), "text")).otherwise(F.col("text")).alias("prompt"))
     return jobs.call_model(rows, _stub, 1000).select("video_id", "answer", "status", "attempts")

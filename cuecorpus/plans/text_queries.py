@@ -91,6 +91,16 @@ def error_codes(spark, d):
     return rows.select("doc_id", t.download_error(F.col("m"), F.col("u")).alias("download_code"), t.model_error(F.col("m")).alias("model_code"), t.is_context_length(F.col("m")).alias("is_context"))
 
 
+def _hinted(code: str, hints: dict) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{'|'.join(x)}'" for k, x in hints.items()) + " ELSE '' END"
+
+
+@query(f"SELECT doc_id, {_hinted('download_code', t.DOWNLOAD_HINTS)} AS download_hints, {_hinted('model_code', t.MODEL_HINTS)} AS model_hints FROM ({ORACLES['error_codes']})")
+def error_hints(spark, d):
+    got = error_codes(spark, d)
+    return got.select("doc_id", F.array_join(t.download_hints(F.col("download_code")), "|").alias("download_hints"), F.array_join(t.model_hints(F.col("model_code")), "|").alias("model_hints"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'truncated' WHEN doc_id % 5 = 3 THEN 'missing_reason' WHEN doc_id % 5 = 4 THEN 'abnormal' WHEN doc_id % 11 = 0 THEN 'empty' ELSE 'ok' END AS status FROM documents""")
 def response_status(spark, d):
     i = F.col("doc_id")
