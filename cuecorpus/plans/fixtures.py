@@ -113,12 +113,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_frames(spark, sf_dir).select("video_id", "path", "timestamp", "source", "hash_value")
 
 
-def v_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a model says of each frame, in whole texts."""
+def v_shown(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """What a model says of each frame, in whole texts; ``most`` cuts descriptions before they meet their frames."""
     docs = table(spark, sf_dir, "documents")
     n = _n(docs, "doc_id")
     line = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit(""))
-    d = docs.select(F.col("doc_id"), F.col("text").alias("description"), line.alias("_second"))
+    said = F.col("text") if most is None else t.rstrip(t.cut(t.strip(F.col("text")), most))
+    d = docs.select(F.col("doc_id"), said.alias("description"), line.alias("_second"))
     lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     cue = v_cues(spark, sf_dir).select("video_id", F.col("seq").alias("_seq"), F.col("text").alias("_said"))
     f = v_frames(spark, sf_dir).withColumns({"doc_id": F.col("event_id") % n, "_seq": F.col("event_id") % 8})
@@ -161,9 +162,8 @@ LEFT JOIN v_cues c ON c.video_id = f.video_id AND c.seq = f.event_id % 8"""
 
 def v_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with what was said of them, cut as the answers of models are when they are attached."""
-    cut = lambda c, n: t.rstrip(t.cut(t.strip(F.col(c)), n)).alias(c)
-    rows = v_shown(spark, sf_dir)
-    return rows.withColumns({"description": cut("description", 160), "visible_text": cut("visible_text", 320)})
+    rows = v_shown(spark, sf_dir, 160)
+    return rows.withColumn("visible_text", t.rstrip(t.cut(t.strip(F.col("visible_text")), 320)))
 
 
 SQL["v_visual"] = """
