@@ -78,11 +78,16 @@ FOLDED = {x: x.casefold() for x in map(chr, range(0x110000)) if x.casefold() !=
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding: lower case, and the letters that fold further one by one in texts that hold any."""
-    low = F.lower(c)
-    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    """Full case folding: lower case, and the letters that fold further one by one in texts that hold any.
+
+    Sharp s is common and folded at once; two ranges tell most texts that hold no other such letter.
+    """
+    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    rest = {k: v for k, v in FOLDED.items() if k != "ß"}
+    table = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
     folded = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(low.rlike("[" + "".join(FOLDED) + "]"), folded).otherwise(low)
+    likely = low.rlike("[" + "".join(k for k in rest if k < "\u0100") + "\u0100-\U0010ffff]")
+    return F.when(~likely, low).when(low.rlike("[" + "".join(rest) + "]"), folded).otherwise(low)
 
 
 def let(value: Column, use) -> Column:
