@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecorpus.llm import chat, exact_dedup, minhash, mixing, packing, sharding, suffix_dedup, topk, toxicity, word_quality
+from cuecorpus.llm import chat, exact_dedup, html_text, minhash, mixing, negatives, packing, repair, sharding, suffix_dedup, topk, toxicity, word_quality
 from cuecorpus.llm.workspace import table
 
 QUERIES: dict = {}
@@ -139,3 +139,125 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", packing.word_count(F.col("text")).alias("words"), F.xxhash64(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")).alias("cluster")
     )
     return packing.pack(docs, F.col("words"), F.col("source"), F.col("cluster")).drop("words", "cluster")
+
+
+@_query
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def turned_label():
+    """The label of a vector, turned to the next one where the id is divisible by 7."""
+    return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors."""
+    return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, turned_label())
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE alike) WHERE r <= 5
+), n AS (
+  SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.alike AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with one row in five damaged, by a checksum of conversation and turn: some dropped, emptied, without ends
+    of sentences, repeated or given to the user."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = (F.crc32(F.concat_ws(":", or_space("conv_id"), or_space("turn")).cast("binary")) % 20).alias("hit")
+    rows = rows.select("conv_id", "turn", or_space("role").alias("role"), or_space("text").alias("text"), hit).where("hit <> 0")
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("hit") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("hit") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired."""
+    given = table(spark, sf_dir, "conversations")
+    fixed = repair.repair_conversations(damaged(given))
+    verdicts = fixed.verdicts.join(repair.digests(fixed.rows).withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    known = given.select(F.col("conv_id").alias("_id")).distinct()
+    none = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0}
+    columns = [F.coalesce(F.col(c), F.lit(v).cast("long")).alias(c) for c, v in none.items()]
+    return known.join(verdicts, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"), *columns, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), poly AS (  -- crc32 by its polynomial, a byte at a time
+  SELECT i, list_reduce([CAST(i AS BIGINT)] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)
+), tab AS (SELECT list(v ORDER BY i) AS t FROM poly), damaged AS (
+  SELECT h.*, xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                              lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS d
+  FROM hit h, tab
+), rows AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM damaged, range(2) c(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)
+), numbered AS (
+  SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair, left(role, 1) AS initial,
+         regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text))
+), faults AS (
+  SELECT *, last = '' AS is_blank, last <> '' AND seen AS is_copy, last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') AS is_cut
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM numbered)
+), step(p, c, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+made(p, q, cost, letters, out) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'),
+  (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+edits AS (
+  SELECT conv_id, i, p, q, 5 * CAST(is_cut AS INT) AS cost, 'K' AS letter, chr(10) || role || ':' || text AS out FROM faults JOIN step ON c = initial WHERE NOT is_blank AND NOT is_copy
+  UNION ALL SELECT conv_id, i, p, q, 1 + 5 * CAST(is_cut AS INT), 'R', chr(10) || CASE c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+  FROM faults, step WHERE c <> 's' AND NOT is_blank AND NOT is_copy
+  UNION ALL SELECT conv_id, i, p, p, 2, 'D', '' FROM faults, range(4) t(p)
+), best AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, 0 AS cost, '' AS audit, '' AS out FROM faults
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit, out FROM (
+    SELECT e.conv_id, e.i, e.q AS st, b.cost + m.cost + e.cost AS cost, b.audit || m.letters || e.letter AS audit, b.out || m.out || e.out AS out,
+           row_number() OVER (PARTITION BY e.conv_id, e.q ORDER BY b.cost + m.cost + e.cost, b.audit || m.letters || e.letter) AS r
+    FROM best b JOIN made m ON m.p = b.st JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.p = m.q) WHERE r = 1
+), ends AS (
+  SELECT b.conv_id, b.cost + m.cost AS cost, b.audit || m.letters AS audit, b.out || m.out AS out,
+         row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + m.cost, b.audit || m.letters) AS r
+  FROM best b JOIN made m ON m.p = b.st AND m.q IN (0, 3) JOIN (SELECT conv_id, max(i) AS n FROM faults GROUP BY 1) f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.n = b.i
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CAST(is_blank AS INT)) AS blank, sum(CAST(is_copy AS INT)) AS copies,
+         sum(CAST(is_cut AS INT)) AS cut, sum(CASE WHEN pair NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal FROM faults GROUP BY 1
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(copies, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(cut, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(substr(coalesce(out, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.r = 1
+"""
