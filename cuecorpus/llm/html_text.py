@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cuecorpus.llm.workspace import column
 
@@ -302,6 +303,5 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     others = [c for c in pages.columns if c not in (html_col, "text")]
     row = F.struct(*[column(c) for c in others]) if others else F.struct(F.lit(0).alias("_"))
     asked = pages.select(column(html_col).cast("string").alias("html"), row.alias("row"))
-    schema = "text string, row " + asked.schema["row"].dataType.simpleString()
-    out = asked.mapInArrow(_extract, schema)
+    out = asked.mapInArrow(_extract, StructType([StructField("text", StringType()), asked.schema["row"]]))
     return out.select(*[F.col("row").getField(c).alias(c) for c in others], "text")
