@@ -217,12 +217,16 @@ def repair_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     piece = F.shiftright("at", PIECE_BITS)
     pieces = staged(known.groupBy(piece).applyInArrow(_pieces, PIECE), "repair-pieces")
 
-    numbered = pieces.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("place")).cast("long") - 1)
+    own = W.partitionBy("conv_id")
+    numbered = staged(pieces.withColumns({"place": F.row_number().over(own.orderBy("place")).cast("long") - 1, "_pieces": F.count(F.lit(1)).over(own)}), "repair-numbered")
+    # Nearly all conversations are one piece, and have nothing to join.
+    done, numbered = numbered.where("_pieces = 1").drop("_pieces"), numbered.where("_pieces > 1").drop("_pieces")
     last = numbered.agg(F.max("place")).first()[0] or 0
     while last:
         last //= FAN
         grouped = numbered.withColumn("group", F.floor(F.col("place") / FAN))
         numbered = staged(grouped.groupBy("conv_id", "group").applyInArrow(_joined, PIECE), "repair-joined")
+    numbered = numbered.unionByName(done)
     ways = F.filter("items", lambda x: (x["entry"] == 0) & x["exit"].isin(*GOALS))
     best = F.array_min(F.transform(ways, lambda x: F.struct(x["cost"].alias("cost"), x["audit"].alias("audit"))))
     gaps = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns"), F.lit(0).cast("long"))
