@@ -7,8 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pyspark.sql.types import StructType
+
+from cuecorpus.checkpoints import ensure_checkpoints
 from cuecorpus.functions import text as t
 from cuecorpus.operators import folds
+from cuecorpus.operators.ordered import scan
 
 
 def sampling_plan(videos: DataFrame, min_scan: float, max_gap: float, max_frames: int) -> DataFrame:
@@ -45,20 +49,31 @@ def frames_from_showinfo(files: DataFrame, logs: DataFrame, scan_interval: float
     return rows.withColumn("timestamp", stamp).where("timestamp IS NOT NULL").select("video_id", "path", "timestamp", F.col("kind").alias("source"))
 
 
-def _ordered(frames: DataFrame, fold) -> DataFrame:
-    """Frames in order by video through a stream that holds no more than a row of state."""
-    rows = frames.repartition("video_id").withColumn("_late", F.col("source") != "scene").sortWithinPartitions("video_id", "timestamp", "_late", "path").drop("_late")
-    return rows.mapInArrow(fold, frames.schema)
+def _selected(frames: DataFrame, merge: bool, similar: bool, gap: float | str | None = None, threshold: int = 0) -> DataFrame:
+    """Frames that stay of each video (see :func:`cuecorpus.operators.folds.select_in_ranges`).
+
+    Frames are dealt by ranges of video and time, so a video is as many tasks as it has ranges. Only what a range can't decide
+    by itself, rows before the first scene or long gap and the one that waits at its end, meets again at the seams. The ranges'
+    marks are checkpointed, as both parts are read from them.
+    """
+    ensure_checkpoints(frames.sparkSession)
+    order = ["video_id", "timestamp", "_late", "path"]
+    rows = frames.withColumn("_late", F.col("source") != "scene").repartitionByRange(*order).sortWithinPartitions(*order).drop("_late")
+    width, schema = len(frames.columns), StructType([*frames.schema.fields, *StructType.fromDDL(folds.MARKS).fields])
+    marked = rows.mapInArrow(folds.select_in_ranges(width, merge, similar, gap, threshold), schema).checkpoint()
+    seams = marked.where(F.col("_mark") != folds.KEPT).repartition("video_id").sortWithinPartitions("video_id", "_range", "_place")
+    closed = seams.mapInArrow(folds.select_at_seams(width, merge, similar, gap, threshold), schema)
+    return marked.where(F.col("_mark") == folds.KEPT).unionByName(closed).select(*frames.columns)
 
 
 def merge_near_frames(frames: DataFrame) -> DataFrame:
     """Frames at most a second after the last kept one go; a scene frame takes the place of the last kept one."""
-    return _ordered(frames, folds.select_frames(True, False))
+    return _selected(frames, True, False)
 
 
 def drop_similar_frames(frames: DataFrame, max_gap: float, threshold: int = 10) -> DataFrame:
     """Frames like the last kept one and less than ``max_gap`` after it go, scenes excepted."""
-    return _ordered(frames, folds.select_frames(False, True, max_gap, threshold))
+    return _selected(frames, False, True, max_gap, threshold)
 
 
 def spread_evenly(position: Column, n: Column, count: Column) -> Column:
@@ -84,12 +99,19 @@ def even_sample(df: DataFrame, count: int | Column, partition: list[str], order:
 def cap_frames(frames: DataFrame, max_frames: int | str) -> DataFrame:
     """At most ``max_frames`` (a number or a column) frames of a video: first, last and scene frames before all others."""
     most = F.col(max_frames) if isinstance(max_frames, str) else F.lit(max_frames)
-    own = W.partitionBy("video_id")
-    order = own.orderBy("timestamp", F.col("source") != "scene", "path")
-    rows = frames.withColumns({"_most": most, "_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(own)})
-    rows = rows.withColumn("_anchor", (F.col("_k") == 1) | (F.col("_k") == F.col("_n")) | (F.col("source") == "scene"))
-    group = W.partitionBy("video_id", "_anchor")
-    rows = rows.withColumns({"_anchors": F.sum(F.col("_anchor").cast("int")).over(own), "_pos": F.row_number().over(group.orderBy("_k")) - 1, "_size": F.count(F.lit(1)).over(group)})
+    order = ["timestamp", "_late", "path"]
+    scene = F.col("source") == "scene"
+    rows = frames.withColumns({"_most": most, "_late": ~scene})
+    ends = rows.groupBy("video_id").agg(F.min_by("_late", F.struct(*order)).cast("int").alias("_plain_first"), F.max_by("_late", F.struct(*order)).cast("int").alias("_plain_last"))
+    rows = scan(rows, ["video_id"], order, row="_k", size="_n", sums={"_scenes": scene}, totals={"_all": scene}).join(ends, "video_id")
+    first, end = F.col("_k") == 1, F.col("_k") == F.col("_n")
+    # Anchors up to the row: its scenes, a first frame that is none, and a last one that is none.
+    plain_end = F.when(F.col("_n") > 1, F.col("_plain_last")).otherwise(0)
+    so_far = F.col("_scenes") + F.col("_plain_first") + F.when(end, plain_end).otherwise(0)
+    rows = rows.withColumns({"_anchor": scene | first | end, "_anchors": F.col("_all") + F.col("_plain_first") + plain_end, "_so_far": so_far})
+    pos = F.when(F.col("_anchor"), F.col("_so_far") - 1).otherwise(F.col("_k") - F.col("_so_far") - 1)
+    size = F.when(F.col("_anchor"), F.col("_anchors")).otherwise(F.col("_n") - F.col("_anchors"))
+    rows = rows.withColumns({"_pos": pos, "_size": size})
     full = F.col("_anchors") >= F.col("_most")
     keep = (
         F.when(F.col("_n") <= F.col("_most"), True)
@@ -101,15 +123,15 @@ def cap_frames(frames: DataFrame, max_frames: int | str) -> DataFrame:
 
 def name_keyframes(frames: DataFrame) -> DataFrame:
     """``name`` of each frame: its number in time order and its time."""
-    order = W.partitionBy("video_id").orderBy("timestamp", F.col("source") != "scene", "path")
-    return frames.withColumn("name", F.concat(F.format_string("%04d-", F.row_number().over(order)), F.replace(t.format_timestamp(F.col("timestamp")), F.lit(":"), F.lit("-")), F.lit(".jpg")))
+    numbered = scan(frames.withColumn("_late", F.col("source") != "scene"), ["video_id"], ["timestamp", "_late", "path"], row="_k")
+    return numbered.withColumn("name", F.concat(F.format_string("%04d-", F.col("_k")), F.replace(t.format_timestamp(F.col("timestamp")), F.lit(":"), F.lit("-")), F.lit(".jpg"))).select(*frames.columns, "name")
 
 
 def select_keyframes(frames: DataFrame, videos: DataFrame, min_scan: float = 5, max_gap: float = 45, max_frames: int = 60, threshold: int = 10) -> DataFrame:
     """Plan, merge, drop similar, cap and name; all by video, over one partitioning."""
     plan = sampling_plan(videos.select("video_id", "duration"), min_scan, max_gap, max_frames).select("video_id", "max_gap", "max_frames")
     joined = frames.join(plan, "video_id")
-    kept = _ordered(joined, folds.select_frames(True, True, "max_gap", threshold))
+    kept = _selected(joined, True, True, "max_gap", threshold)
     return name_keyframes(cap_frames(kept, "max_frames").drop("max_gap", "max_frames"))
 
 

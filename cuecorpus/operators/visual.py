@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from cuecorpus.functions import text as t
 from cuecorpus.operators import folds
+from cuecorpus.operators.ordered import scan
 
 MARK = "……"
 #: Lines that meet a transcript at once.
@@ -30,16 +31,15 @@ def nearby_context(frames: DataFrame, cues: DataFrame, window: float = 15, max_c
 def nearest_cue(frames: DataFrame, cues: DataFrame, max_chars: int = 500) -> DataFrame:
     """``context`` of each frame: the timed cue closest to it, ties to the first in transcript order.
 
-    Frames and cues are laid in one order per video; the cue before and the one after a frame are looked up in it.
+    Frames and cues are laid in one order per video; the cue before and the one after a frame are looked up in it, in as many
+    tasks as the video has ranges of time.
     """
     c = cues.where("seconds IS NOT NULL").groupBy("video_id", "seconds").agg(F.min(F.struct("seq", "text")).alias("_cue"))
     both = c.select("video_id", F.col("seconds").alias("at"), F.lit(None).cast("string").alias("path"), F.struct("_cue.seq", F.col("seconds"), "_cue.text").alias("_cue")).unionByName(
         frames.select("video_id", F.col("timestamp").alias("at"), "path"), allowMissingColumns=True
     )
-    own, late = W.partitionBy("video_id"), F.col("path").isNotNull()
-    # Both windows grow from their start, so each row costs the same; cues come before the frames of their time in both.
-    before, after = own.orderBy("at", late), own.orderBy(F.desc("at"), late)
-    rows = both.withColumns({k: F.last("_cue", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)) for k, w in (("_back", before), ("_ahead", after))}).where("path IS NOT NULL")
+    # A cue at a frame's time comes before it, and is found looking back.
+    rows = scan(both.withColumn("_frame", F.col("path").isNotNull()), ["video_id"], ["at", "_frame", "path"], last={"_back": F.col("_cue")}, next={"_ahead": F.col("_cue")}).where("path IS NOT NULL")
     far = lambda c: F.abs(F.col(f"{c}.seconds") - F.col("at"))
     ahead = F.col("_back").isNull() | (F.col("_ahead").isNotNull() & ((far("_ahead") < far("_back")) | ((far("_ahead") == far("_back")) & (F.col("_ahead.seq") < F.col("_back.seq")))))
     return rows.select("video_id", "path", t.rstrip(t.cut(F.when(ahead, F.col("_ahead.text")).otherwise(F.col("_back.text")), max_chars)).alias("context")).where("context IS NOT NULL")
@@ -77,8 +77,9 @@ def valid_cached_keyframes(cache: DataFrame, files: DataFrame, signatures: DataF
 
 def assign_batches(frames: DataFrame, size: int) -> DataFrame:
     """``batch`` from 0 and ``index`` from 1 of each frame, in time order."""
-    k = F.row_number().over(W.partitionBy("video_id").orderBy("timestamp", "path")) - 1
-    return frames.withColumn("_k", k).withColumns({"batch": F.floor(F.col("_k") / size).cast("int"), "index": (F.col("_k") % size + 1).cast("int")}).drop("_k")
+    k = F.col("_k") - 1
+    numbered = scan(frames, ["video_id"], ["timestamp", "path"], row="_k")
+    return numbered.withColumns({"batch": F.floor(k / size).cast("int"), "index": (k % size + 1).cast("int")}).drop("_k")
 
 
 def split_failed_batches(batches: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def visual_coverage(spark, d):
     return visual.coverage(v.frames(spark, d), v.v_visual(spark, d).where("event_id % 97 <> 0"))
 
 
-@query("SELECT video_id, path FROM v_frames WHERE video_id % 9 <> 0 AND video_id NOT IN (SELECT video_id FROM v_frames WHERE event_id % 97 = 0)")
+@query("WITH f AS MATERIALIZED (SELECT video_id, path, event_id FROM v_frames) SELECT f.video_id, f.path FROM f LEFT JOIN (SELECT DISTINCT video_id FROM f WHERE event_id % 97 = 0) g USING (video_id) WHERE f.video_id % 9 <> 0 AND g.video_id IS NULL")
 def cached_keyframes(spark, d):
     f = v.v_frames(spark, d)
     cache = f.select("video_id", F.concat(F.lit("s"), F.col("video_id").cast("string")).alias("signature"), "path")
