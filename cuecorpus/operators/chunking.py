@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,58 +27,57 @@ def _split(df: DataFrame, max_chars: int | Column, cut, text: str) -> DataFrame:
             raise ValueError("max_chars must be positive")
         max_chars = F.lit(max_chars)
     rest = [c for c in df.columns if c != text]
-    size = F.length(text)
-    parts = F.when(size <= max_chars, F.array(F.col(text))).otherwise(cut(F.col(text), size, max_chars))
-    rows = df.select(*rest, parts.alias("_parts"))
+    # Texts that are short enough never leave the JVM.
+    long = F.length(text) > max_chars
+
+    @F.pandas_udf("array<string>")
+    def cuts(texts: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([cut(x, int(n)) if isinstance(x, str) else None for x, n in zip(texts, most, strict=True)], dtype=object)
+
+    asked = cuts(F.when(long, F.col(text)), F.when(long, max_chars.cast("int")))
+    rows = df.select(*rest, F.coalesce(asked, F.when(F.col(text).isNotNull(), F.array(F.col(text)))).alias("_parts"))
     out = rows.select(*rest, F.size("_parts").alias("chunk_count"), F.posexplode("_parts").alias("_k", "text"))
     return out.select(*rest, (F.col("_k") + 1).alias("chunk_index"), "chunk_count", "text", F.length("text").alias("n_chars"))
 
 
-def _packed(text: Column, size: Column, most: Column) -> Column:
-    """Lines in parts of at most ``most`` characters, and where in the parts each chunk begins."""
-    cut_line = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.length(x) - 1, F.lit(0)), most), lambda at: F.substr(x, at + 1, most))
-    parts = F.flatten(F.transform(t.split_lines(text), cut_line))
-    sizes = lambda p: F.transform(p, lambda x, k: F.struct(k.alias("k"), (F.length(x) + 1).alias("n")))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("begin"))
-    # A chunk is closed when the next part and its break don't fit; only then does the list of beginnings grow.
-    step = lambda acc, x: F.when(
-        (F.size(acc["begin"]) > 0) & (acc["used"] + x["n"] <= most), F.struct((acc["used"] + x["n"]).alias("used"), acc["begin"].alias("begin"))
-    ).otherwise(F.struct(x["n"].alias("used"), F.concat(acc["begin"], F.array(x["k"])).alias("begin")))
-    begins = lambda p: F.aggregate(sizes(p), start, step, lambda acc: acc["begin"])
-    chunk = lambda p, b: F.transform(b, lambda at, k: F.array_join(F.slice(p, at + 1, F.coalesce(F.get(b, k + 1), F.size(p)) - at), "\n"))
-    return t.let(parts, lambda p: t.let(begins(p), lambda b: chunk(p, b)))
-
-
-def _balanced(text: Column, size: Column, most: Column) -> Column:
-    """Cuts from left to right; the state is what is left of the text and the chunks so far."""
-    find = lambda x: F.instr(x, "\n")
-
-    def step(acc: Column, left: Column) -> Column:
-        def at_line(even: Column) -> Column:
-            # Breaks at 1 to ``even``, looked for from the right, and at ``even`` to ``most``; a cut is behind its break.
-            back = find(F.reverse(F.substr(acc["rest"], F.lit(2), even)))
-            ahead = find(F.substr(acc["rest"], even + 1, F.greatest(F.lit(0), F.least(acc["n"], most) + 1 - even)))
-            before, behind = F.when(back > 0, even - back + 2), F.when(ahead > 0, even + ahead)
-            far = lambda x: F.abs(x - even)
-            near = F.when(behind.isNull() | (far(before) <= far(behind)), before).otherwise(behind)
-            return F.coalesce(near, even)
-
-        end = t.let(F.ceil(acc["n"] / left).cast("int"), at_line)
-        piece = lambda e: F.regexp_replace(F.substr(acc["rest"], F.lit(1), e), "\n+\\z", "")
-        return t.let(end, lambda e: F.struct(F.substr(acc["rest"], e + 1).alias("rest"), (acc["n"] - e).alias("n"), F.concat(acc["done"], F.array(piece(e))).alias("done")))
-
-    start = F.struct(text.alias("rest"), size.alias("n"), F.array().cast("array<string>").alias("done"))
-    pieces = F.ceil(size / most).cast("int")
-    return F.aggregate(F.sequence(pieces, F.lit(2), F.lit(-1)), start, step, lambda acc: F.concat(acc["done"], F.array(F.regexp_replace(acc["rest"], "\\A\n+", ""))))
+def _packed(text: str, most: int) -> list[str]:
+    """Chunks of whole lines, lines of over ``most`` characters cut; where a chunk ends is looked up among the sums of lengths."""
+    parts = [x[at : at + most] for x in text.splitlines() for at in range(0, max(len(x), 1), most)]
+    # Each part costs its length and a break.
+    used = np.concatenate(([0], np.cumsum([len(x) + 1 for x in parts])))
+    out, at = [], 0
+    while at < len(parts):
+        end = max(at + 1, int(np.searchsorted(used, used[at] + most, side="right")) - 1)
+        out.append("\n".join(parts[at:end]))
+        at = end
+    return out
+
+
+def _balanced(text: str, most: int) -> list[str]:
+    """Chunks of like length; the break nearest to an even cut is looked up among the places of all breaks."""
+    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+    n, pieces = len(text), -(-len(text) // most)
+    out, start = [], 0
+    for left in range(pieces, 1, -1):
+        even = start - (start - n) // left
+        at = int(np.searchsorted(breaks, even, side="right"))
+        # A cut stands behind its break. Breaks count after the first character, and as far as a chunk may reach.
+        before = [b for b in breaks[max(at - 1, 0) : at] if b > start]
+        behind = [b for b in breaks[int(np.searchsorted(breaks, even)) :][:1] if b <= start + most]
+        near = min(((abs(b + 1 - even), k, int(b) + 1) for k, found in enumerate((before, behind)) for b in found), default=(0, 0, even))
+        end = near[2]
+        out.append(text[start:end].rstrip("\n"))
+        start = end
+    return [*out, text[start:].lstrip("\n")]
 
 
 def split_text(df: DataFrame, max_chars: int | Column, text: str = "text") -> DataFrame:
-    """Chunks of whole lines, filled one after the other."""
+    """Chunks of whole lines, filled one after the other; the work is linear in a text's length."""
     return _split(df, max_chars, _packed, text)
 
 
 def split_text_balanced(df: DataFrame, max_chars: int | Column, text: str = "text") -> DataFrame:
-    """Chunks of like length, cut at line ends where one is near."""
+    """Chunks of like length, cut at line ends where one is near; the work is linear in a text's length."""
     return _split(df, max_chars, _balanced, text)
 
 

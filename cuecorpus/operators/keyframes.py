@@ -147,6 +147,6 @@ def image_luma(images: DataFrame, column: str = "image") -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def shrink(pdf: pd.DataFrame) -> pd.Series:
-        return pd.Series([folds.shrink_gray(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(float)) for r in pdf.itertuples()])
+        return pd.Series([folds.shrink_gray(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)) for r in pdf.itertuples()])
 
     return images.withColumn("luma", shrink(F.col(column)))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, StringType
 
+from cuecorpus.checkpoints import ensure_checkpoints
 from cuecorpus.functions import text as t
 from cuecorpus.operators import folds
 from cuecorpus.operators.ordered import scan
 
 MARK = "……"
 #: Lines that meet a transcript at once.
-LINES = 1000
+LINES = 10_000
 
 
 def nearby_context(frames: DataFrame, cues: DataFrame, window: float = 15, max_chars: int = 500) -> DataFrame:
@@ -142,17 +146,31 @@ def boilerplate_lines(frames: DataFrame) -> DataFrame:
     return counted.join(sizes, "video_id").where(_is_boilerplate(F.col("n"), F.col("frames"))).select("video_id", "norm", "n")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _found(lines: pd.Series, spoken: pd.Series) -> pd.Series:
+    """Of each list of lines, those that the text beside it holds: one automaton over the lines, one pass over the text."""
+
+    def find(patterns, text: str) -> list[str]:
+        machine = ahocorasick.Automaton()
+        for x in patterns:
+            machine.add_word(x, x)
+        machine.make_automaton()
+        return list({x for _, x in machine.iter(text)})
+
+    return pd.Series([find(x, y) if len(x) and y else [] for x, y in zip(lines, spoken, strict=True)], dtype=object)
+
+
 def spoken_lines(lines: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Distinct lines (``video_id``, ``norm``) of four characters and more that the video's transcript holds.
 
-    A video's lines meet its transcript as lists of about ``LINES``, so the transcript travels once for each list and not
-    for each line, and a video of any number of lines is more than one row.
+    A video's lines meet its transcript as lists of about ``LINES``, which are searched for at once, so the transcript is read
+    once for each list and not for each line, and a video of any number of lines is more than one row.
     """
     long = lines.where(F.length("norm") >= 4).select("video_id", "norm").distinct()
     lists = long.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / LINES).alias("lists"))
     dealt = long.join(lists, "video_id").groupBy("video_id", F.pmod(F.xxhash64("norm"), F.col("lists")).alias("list")).agg(F.collect_list("norm").alias("norms"))
     spoken = transcripts.select("video_id", t.normalize_line(F.col("text")).alias("spoken"))
-    found = dealt.join(spoken, "video_id").select("video_id", F.filter("norms", lambda x: F.col("spoken").contains(x)).alias("norms"))
+    found = dealt.join(spoken, "video_id").select("video_id", _found("norms", "spoken").alias("norms"))
     return found.select("video_id", F.explode("norms").alias("norm"))
 
 
@@ -161,25 +179,47 @@ def remove_subtitle_overlap(lines: DataFrame, transcripts: DataFrame) -> DataFra
     return lines.join(spoken_lines(lines, transcripts), ["video_id", "norm"], "left_anti").select(*lines.columns)
 
 
+def _lined(frames: DataFrame) -> DataFrame:
+    """Frames with their lines as ``_l`` and a number ``_id``, checkpointed, as numbers and lines are read more than once."""
+    ensure_checkpoints(frames.sparkSession)
+    lines = F.transform(t.screen_lines(F.col("visible_text")), lambda x, k: F.struct(k.alias("pos"), x.alias("line"), t.normalize_line(x).alias("norm")))
+    return frames.withColumns({"_l": F.coalesce(lines, F.array().cast("array<struct<pos:int,line:string,norm:string>>")), "_id": F.monotonically_increasing_id()}).checkpoint()
+
+
+def _useful(lined: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Lines of :func:`_lined` frames (``_id``, ``video_id``, ``pos``, ``line``, ``norm``) that are neither boilerplate nor spoken.
+
+    Frames that show a line are counted in the tasks that read them before the counts meet, and a video's boilerplate, of which
+    there is little by its nature, is taken out of frames before their lines become rows: the lines that most frames show
+    are never rows of one key.
+    """
+    sizes = lined.groupBy("video_id").agg(F.count(F.lit(1)).alias("_frames"))
+    counted = lined.select("video_id", F.explode(F.array_distinct("_l.norm")).alias("norm")).groupBy("video_id", "norm").agg(F.count(F.lit(1)).alias("_shown"))
+    judged = counted.join(sizes, "video_id").select("video_id", "norm", _is_boilerplate(F.col("_shown"), F.col("_frames")).alias("_boiler"))
+    boiler = judged.where("_boiler").groupBy("video_id").agg(F.collect_list("norm").alias("_boilers"))
+    known = lined.select("_id", "video_id", "_l").join(boiler, "video_id", "left")
+    shown = known.select("_id", "video_id", F.explode(F.filter("_l", lambda x: ~F.array_contains(F.coalesce("_boilers", F.array().cast("array<string>")), x["norm"]))).alias("_x")).select("_id", "video_id", "_x.*")
+    return remove_subtitle_overlap(shown, transcripts)
+
+
 def useful_lines(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Lines that are neither boilerplate nor spoken."""
-    sizes = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("_frames"))
-    lines = visual_lines(frames)
-    # A line counts once for each frame that shows it: where it is the first such line of the frame.
-    first = F.row_number().over(W.partitionBy("video_id", "norm", "image").orderBy("pos")) == 1
-    counted = lines.withColumn("_first", first.cast("int")).withColumn("_shown", F.sum("_first").over(W.partitionBy("video_id", "norm")))
-    kept = counted.join(sizes, "video_id").where(~_is_boilerplate(F.col("_shown"), F.col("_frames"))).select(*lines.columns)
-    return remove_subtitle_overlap(kept, transcripts)
+    """Lines that are neither boilerplate nor spoken: ``video_id``, ``image``, ``timestamp_seconds``, ``pos``, ``line``, ``norm``."""
+    lined = _lined(frames)
+    return _useful(lined, transcripts).drop("video_id").join(lined.select("_id", "video_id", "image", "timestamp_seconds"), "_id").select("video_id", "image", "timestamp_seconds", "pos", "line", "norm")
 
 
 def new_screen_lines(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """``delta_lines`` of each frame: its useful lines that the frame before it didn't show."""
-    useful = useful_lines(frames, transcripts).groupBy("video_id", "image", "timestamp_seconds").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "norm"))).alias("_l"))
-    none = F.array().cast("array<struct<pos:int,line:string,norm:string>>")
-    rows = frames.join(useful, ["video_id", "image", "timestamp_seconds"], "left").withColumn("_l", F.coalesce("_l", none))
-    order = W.partitionBy("video_id").orderBy("timestamp_seconds", "image")
-    rows = rows.withColumn("_before", F.coalesce(F.lag(F.col("_l.norm")).over(order), F.array().cast("array<string>")))
-    return rows.withColumn("delta_lines", F.filter("_l", lambda x: ~F.array_contains("_before", x["norm"]))["line"]).drop("_l", "_before")
+    """``delta_lines`` of each frame: its useful lines that the frame before it didn't show.
+
+    The frame before is looked up by an ordered scan over numbers of frames; lines meet those of the frame before by frame and
+    line, so a video of any length is dealt to all tasks.
+    """
+    lined = _lined(frames)
+    before = scan(lined.select("_id", "video_id", "timestamp_seconds", "image"), ["video_id"], ["timestamp_seconds", "image", "_id"], previous={"_before": F.col("_id")}).select("_id", "_before")
+    useful = _useful(lined, transcripts).join(before, "_id").checkpoint()
+    fresh = useful.join(useful.select(F.col("_id").alias("_before"), "norm").distinct(), ["_before", "norm"], "left_anti")
+    delta = fresh.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"].alias("delta_lines"))
+    return lined.join(delta, "_id", "left").select(*frames.columns, F.coalesce("delta_lines", F.array().cast("array<string>")).alias("delta_lines"))
 
 
 def compact_visual(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -189,18 +229,21 @@ def compact_visual(frames: DataFrame, transcripts: DataFrame) -> DataFrame:
     last frame that stayed. Frames with lines part a video into segments; only what has no lines passes through Python, and
     segments are dealt by themselves, so a long video is many tasks.
     """
-    rows = new_screen_lines(frames, transcripts).withColumn("description", t.collapse("description")).withColumn("_key", t.casefold(F.col("description")))
-    order = W.partitionBy("video_id").orderBy("timestamp_seconds", "image").rowsBetween(W.unboundedPreceding, 0)
+    ensure_checkpoints(frames.sparkSession)
     has = F.size("delta_lines") > 0
-    rows = rows.withColumns({"_segment": F.sum(has.cast("int")).over(order), "_head": F.last(F.when(has, F.col("_key")), True).over(order)})
-    plain = rows.where(~has & ~F.col("importance").eqNullSafe("low")).select("video_id", F.col("_segment").alias("segment"), "timestamp_seconds", "image", F.col("_key").alias("key"), F.col("_head").alias("head"))
-    stream = plain.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "timestamp_seconds", "image")
-    stay = stream.mapInArrow(folds.unlike_last, plain.schema).select("video_id", "image", "timestamp_seconds", F.lit(True).alias("_stay"))
-    kept = rows.join(stay, ["video_id", "image", "timestamp_seconds"], "left").where(has | F.coalesce("_stay", F.lit(False)))
+    rows = new_screen_lines(frames, transcripts).withColumn("description", t.collapse("description"))
+    rows = rows.withColumns({"_key": t.casefold(F.col("description")), "_has": has, "_id": F.monotonically_increasing_id()}).checkpoint()
+    narrow = rows.select("_id", "video_id", "timestamp_seconds", "image", "_has", "_key", F.col("importance").eqNullSafe("low").alias("_low"))
+    parted = scan(narrow, ["video_id"], ["timestamp_seconds", "image", "_id"], sums={"segment": F.col("_has")}, last={"head": F.when(F.col("_has"), F.col("_key"))})
+    plain = parted.where("NOT _has AND NOT _low").select("video_id", "segment", "timestamp_seconds", "image", "_id", F.col("_key").alias("key"), "head")
+    stream = plain.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "timestamp_seconds", "image", "_id")
+    stay = stream.mapInArrow(folds.unlike_last, plain.schema).select("_id", F.lit(True).alias("_stay"))
+    kept = rows.join(stay, "_id", "left").where(F.col("_has") | F.coalesce("_stay", F.lit(False)))
     short = lambda c, most: F.when(F.length(c) > most, F.concat(t.rstrip(t.cut(c, most)), F.lit(MARK))).otherwise(c)
     shown = kept.withColumn("visible_text", short(F.array_join("delta_lines", "\n"), F.lit(240)))
     said = shown.withColumn("description", short(F.col("description"), F.when(F.col("visible_text") != "", 80).otherwise(120)))
-    return said.select(*frames.columns)
+    # What a task writes stands in the order of time.
+    return said.sortWithinPartitions("video_id", "timestamp_seconds", "image").select(*frames.columns)
 
 
 def vision_metrics(batches: DataFrame) -> DataFrame:
