@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -103,10 +104,34 @@ def call_model(spark, d):
     return jobs.call_model(rows, _stub, 1000).select("video_id", "answer", "status", "attempts")
 
 
-@query()
+def _filled(template: str, **columns: str) -> str:
+    """SQL for a template with columns put in."""
+    parts = re.split(r"\{(\w+)\}", template)
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return " || ".join(quote(x) if k % 2 == 0 else columns[x] for k, x in enumerate(parts) if x)
+
+
+_SUMMARY = "{title}\n{source}\n{transcript}"
+_NOTE = f"CASE WHEN vision THEN '{t.NOTES['whisper']}{t.NOTE_VISION}' ELSE '{t.NOTES['file']}' END"
+_PART = dict(title="title", chunk_index="chunk_index", chunk_count="chunk_count", source="source", transcript_quality_note=_NOTE, transcript="part")
+
+
+@query(
+    "WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents), " + _even("src", 4000) + f""",
+facts AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, doc_id % 2 = 0 AS vision, CASE doc_id % 2 WHEN 0 THEN 'whisper+vision' ELSE 'file' END AS source FROM documents),
+pieces AS (SELECT b.id, b.chunk_index, b.chunk_count, b.text AS part, title, vision, source FROM balanced b JOIN facts USING (id)),
+asked AS (SELECT *, CASE WHEN chunk_count = 1 THEN {_filled(_SUMMARY, title="title", source="source", transcript="part")} WHEN vision THEN {_filled(jobs.VISION_PART_TEMPLATE, **_PART)} ELSE {_filled(jobs.PART_TEMPLATE, **_PART)} END AS prompt FROM pieces),
+told AS (SELECT *, length(prompt) % 7 = 0 AS bad, CASE WHEN length(prompt) % 7 = 0 THEN '' ELSE length(prompt) || ':' || substring(prompt, 1, 20) END AS answer FROM asked),
+whole AS (SELECT id, any_value(title) AS title, any_value(source) AS source, count(*) AS chunks, bool_or(bad) AS bad, any_value(answer) AS answer, string_agg(CAST(length(part) AS VARCHAR), '|' ORDER BY chunk_index) AS lengths,
+  '{chunking.MERGE_HEAD}' || string_agg('## 第 ' || chunk_index || '/' || chunk_count || ' 段摘要' || chr(10) || chr(10) || answer, chr(10) || chr(10) ORDER BY chunk_index) AS merged FROM told GROUP BY id),
+final AS (SELECT *, CASE WHEN chunks = 1 OR bad THEN NULL ELSE {_filled(_SUMMARY, title="title", source="source || '_partials'", transcript="merged")} END AS prompt FROM whole),
+ended AS (SELECT *, bad OR coalesce(length(prompt) % 7 = 0, false) AS empty FROM final)
+SELECT id AS video_id, source, CASE WHEN empty THEN NULL WHEN chunks = 1 THEN answer ELSE length(prompt) || ':' || substring(prompt, 1, 20) END AS summary, CASE WHEN empty THEN 'empty' ELSE 'ok' END AS status, CASE WHEN empty THEN '' END AS error,
+  4000 AS chunk_chars, chunks, lengths AS chunk_lengths, false AS fallback_used FROM ended"""
+)
 def summaries(spark, d):
     texts = _texts(spark, d).withColumn("source", F.when(F.col("video_id") % 2 == 0, "whisper+vision").otherwise("file"))
-    got = jobs.summarize_corpus(texts, v.v_videos(spark, d), _stub, 4000, "{title}\n{source}\n{transcript}")
+    got = jobs.summarize_corpus(texts, v.v_videos(spark, d), _stub, 4000, _SUMMARY)
     return got.withColumn("chunk_lengths", F.array_join(F.transform("chunk_lengths", lambda x: x.cast("string")), "|"))
 
 

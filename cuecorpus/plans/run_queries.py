@@ -163,19 +163,18 @@ def vision_documents(spark, d):
     return rows.where(F.size("j.frames") == F.col("j.frame_count")).select("video_id", "j.status", "j.error", "j.frame_count", "told")
 
 
-@query("""WITH e AS (SELECT CAST(1 AS BIGINT) AS video_id, event_id, epoch_us(ts) AS micros, value, user_id, event_type FROM events)
-SELECT event_id, row_number() OVER w AS row_no, count(*) OVER (PARTITION BY video_id) AS key_rows, CAST(sum(user_id) OVER w AS BIGINT) AS users, CAST(sum(CASE event_type WHEN 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY video_id) AS BIGINT) AS errors,
-  last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS bought, first_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY micros, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS signs, lag(event_type) OVER w AS came_before
-FROM e WINDOW w AS (PARTITION BY video_id ORDER BY micros, event_id)""")
+@query("""WITH e AS (SELECT CAST(1 AS BIGINT) AS video_id, conv_id, turn, role, length(text) AS n FROM conversations)
+SELECT conv_id, turn, row_number() OVER w AS row_no, count(*) OVER (PARTITION BY video_id) AS key_rows, CAST(sum(n) OVER w AS BIGINT) AS chars, CAST(sum(CASE role WHEN 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY video_id) AS BIGINT) AS systems,
+  last_value(CASE WHEN role = 'system' THEN conv_id END IGNORE NULLS) OVER w AS told, first_value(CASE WHEN n % 50 = 0 THEN conv_id END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY conv_id, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, lag(role) OVER w AS came_before
+FROM e WINDOW w AS (PARTITION BY video_id ORDER BY conv_id, turn)""")
 def long_key_scan(spark, d):
-    """All events as one video: numbers, sums and last known values over a key that is the whole table."""
-    e = v.table(spark, d, "events").withColumns({"video_id": F.lit(1).cast("long"), "micros": F.unix_micros(F.col("ts").cast("timestamp"))})
-    kind = lambda k: F.when(F.col("event_type") == k, F.col("event_id"))
+    """All turns of all conversations as one video: numbers, sums and last known values over a key that is the whole table."""
+    e = v.table(spark, d, "conversations").select(F.lit(1).cast("long").alias("video_id"), "conv_id", "turn", "role", F.length("text").alias("n"))
     got = scan(
-        e, ["video_id"], ["micros", "event_id"], row="row_no", size="key_rows", sums={"users": F.col("user_id")}, totals={"errors": F.col("event_type") == "error"},
-        last={"bought": kind("purchase")}, next={"signs": kind("signup")}, previous={"came_before": F.col("event_type")},
+        e, ["video_id"], ["conv_id", "turn"], row="row_no", size="key_rows", sums={"chars": F.col("n")}, totals={"systems": F.col("role") == "system"},
+        last={"told": F.when(F.col("role") == "system", F.col("conv_id"))}, next={"ahead": F.when(F.col("n") % 50 == 0, F.col("conv_id"))}, previous={"came_before": F.col("role")},
     )
-    return got.select("event_id", "row_no", "key_rows", "users", "errors", "bought", "signs", "came_before")
+    return got.select("conv_id", "turn", "row_no", "key_rows", "chars", "systems", "told", "ahead", "came_before")
 
 
 _SCAN_SELECT = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY timestamp, CASE source WHEN 'scene' THEN 0 ELSE 1 END, path) AS k FROM v_frames),
