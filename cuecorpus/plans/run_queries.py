@@ -13,9 +13,11 @@ from cuecorpus.operators import keyframes, resume, timeline
 from cuecorpus.operators.ordered import scan
 from cuecorpus.plans import fixtures as v
 from cuecorpus.plans import jobs, runner
+from cuecorpus.plans.frame_queries import _EVENTS
 from cuecorpus.plans.job_queries import _PLAN
 from cuecorpus.plans.journal import Calls, Journal
 from cuecorpus.plans.registry import query
+from cuecorpus.sources.buckets import Buckets
 from cuecorpus.sources.store import Store
 
 
@@ -177,6 +179,20 @@ def long_key_scan(spark, d):
     return got.select("conv_id", "turn", "row_no", "key_rows", "chars", "systems", "told", "ahead", "came_before")
 
 
+@query(_EVENTS)
+def timeline_in_buckets(spark, d):
+    """The timeline from tables that lie in buckets of the video, a table replaced in part before: no row changes its task."""
+    corpus = Buckets(spark, _fresh(spark, "buckets"), f"c{uuid.uuid4().hex}", 8)
+    cues, shown = v.v_cues(spark, d), v.v_visual(spark, d)
+    corpus.write("cues", cues.withColumn("text", F.when(F.col("video_id") % 3 == 0, F.lit("old")).otherwise(F.col("text"))))
+    corpus.upsert("cues", cues.where("video_id % 3 = 0"))
+    corpus.write("shown", shown)
+    events = timeline.build_timeline(corpus.read("cues"), corpus.read("shown"))
+    if corpus.exchanges(events):
+        raise AssertionError("rows are dealt by video again")
+    return events
+
+
 _SCAN_SELECT = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY timestamp, CASE source WHEN 'scene' THEN 0 ELSE 1 END, path) AS k FROM v_frames),
 walk AS (SELECT k, timestamp AS anchor, 1 AS g, true AS take FROM e WHERE k = 1
   UNION ALL SELECT e.k, CASE WHEN abs(e.timestamp - w.anchor) > 1 OR e.source = 'scene' THEN e.timestamp ELSE w.anchor END, CASE WHEN abs(e.timestamp - w.anchor) > 1 THEN w.g + 1 ELSE w.g END, abs(e.timestamp - w.anchor) > 1 OR e.source = 'scene' FROM walk w JOIN e ON e.k = w.k + 1)

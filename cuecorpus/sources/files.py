@@ -93,16 +93,12 @@ def videos_from_media_listing(files: DataFrame, durations: DataFrame) -> DataFra
 def write_corpus(df: DataFrame, path: str, buckets: int = 64, key: str = "video_id") -> None:
     """Write a table by hash bucket of the video; only buckets with rows in ``df`` are replaced.
 
-    A bucket is replaced whole: give all rows of the buckets that are touched, as :func:`upsert_corpus` does.
+    A bucket is replaced whole: give all rows of the buckets that are touched, as :func:`upsert_corpus` does. A large bucket
+    is written by several tasks, a small one by one; how many is left to the sizes that are met at run time. Readers that
+    must never see a table between two states take :class:`cuecorpus.sources.store.Store` or ``Buckets``.
     """
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).hint("rebalance", "bucket")
+    bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def upsert_corpus(df: DataFrame, path: str, buckets: int = 64, key: str = "video_id") -> None:

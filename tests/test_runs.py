@@ -333,3 +333,35 @@ def test_a_run_that_breaks_loses_one_wave(spark, tmp_path):
     runner.compact(store, runner.CACHE)
     assert len(store.manifest()["tables"]["transcript"]) == 1 and runner.Artifacts(store)("transcript").count() == 39
     assert runner.missing(store, wanted, modes).count() == 1
+
+
+# Buckets.
+
+
+def test_tables_in_buckets(spark, tmp_path):
+    from cuecorpus.operators import timeline
+    from cuecorpus.sources.buckets import Buckets, buckets_for
+
+    assert [buckets_for(x, 10) for x in (0, 10, 11, 20, 21, 1000)] == [1, 1, 2, 2, 4, 128]
+    corpus = Buckets(spark, f"file://{tmp_path}/b", "talks", 4)
+    cues = spark.createDataFrame([(v, k, f"00:00:{k:02d}", float(k), f"cue {k}") for v in range(9) for k in range(6)], "video_id long, seq long, ts string, seconds double, text string")
+    seen = spark.createDataFrame(
+        [(v, float(k) + 0.5, "00:00:00", f"f{k}.jpg", "scene", f"d{v} {k} " * 9, f"text {k} " * 9, "high", "") for v in range(9) for k in range(20)],
+        "video_id long, timestamp_seconds double, timestamp string, image string, frame_source string, description string, visible_text string, importance string, uncertainty string",
+    )
+    corpus.write("cues", cues)
+    corpus.write("seen", seen.where("video_id <> 4"))
+    corpus.upsert("seen", seen.where("video_id IN (4, 5)"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (None, 500):
+            got = timeline.build_timeline(corpus.read("cues"), corpus.read("seen"), most)
+            want = timeline.build_timeline(cues, seen, most)
+            assert corpus.exchanges(got) == 0 < corpus.exchanges(want)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert corpus.read("seen").count() == 180
+    with pytest.raises(ValueError):
+        Buckets(spark, "x", "a b", 1)
