@@ -136,17 +136,16 @@ def run_stages(store: Store, requests: DataFrame, modes: DataFrame, stages: list
 
     ``requests`` and ``modes`` as for :func:`cuecorpus.operators.resume.plan_stages`, with the store's own artifacts in place of
     ``artifact``. A stage is asked for only where all it is made from is there; a video that failed in one is left out of the
-    later ones and asked for again by the next run. What a wave is asked for is written down before it is made, so that it
-    doesn't change with what the wave publishes; a wave without videos publishes nothing.
+    later ones and asked for again by the next run. What a stage is asked for is written down before it is made, so that it
+    doesn't change with what its waves publish; a wave without videos publishes nothing.
     """
     _retire(store, requests, modes, run, now)
     for stage in stages:
-        for wave in range(waves):
-            mine = _ready(store, requests, modes, stage.name).where(F.pmod(F.xxhash64("video_id"), F.lit(waves)) == wave)
-            folder = store.write(f"asked-{stage.name}", mine, store.version() + 1)
-            asked = store.spark.read.parquet(f"{store.root}/{folder}").drop(COMMIT)
-            if not asked.isEmpty():
-                _make(store, stage, asked, run, now)
+        dealt = _ready(store, requests, modes, stage.name).withColumn("_wave", F.pmod(F.xxhash64("video_id"), F.lit(waves)).cast("int"))
+        folder = store.write(f"asked-{stage.name}", dealt, store.version() + 1)
+        asked = store.spark.read.schema(dealt.schema).parquet(f"{store.root}/{folder}")
+        for wave in sorted(r[0] for r in asked.select("_wave").distinct().collect()):
+            _make(store, stage, asked.where(F.col("_wave") == wave).drop("_wave"), run, now)
     made = made_by(store)  # reads the folders named now, which stay
     for table, parts in store.manifest()["tables"].items():
         if len(parts) >= MOST_PARTS:
