@@ -59,14 +59,35 @@ def chunk_stats(spark, d):
     return got.withColumn("chunk_lengths", F.array_join(F.transform("chunk_lengths", lambda x: x.cast("string")), "|"))
 
 
-@query()
+_EDGE = t.TERM_EDGE.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+def _matches(column: str) -> str:
+    """SQL for the terms in a column. The engine's word bounds know ASCII only: letters beyond it become underscores, two of
+    them where a term may hold one."""
+    plain = rf"regexp_replace(coalesce({column}, ''), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\x00-\x7F]', chr(1), 'g')"
+    found = [rf"regexp_extract_all(regexp_replace({plain}, '[^\x00-\x7F]', '{'__' if k == 0 else '_'}', 'g'), '{p.removeprefix('(?U)')}', 0)" for k, p in enumerate(chunking.TERM_PATTERNS)]
+    return f"list_concat({found[0]}, list_concat({found[1]}, {found[2]}))"
+
+
+_TERMS = (
+    rf"""WITH c AS (SELECT video_id, list_concat(list_concat({_matches('title')}, list_concat({_matches('uploader')}, {_matches('description')})), list_filter(list_concat(tags[1:12], categories[1:8]), lambda x: length(x) <= 30)) AS terms FROM v_videos),
+n AS (SELECT video_id, list_filter(list_transform(terms, lambda x: trim(trim(regexp_replace(regexp_replace(x, 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g'), '{_EDGE}'))), lambda x: length(x) BETWEEN 2 AND 60) AS terms FROM c),
+s AS (SELECT video_id, list_transform(terms, lambda x: {{'terms': [x], 'keys': [replace(lower(x), 'ß', 'ss')], 'size': length(x) + 2}}) AS steps FROM n),
+r AS (SELECT video_id, list_reduce(steps, lambda a, x: CASE WHEN len(list_filter(a.keys, lambda k: contains(k, x.keys[1]))) > 0 OR a.size + x.size - 2 > 800 THEN a
+  ELSE {{'terms': list_concat(a.terms, x.terms), 'keys': list_concat(a.keys, x.keys), 'size': a.size + x.size}} END, {{'terms': []::VARCHAR[], 'keys': []::VARCHAR[], 'size': 0::BIGINT}}) AS kept FROM s)
+SELECT video_id, array_to_string(kept.terms, '|') AS terms, CASE WHEN len(kept.terms) > 0 THEN '{t.ASR_LEAD}' || array_to_string(kept.terms, '、') END AS asr_prompt FROM r"""
+)
+
+
+@query(_TERMS)
 def context_terms(spark, d):
-    """Over all videos and whole descriptions, where SQL is too slow; its word bounds know ASCII only, too."""
+    """Over all videos and whole descriptions."""
     return chunking.context_terms(v.v_videos(spark, d)).withColumn("terms", join("terms"))
 
 
 #: Its former name, for whole texts, stays.
-query(name="context_terms_all")(context_terms)
+query(_TERMS, name="context_terms_all")(context_terms)
 
 _PROMPT = "{title} {chunk_index}/{chunk_count} {source}\n```\n{transcript}\n```\n"
 
