@@ -44,10 +44,15 @@ CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "
 #: Parts of names (class, id) of elements outside the main text.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsbygoogle alert banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disqus discussion footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain "
-    "overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor "
+    "cookies copyright cta disqus discussion donate footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain "
+    "overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
+#: Words that are written together with others.
+JOINED = re.compile(
+    r"(?!commentar)(?:comment|cookie|footer|sidebar|advert|banner|newsletter|navigation|breadcrumb|sponsor|pagination|disqus|masthead)\w+"
+    r"|\w+(?:comments?|sidebar|footer|navbar|nav|menu|banner|advert|cookies?)|ads?(?:area|banner|block|box|container|label|panel|sense|slot|space|unit|wrap|wrapper|zone)"
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Names that say that an element has or lacks such a part besides the main text.
 HAVING = frozenset("has no with without".split())
@@ -104,7 +109,7 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
                 words = {w.lower() for w in WORDS.findall(whole)}
                 if words & HAVING:
                     continue
-                if words & NAMES or (not inside and "header" in words and not words & {"article", "entry", "post", "story", "content"}):
+                if words & NAMES or any(JOINED.fullmatch(w) for w in words) or (not inside and "header" in words and not words & {"article", "entry", "post", "story", "content"}):
                     return True
     return False
 

@@ -67,6 +67,12 @@ def test_pages_against_another_parser(spark):
         ),
         # Comments under a heading, without any names.
         (f"<div><a href=1>Home</a> | <a href=2>News</a></div><h1>T</h1><p>{WORDS}</p><p>Nein.</p><p>{WORDS}</p><h2>Comments</h2><p>{WORDS}</p>", ["T", WORDS.strip(), "Nein.", WORDS.strip()]),
+        # Names that are written together; a name that only looks alike.
+        (
+            f'<div class="topnav">{WORDS}</div><div class="cookiebar">{WORDS}</div><article><p class="commentary">eins</p><div id="adSlot3">{WORDS}</div><div class="adbox">{WORDS}</div><p>zwei</p>'
+            f'<ol class="commentlist"><li><p>{WORDS}</p></li></ol></article><div class="leftSidebar">{WORDS}</div>',
+            ["eins", "zwei"],
+        ),
         # One form around everything; a menu that is never closed.
         (f"<form><nav>x</nav><p>{WORDS}</p></form>", [WORDS.strip()]),
         (f"<nav><a href=x>x</a><article><p>a &lt;b&gt; 1 < 2<p title='>'>c</article>", ["a <b> 1 < 2", "c"]),
