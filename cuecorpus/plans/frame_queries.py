@@ -217,7 +217,25 @@ def compact_visual(spark, d):
     return visual.compact_visual(v.v_visual(spark, d), v.v_transcripts(spark, d)).drop("event_id")
 
 
-@query()
+_PROOF = r"(?i)(?:^|[；：\s])(?:\$\s*)?(?:npx|npm|pnpm|yarn|pipx?|uv|docker|git|cargo|go|brew)\s+\S+|https?://\S+|github\.com/\S+"
+
+
+#: Visual events within the budgets of ``b`` (``video_id``, ``budget``), chosen one after the other.
+_HELD = rf"""e AS (SELECT video_id, seconds, image, text, row_number() OVER (PARTITION BY video_id ORDER BY seconds, image) - 1 AS k, regexp_matches(text, '{_PROOF}') AS proof
+  FROM (SELECT video_id, timestamp_seconds AS seconds, image, '[' || timestamp || '] 画面：' || description || CASE WHEN visible_text <> '' THEN '；屏幕文字：' || visible_text ELSE '' END || CASE WHEN uncertainty <> '' THEN '；不确定性：' || uncertainty ELSE '' END AS text FROM v_visual)),
+s AS (SELECT video_id, any_value(budget) AS budget, count(*) AS n, CAST(sum(length(text) + 1) AS BIGINT) AS total, coalesce(list(k ORDER BY k) FILTER (proof), []) AS proofs FROM e JOIN b USING (video_id) GROUP BY 1),
+w AS (SELECT *, greatest(1, least(n, n * budget // total)) AS want FROM s),
+h AS (SELECT *, least(len(proofs), greatest(1, want // 5)) AS held FROM w),
+pick AS (SELECT video_id, n, want, CASE WHEN total <= budget THEN range(0, n) WHEN want = 1 THEN [n // 2]
+  ELSE list_distinct(list_concat(proofs[len(proofs) - held + 1:], list_transform(range(0, want - held), lambda i: CAST(round_even(i * (n - 1) / greatest(want - held - 1, 1), 0) AS BIGINT)))) END AS chosen FROM h
+  UNION ALL SELECT video_id, n, want, list_append(chosen, list_position(away, list_max(away)) - 1) FROM (SELECT *, list_transform(range(0, n), lambda i: CASE WHEN list_contains(chosen, i) THEN -1 ELSE list_min(list_transform(chosen, lambda c: abs(i - c))) END) AS away FROM pick WHERE len(chosen) < want)),
+full_pick AS (SELECT video_id, arg_max(chosen, len(chosen)) AS chosen FROM pick GROUP BY 1),
+kept AS (SELECT e.*, budget, total <= budget AS fits, greatest(1, budget // len(chosen) - 1) AS each FROM e JOIN full_pick USING (video_id) JOIN s USING (video_id) WHERE list_contains(chosen, k)),
+short AS (SELECT * REPLACE (CASE WHEN fits OR length(text) <= each THEN text ELSE rtrim(substring(text, 1, greatest(1, each - CASE WHEN each > 2 THEN 2 ELSE 0 END)), ' ' || chr(10)) || CASE WHEN each > 2 THEN '……' ELSE '' END END AS text) FROM kept),
+held AS (SELECT * FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY video_id ORDER BY k) AS used FROM short) WHERE used <= budget)"""
+
+
+@query(f"WITH RECURSIVE b AS (SELECT DISTINCT video_id, CAST(1200 AS BIGINT) AS budget FROM v_visual), {_HELD} SELECT video_id, seconds, 1 AS priority, image, text FROM held")
 def limit_visual_events(spark, d):
     events = timeline.visual_events(v.v_visual(spark, d)).drop("_tie")
     return timeline.limit_visual_events(events, events.select("video_id", F.lit(1200).alias("budget")).distinct())
@@ -240,6 +258,16 @@ def timeline_text(spark, d):
     return timeline.render_timeline_text(timeline.build_timeline(cues, v.v_visual(spark, d)), cues)
 
 
+@query(f"""WITH RECURSIVE c AS (SELECT video_id, sum(CASE WHEN seconds IS NOT NULL THEN length('[' || ts || '] ' || text) + 1 ELSE 0 END) AS speech, string_agg(CASE WHEN seconds IS NULL THEN text END, chr(10) ORDER BY seq) AS untimed FROM v_cues GROUP BY 1),
+b AS (SELECT v.video_id, CAST(least(3200, greatest(greatest(800, 1250), greatest(0, 5000 - (length('{timeline.HEADER}') + length('{timeline.AXIS}') + 4 + coalesce(length(untimed) + length('{timeline.UNTIMED}') + 4, 0) + coalesce(speech, 0))))) AS BIGINT) AS budget FROM (SELECT DISTINCT video_id FROM v_visual) v LEFT JOIN c USING (video_id)),
+{_HELD}
+SELECT video_id, seconds, 0 AS priority, CAST(seq AS BIGINT) AS seq, '[' || ts || '] ' || text AS text FROM v_cues WHERE seconds IS NOT NULL
+UNION ALL SELECT video_id, seconds, 1, row_number() OVER (PARTITION BY video_id ORDER BY seconds, image) - 1, text FROM held""")
+def timeline_held(spark, d):
+    """The timeline with all frames as they were seen, held to the budget that speech leaves."""
+    return timeline.build_timeline(v.v_cues(spark, d), v.v_visual(spark, d), 5000)
+
+
 @query()
 def timeline_budgeted(spark, d):
     return timeline.build_timeline(v.v_cues(spark, d), visual.compact_visual(v.v_visual(spark, d), v.v_transcripts(spark, d)), 5000)

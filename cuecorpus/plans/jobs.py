@@ -307,7 +307,7 @@ def analyze_frames(
     said = F.concat(F.lit("张图片，对应视频时间 "), t.format_timestamp(F.col("timestamp")), F.lit("。相邻字幕："), F.coalesce(F.nullif("context", F.lit("")), F.lit("无")))
     rows = pending.join(visual.frame_context(pending, cues), ["video_id", "path"], "left").join(terms.select("video_id", F.array_join("terms", "、").alias("terms")), "video_id", "left")
     rows = rows.select("video_id", "path", "timestamp", "source", said.alias("said"), F.coalesce("terms", F.lit("")).alias("terms"), F.sha2(F.col("video_id").cast("string"), 256).alias("key"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "video_id", "timestamp", "path")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "video_id", "timestamp", "path")
     journal = journal and journal.begun()
     asked = ordered.mapInPandas(_ask_frames(make, size, calls, journal), ASKED.format(video=frames.schema["video_id"].dataType.simpleString())).checkpoint()
     answers = asked.where("path IS NOT NULL")
