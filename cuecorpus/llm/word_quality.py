@@ -2,14 +2,15 @@
 
 Words are runs between white space with A-Z lowered; characters of three and more bytes are words of their own, so
 scripts without spaces are read as well. Words, pairs and triples are keyed by 64-bit hashes. Documents are dealt into
-blocks as in ``quality``. A block sends each of its distinct triples, pairs and words once, as packed sorted keys, to the
-shards that own them, and with them the counts of its trusted triples. Triples are dealt by their context, so a shard has
-all that follows a pair; pairs and words are dealt by themselves and get sums made beforehand. Each shard answers with
-counts, in the order of the keys asked, and a block works out the probabilities of its words from the answers.
+blocks as in ``quality``. A block gives each of its distinct triples, pairs and words as one row, and the counts of its
+trusted triples. Counts, continuation counts and what follows a context are aggregations of the trusted rows. The rows of
+the blocks meet them in one join by key, and what is found goes back to the blocks, which work out the probabilities of
+their words. So all that moves is in proportion to the distinct n-grams of blocks, which are nearly the words of the
+corpus, and no task holds more than a block or what a join sorts and spills. A key has one row in a block at most, however
+often a text is repeated.
 
 Trusted text is learnt from, but for every ``held_out``-th document: limits are quantiles of documents that the model hasn't
-learnt, since those that it has are far likelier to it than any unseen text, however good. What is gathered grows with the distinct triples of blocks, which is nearly the number
-of words.
+learnt, since those that it has are far likelier to it than any unseen text, however good.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuecorpus.llm.quality import QUANTILE, _pack, _unpack, discounts
@@ -33,8 +33,9 @@ HELD_OUT = 10
 BLOCK_BYTES = 5_000_000
 #: Stands before a text's first word.
 PAD = np.uint64(0x50AD50AD50AD50AD)
-ROW = "kind int, shard long, block long, a binary, b binary"
-NAMES = ["kind", "shard", "block", "a", "b"]
+#: A key that a block asks for (``n`` null), or a trusted triple with its first two words, its last two, second and third word.
+ROW = "block long, key long, context long, pair long, second long, word long, n long"
+ANSWER = {"c": np.int64, "total": np.int64, "rest": np.float64}
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,195 +76,90 @@ def _read(blobs: pa.ChunkedArray) -> Iterator[tuple[pa.Table, list[tuple[np.ndar
         yield rows, [keys_of(texts[lo:hi]) for lo, hi in batches_of(texts)]
 
 
-def _squeeze(*columns: np.ndarray) -> bytes:
-    """Arrays of 64 bits and one length as bytes; the first is sorted."""
-    flat = [np.diff(columns[0].view(np.uint64), prepend=np.uint64(0)), *columns[1:]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in flat))
-
-
-def _expand(blob: bytes, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
-    out = [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in raw]
-    return [np.cumsum(out[0].view(np.uint64)), *out[1:]]
-
-
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-
-
-def _deal(shard: np.ndarray, *columns: np.ndarray) -> dict[int, list[np.ndarray]]:
-    """Columns by shard, each in its order."""
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-    return {int(shard[order[lo]]): [c[order[lo:hi]] for c in columns] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)} if len(order) else {}
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
-
-
 def _joined(parts: list[tuple[np.ndarray, ...]], k: int) -> np.ndarray:
     return np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64)
 
 
-def _questions(triples: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, seconds: np.ndarray, words: np.ndarray, shards: int) -> dict[int, tuple]:
-    """By order: distinct keys whose counts are asked for and their shards, and those for which what follows is asked."""
-    g, at = np.unique(triples, return_index=True)
-    h, s, m, w = (np.unique(x) for x in (contexts, pairs, seconds, words))
-    return {3: (g, _shard(contexts[at], shards), h, _shard(h, shards)), 2: (s, _shard(s, shards), h[:0], np.zeros(0, np.int64)), 1: (w, _shard(w, shards), m, _shard(m, shards))}
-
-
-def _learner(shards: int):
-    def learn(blobs: pa.Table, trusted: pa.Table) -> pa.Table:
-        known = np.asarray(trusted["doc_id"], np.int64)
-        block = blobs["block"][0].as_py() if blobs.num_rows else 0
-        parts, good = [], []
-        for rows, own in _read(blobs["blob"]):
-            ids = rows["doc_id"].combine_chunks()
-            parts += own
-            good.append(np.repeat(np.isin(np.asarray(ids.fill_null(0), np.int64), known) & np.asarray(ids.is_valid()), np.concatenate([p[5] for p in own])))
-        columns = [_joined(parts, k) for k in range(5)]
-        del parts
-        out = []
-        for kind, (a, sa, b, sb) in _questions(*columns, shards).items():
-            left, right = _deal(sa, a), _deal(sb, b)
-            none = [np.zeros(0, np.uint64)]
-            out += [(kind, x, block, _squeeze(*left.get(x, none)), _squeeze(*right.get(x, none))) for x in sorted(left.keys() | right.keys())]
-        good = np.concatenate(good) if good else np.zeros(0, bool)
-        g, at, n = np.unique(columns[0][good], return_index=True, return_counts=True)
-        h, s, m, w = (c[good][at] for c in columns[1:])
-        out += [(-3, x, block, _squeeze(*c), None) for x, c in _deal(_shard(h, shards), g, h, s, m, w, n.astype(np.int64)).items()]
-        return _table(out)
-
-    return learn
-
-
-def _kinds(counts: np.ndarray) -> list[int]:
-    return [int((counts == n).sum()) for n in (1, 2, 3, 4)] + [int((counts > 2).sum()), int(counts.sum())]
+def _learn(blobs: pa.Table, trusted: pa.Table) -> pa.Table:
+    known = np.asarray(trusted["doc_id"], np.int64)
+    block = blobs["block"][0].as_py() if blobs.num_rows else 0
+    parts, good = [], [np.zeros(0, bool)]
+    for rows, own in _read(blobs["blob"]):
+        ids = rows["doc_id"].combine_chunks()
+        parts += own
+        good.append(np.repeat(np.isin(np.asarray(ids.fill_null(0), np.int64), known) & np.asarray(ids.is_valid()), np.concatenate([p[5] for p in own])))
+    columns = [_joined(parts, k) for k in range(5)]
+    del parts
+    asked = np.concatenate([np.unique(columns[0]), np.unique(np.concatenate(columns[1:3])), np.unique(np.concatenate(columns[3:]))])
+    good = np.concatenate(good)
+    keys, at, n = np.unique(columns[0][good], return_index=True, return_counts=True)
+    learnt = [keys, *(c[good][at] for c in columns[1:]), n]
+    longs = [pa.array(x.view(np.int64)) for x in learnt]
+    none = pa.nulls(len(asked), pa.int64())
+    whole = [pa.chunked_array([a, b]) for a, b in zip([pa.array(asked.view(np.int64)), *[none] * 5], longs, strict=True)]
+    return pa.table([pa.array(np.full(len(asked) + len(keys), block, np.int64)), *whole], names=["block", "key", "context", "pair", "second", "word", "n"])
 
 
-def _follow(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Distinct contexts with the sum of what follows, and how much of it was seen once, twice and more often."""
-    k, at = np.unique(keys, return_inverse=True)
-    sums = lambda x: np.bincount(at, weights=x, minlength=len(k)).astype(np.int64)
-    return [k, sums(counts), sums(counts == 1), sums(counts == 2), sums(counts > 2)]
+def _counted(n: Column) -> list[Column]:
+    """How many n-grams occur once to four times and over twice, and the sum of all."""
+    times = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    return [*[times(n == k).alias(f"n{k}") for k in (1, 2, 3, 4)], times(n > 2).alias("more"), F.coalesce(F.sum(n), F.lit(0)).alias("total")]
 
 
-def _gathered(rows: pa.Table, columns: int) -> list[np.ndarray]:
-    parts = [_expand(x, columns) for x in rows["a"].to_pylist()]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+def _totals(counts: DataFrame) -> dict[str, int]:
+    return counts.agg(*_counted(F.col("n"))).first().asDict()
 
 
-def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows with one key (the first column) as one row, the last column summed."""
-    key, at, inverse = np.unique(columns[0], return_index=True, return_inverse=True)
-    return [key, *(c[at] for c in columns[1:-1]), np.bincount(inverse, weights=columns[-1], minlength=len(key)).astype(np.int64)]
+def _rest(cut: list[float], seen: dict | None = None):
+    """What discounts leave to the next lower order, as a part of what follows a context."""
+    if seen is not None:
+        return (cut[0] * seen["n1"] + cut[1] * seen["n2"] + cut[2] * seen["more"]) / max(seen["total"], 1)
+    return (F.lit(cut[0]) * F.col("n1") + F.lit(cut[1]) * F.col("n2") + F.lit(cut[2]) * F.col("more")) / F.col("total")
 
 
-def _totals(kind: int, counts: np.ndarray) -> tuple:
-    return (0, kind, 0, np.asarray(_kinds(counts), np.int64).tobytes(), None)
+def _answers(counts: DataFrame, key: str, follow: DataFrame, context: str, cut: list[float]) -> DataFrame:
+    """``key``, its count ``c``, and what follows it as a context: ``total``, and the part ``rest`` that it leaves."""
+    own = counts.select(F.col(key).alias("key"), F.col("n").alias("c"))
+    after = follow.groupBy(F.col(context).alias("key")).agg(*_counted(F.col("n"))).select("key", "total", _rest(cut).alias("rest"))
+    return own.join(after, "key", "full").select("key", "c", "total", "rest")
 
 
-def _triples(shards: int):
-    def merge(rows: pa.Table) -> pa.Table:
-        g, h, s, m, w, n = _merged(_gathered(rows, 6))
-        h, s, m, w = (x.view(np.uint64) for x in (h, s, m, w))
-        pairs = _merged([s, m, w, np.ones(len(s), np.int64)])
-        out = [(3, rows["shard"][0].as_py(), 0, _squeeze(g, n), _squeeze(*_follow(h, n))), _totals(3, n)]
-        return _table(out + [(-2, x, 0, _squeeze(*c), None) for x, c in _deal(_shard(pairs[0], shards), *pairs).items()])
+def _scorer(totals: dict[int, dict[str, int]]):
+    cuts = {k: discounts([t[f"n{n}"] for n in (1, 2, 3, 4)]) for k, t in totals.items()}
 
-    return merge
-
-
-def _pairs(shards: int):
-    def merge(rows: pa.Table) -> pa.Table:
-        s, m, w, n = _merged(_gathered(rows, 4))
-        m, w = m.view(np.uint64), w.view(np.uint64)
-        words = _merged([w, np.ones(len(w), np.int64)])
-        follow = _follow(m, n)
-        left, right = _deal(_shard(words[0], shards), *words), _deal(_shard(follow[0], shards), *follow)
-        none = np.zeros(0, np.uint64)
-        out = [(2, rows["shard"][0].as_py(), 0, _squeeze(s, n), _squeeze(*[none] * 5)), _totals(2, n)]
-        return _table(out + [(-1, x, 0, _squeeze(*left.get(x, [none] * 2)), _squeeze(*right.get(x, [none] * 5))) for x in left.keys() | right.keys()])
-
-    return merge
-
-
-def _words(rows: pa.Table) -> pa.Table:
-    w, n = _merged(_gathered(rows, 2))
-    parts = [np.concatenate(c) for c in zip(*(_expand(x, 5) for x in rows["b"].to_pylist()), strict=True)]
-    sums = [_merged([parts[0], c]) for c in parts[1:]]
-    return _table([(1, rows["shard"][0].as_py(), 0, _squeeze(w, n), _squeeze(sums[0][0], *(x[1] for x in sums))), _totals(1, n)])
-
-
-def _found(table: list[np.ndarray], keys: np.ndarray) -> bytes:
-    """The values that ``table`` (keys, values, ...) has for ``keys``; 0 for others."""
-    at = np.minimum(np.searchsorted(table[0], keys), max(len(table[0]) - 1, 0))
-    there = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), bool)
-    values = [np.where(there, c[at] if len(c) else 0, 0).astype(np.int64) for c in table[1:]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(v.view(np.uint8).reshape(-1, 8).T.tobytes() for v in values))
-
-
-def _answer(asked: pa.Table, tables: pa.Table) -> pa.Table:
-    none = np.zeros(0, np.uint64)
-    a, b = (_expand(tables["a"][0].as_py(), 2), _expand(tables["b"][0].as_py(), 5)) if tables.num_rows else ([none] * 2, [none] * 5)
-    return _table([(r["kind"], r["shard"], r["block"], _found(a, _expand(r["a"], 1)[0]), _found(b, _expand(r["b"], 1)[0])) for r in asked.to_pylist()])
-
-
-def _values(blobs: list[bytes], shard: np.ndarray, columns: int) -> list[np.ndarray]:
-    """Answers of all shards in order, as columns in the order of the keys."""
-    parts = []
-    for x in blobs:
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(columns, 8, -1)
-        parts.append([np.ascontiguousarray(c.T).view(np.int64).ravel() for c in raw])
-    out = [np.zeros(len(shard), np.int64) for _ in range(columns)]
-    order = np.argsort(shard, kind="stable")
-    for k in range(columns):
-        out[k][order] = np.concatenate([p[k] for p in parts]) if parts else 0
-    return out
-
-
-def _scorer(shards: int, totals: dict[int, list[int]]):
-    cuts = {k: discounts(n[:4]) for k, n in totals.items()}
-
-    def step(k: int, p: np.ndarray, c: np.ndarray, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, more: np.ndarray) -> np.ndarray:
+    def step(k: int, p: np.ndarray, c: np.ndarray, total: np.ndarray, rest: np.ndarray) -> np.ndarray:
         d = cuts[k]
         cut = np.where(c == 1, d[0], np.where(c == 2, d[1], d[2]))
-        known = np.maximum(total, 1)
-        direct = np.where(c > 0, np.maximum(c - cut, 0.0), 0.0) / known
-        return np.where(total > 0, direct + (d[0] * n1 + d[1] * n2 + d[2] * more) / known * p, p)
+        direct = np.where(c > 0, np.maximum(c - cut, 0.0), 0.0) / np.maximum(total, 1)
+        return np.where(total > 0, direct + rest * p, p)
 
     def score(blobs: pa.Table, answers: pa.Table) -> pa.Table:
-        parts, ids, langs = [], [], []
+        keys = np.asarray(answers["key"], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        values = {c: np.asarray(answers[c].combine_chunks().fill_null(0), kind)[order] for c, kind in ANSWER.items()}
+
+        def found(asked: np.ndarray, *columns: str) -> list[np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+            there = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+            return [np.where(there, values[c][at], 0) if len(keys) else np.zeros(len(asked), ANSWER[c]) for c in columns]
+
+        ids, langs, scores = [], [], [np.zeros(0)]
         for rows, own in _read(blobs["blob"]):
-            parts += own
             ids += rows["doc_id"].to_pylist()
             langs += rows["lang"].to_pylist()
-        triples, contexts, pairs, seconds, words = (_joined(parts, k) for k in range(5))
-        sizes = np.concatenate([p[5] for p in parts]) if parts else np.zeros(0, np.int64)
-        del parts
-        p = np.full(len(words), 1.0)
-        if totals:
-            got = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-            asked = _questions(triples, contexts, pairs, seconds, words, shards)
-            _, n1, n2, more = totals[1][5], totals[1][0], totals[1][1], totals[1][4]
-            p = p / (sum(totals[1][:2]) + more + 1)
-            for k, last, before in ((1, words, None), (2, pairs, seconds), (3, triples, contexts)):
-                own = [r for r in got if r["kind"] == k]
-                a, sa, _, _ = asked[k]
-                c = _values([r["a"] for r in own], sa, 1)[0][np.searchsorted(a, last)]
-                if before is None:
-                    follow = [np.full(len(words), x) for x in (totals[1][5], n1, n2, more)]
-                else:
-                    _, _, b, sb = asked[1 if k == 2 else 3]
-                    blobs_ = [r["b"] for r in got if r["kind"] == (1 if k == 2 else 3)]
-                    follow = [x[np.searchsorted(b, before)] for x in _values(blobs_, sb, 4)]
-                p = step(k, p, c, *follow)
-        sums = np.concatenate(([0.0], np.cumsum(np.log(p))))
-        ends = np.cumsum(sizes)
-        found = np.exp(-(sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)) if len(sizes) else np.zeros(0)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "perplexity": pa.array(found)})
+            for triples, contexts, pairs, seconds, words, sizes in own:
+                p = np.full(len(words), 1.0)
+                if totals:
+                    first = totals[1]
+                    p = p / (first["n1"] + first["n2"] + first["more"] + 1)
+                    p = step(1, p, *found(words, "c"), np.full(len(words), first["total"]), _rest(cuts[1], first))
+                    p = step(2, p, *found(pairs, "c"), *found(seconds, "total", "rest"))
+                    p = step(3, p, *found(triples, "c"), *found(contexts, "total", "rest"))
+                sums = np.concatenate(([0.0], np.cumsum(np.log(p))))
+                ends = np.cumsum(sizes)
+                scores.append(np.exp(-(sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "perplexity": pa.array(np.concatenate(scores))})
 
     return score
 
@@ -272,7 +168,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     """One row per document: ``doc_id``, ``lang``, ``perplexity`` (per word), ``threshold``, ``kept``.
 
     All else is as in ``quality.score_quality``. Below single words all words are alike: one more than the trusted text
-    has. Without trusted text every perplexity is 1. A text without words has a perplexity of 1.
+    has. Rows that repeat an id are of one block, and so are those without an id that share a text. Without trusted text every perplexity is 1. A text without words has a perplexity of 1.
 
     One trusted document in ``held_out``, by hash of its id, is left out of the model, and a language's limit is the quantile
     of those; a language that has none, and all if ``held_out`` is 0, take the quantile of the documents learnt.
@@ -289,19 +185,23 @@ def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     dealt = rows.mapInArrow(_pack, "block long, blob binary").repartition(parts, "block").groupBy("block")
     known = trusted.where(F.col(id_col).isNotNull()).select(block, F.col(id_col).cast("long").alias("doc_id")).distinct()
     aside = (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(held_out)) == 0) if held_out else F.lit(False)
-    learnt = staged(dealt.cogroup(known.where(~aside).groupBy("block")).applyInArrow(_learner(blocks), ROW), "kneser-ney-blocks")
-    spread = lambda df: df.repartition(parts, "kind", "shard")
-    triples = staged(spread(learnt.where("kind = -3")).groupBy("kind", "shard").applyInArrow(_triples(blocks), ROW), "kneser-ney-triples")
-    pairs = staged(spread(triples.where("kind = -2")).groupBy("kind", "shard").applyInArrow(_pairs(blocks), ROW), "kneser-ney-pairs")
-    words = staged(spread(pairs.where("kind = -1")).groupBy("kind", "shard").applyInArrow(_words, ROW), "kneser-ney-words")
-    tables = triples.unionByName(pairs).unionByName(words)
-    totals: dict[int, list[int]] = {}
-    for r in tables.where("kind = 0").select("shard", "a").toLocalIterator():
-        own = np.frombuffer(bytes(r["a"]), np.int64).tolist()
-        totals[r["shard"]] = [x + y for x, y in zip(totals.get(r["shard"], [0] * 6), own, strict=True)]
-    asked = spread(learnt.where("kind > 0")).groupBy("kind", "shard")
-    answers = asked.cogroup(tables.where("kind > 0").groupBy("kind", "shard")).applyInArrow(_answer, ROW)
-    scored = staged(dealt.cogroup(answers.groupBy("block")).applyInArrow(_scorer(blocks, totals), "doc_id long, lang string, perplexity double"), "kneser-ney-scores")
+    learnt = staged(dealt.cogroup(known.where(~aside).groupBy("block")).applyInArrow(_learn, ROW), "kneser-ney-blocks")
+    # A key fixes the parts it was made of, so any row's will do.
+    same = lambda *names: [F.first(c).alias(c) for c in names]
+    triples = staged(learnt.where("n IS NOT NULL").groupBy("key").agg(*same("context", "pair", "second", "word"), F.sum("n").alias("n")), "kneser-ney-triples")
+    pairs = staged(triples.groupBy("pair").agg(*same("second", "word"), F.count(F.lit(1)).alias("n")), "kneser-ney-pairs")
+    words = staged(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "kneser-ney-words")
+    totals = {k: _totals(t) for k, t in ((1, words), (2, pairs), (3, triples))}
+    totals = totals if totals[3]["total"] else {}
+    cut = {k: discounts([t[f"n{n}"] for n in (1, 2, 3, 4)]) for k, t in totals.items()}
+    asked = learnt.where("n IS NULL").select("block", "key")
+    if totals:
+        of_pairs, of_words = _answers(pairs, "pair", triples, "context", cut[3]), _answers(words, "word", pairs, "second", cut[2])
+        of_triples = triples.select("key", F.col("n").alias("c"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("rest"))
+        answers = asked.join(of_triples.unionByName(of_pairs).unionByName(of_words).hint("merge"), "key")
+    else:
+        answers = asked.where("false").select("key", "block", F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("rest"))
+    scored = staged(dealt.cogroup(answers.groupBy("block")).applyInArrow(_scorer(totals), "doc_id long, lang string, perplexity double"), "kneser-ney-scores")
     judged = scored.join(known.select("doc_id", aside.alias("aside")), "doc_id")
     at = lambda c: F.percentile_approx(F.when(c, F.col("perplexity")), quantile, 10_000)
     limits = judged.groupBy("lang").agg(F.coalesce(at(F.col("aside")), at(F.lit(True))).alias("threshold"))

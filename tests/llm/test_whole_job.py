@@ -1,5 +1,6 @@
 """Cases that a cut of the job would lose, against brute force."""
 
+import glob
 import re
 import zlib
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from cuecorpus.llm import suffix_dedup, toxicity, word_quality
+from cuecorpus.llm.workspace import shared_dir
 from tests.llm.test_operators import awkward, brute_repeats, empty, make, words  # noqa: F401
 
 
@@ -53,6 +55,22 @@ def test_word_model_against_brute_force(spark):
     assert all(got[i]["kept"] for i in learnt if got[i]["perplexity"] <= got[i]["threshold"])
 
 
+def test_rows_sent_grow_with_blocks(spark):
+    docs = make(spark, [(i, words(60, 500)) for i in range(320)])
+    trusted = spark.range(0, 320, 2).withColumnRenamed("id", "doc_id")
+    n_bytes = docs.agg({"n_chars": "sum"}).first()[0]
+    found, sent = [], []
+    for blocks in (8, 32):
+        seen = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/kneser-ney-blocks-*"))
+        got = word_quality.score_quality(docs, trusted, block_bytes=-(-n_bytes // blocks)).collect()
+        found.append({r["doc_id"]: round(r["perplexity"], 6) for r in got})
+        (path,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/kneser-ney-blocks-*")) - seen
+        sent.append(spark.read.parquet(path).where("n IS NULL").count())
+    # Blocks change neither the model nor, but for n-grams that several of them share, what is sent.
+    assert found[0] == found[1]
+    assert sent[1] <= 4 * sent[0]
+
+
 def test_word_model_awkward(spark, awkward):  # noqa: F811
     none = spark.createDataFrame([], "doc_id long")
     got = word_quality.score_quality(awkward, none).collect()
