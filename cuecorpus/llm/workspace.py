@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +50,18 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(F.lit(0), *plain, *([F.to_json(F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(odd)]))] if odd else []))
 
 
+def number_equals(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """``rows`` with ``nth``: a running number from 0 among rows with equal ``keys``, in place of the column ``part``.
+
+    ``part`` says by which task a row was written. Rows are numbered inside their part, and parts are summed up in order, so a
+    key that very many rows share is spread over as many tasks as there are parts. Pass a table, as it is read twice.
+    """
+    counts = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = counts.select(*keys, part, (F.sum("_n").over(W.partitionBy(*keys).orderBy(part)) - F.col("_n")).alias("_first"))
+    inside = rows.withColumn("_at", F.row_number().over(W.partitionBy(*keys, part).orderBy(F.lit(0))) - 1)
+    return inside.join(firsts, [*keys, part]).withColumn("nth", (F.col("_first") + F.col("_at")).cast("long")).drop(part, "_first", "_at")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
