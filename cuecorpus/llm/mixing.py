@@ -3,7 +3,7 @@
 A source's weight is its share of all tokens raised to an exponent and normalised. The exponent is found by bisection: the
 smallest one, so the flattest mix, at which no source is read more than ``repeats`` times over and the entropy of the
 weights is no higher than ``entropy`` asks. Each source then has a budget of tokens. Its documents are dealt into blocks
-of about ``block_tokens`` by hash; an epoch is a permutation of the blocks, and a permutation inside each, and epochs are
+of about ``block_tokens``, or ``block_rows`` where documents are that short, by hash; an epoch is a permutation of the blocks, and a permutation inside each, and epochs are
 read until the budget is spent. Only blocks are summed up in order, so no task walks over a whole source.
 """
 
@@ -21,11 +21,11 @@ from cuecorpus.llm.workspace import as_row, row_hash, staged
 REPEATS = 2.0
 #: Tokens of a block, about.
 BLOCK_TOKENS = 2_000_000
+#: Documents of a block, about, where they hold few tokens or none.
+BLOCK_ROWS = 50_000
 SEED = 17
-#: Sources whose sums the driver holds; of more it learns sums over all of them only.
-SOURCES = 10_000
-#: Exponents that are tried at once, and rounds, where the driver doesn't hold the sources.
-TRIED, ROUNDS = 32, 12
+#: Exponents that are tried at once, and rounds: an interval of exponents shrinks to a 31st in each.
+TRIED, ROUNDS = 32, 10
 MADE = ("_epoch", "_position", "_tokens", "_at")
 
 
@@ -64,7 +64,7 @@ def temperature_weights(tokens: dict, budget: float | None = None, repeats: floa
 def spread_exponent(sums: DataFrame, total: int, budget: float, repeats: float = REPEATS, entropy: float | None = None) -> float:
     """The exponent of :func:`temperature_weights` for any number of sources (``src``, ``t`` tokens above 0).
 
-    Each round tries exponents between the last two that part those which break a limit from those which don't. For each,
+    The bisection tries several places at once: each round tries exponents between the last two that part those which break a limit from those which don't. For each,
     one aggregation gives the norm, the entropy and the largest ratio of a weight to its source's tokens.
     """
     low, high = 0.0, 1.0
@@ -82,19 +82,7 @@ def spread_exponent(sums: DataFrame, total: int, budget: float, repeats: float =
     return high
 
 
-def _exponent(sums: DataFrame, total: int, budget: float, repeats: float, entropy: float | None, most: int) -> tuple[float, float]:
-    """The exponent and the norm of the weights."""
-    sums = sums.where("t > 0")
-    known = sums.limit(most + 1).collect()
-    if len(known) <= most:
-        tokens = {r["src"]: r["t"] for r in known}
-        x, _ = temperature_weights(tokens, budget, repeats, entropy)
-        return x, math.fsum(math.exp(x * math.log(v / total)) for v in tokens.values())
-    x = spread_exponent(sums, total, budget, repeats, entropy)
-    return x, sums.agg(F.sum(F.exp(F.lit(x) * F.ln(F.col("t") / F.lit(float(total)))))).first()[0]
-
-
-def mix_sources(docs: DataFrame, tokens: Column, source_col: str = "source", id_col: str = "doc_id", budget: int | None = None, repeats: float = REPEATS, entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, sources: int = SOURCES) -> DataFrame:
+def mix_sources(docs: DataFrame, tokens: Column, source_col: str = "source", id_col: str = "doc_id", budget: int | None = None, repeats: float = REPEATS, entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """``docs`` with ``_epoch``, ``_position``, ``_tokens`` and ``_at``: a row for each time that a document is read.
 
     ``budget`` is in tokens, by default all that there are. A document is read in an epoch when the tokens before it in its
@@ -108,18 +96,21 @@ def mix_sources(docs: DataFrame, tokens: Column, source_col: str = "source", id_
     Columns of any names and types pass through, but for the four above, which are replaced. An empty table gives an empty
     table.
 
-    Of at most ``sources`` sources the driver learns a sum each, of more only sums over all of them.
+    However many sources there are, the driver learns sums over all of them only.
     """
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("src")
     size = F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).alias("tokens")
     mark = F.xxhash64(F.col(id_col), row_hash(docs), F.lit(seed)).alias("mark")
     narrow = staged(docs.select(src, size, mark), "mixing-sizes")
-    sums = narrow.groupBy("src").agg(F.sum("tokens").alias("t"))
+    sums = narrow.groupBy("src").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    sums = staged(sums, "mixing-sums")
     total = sums.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
     goal = total if budget is None else budget
-    x, norm = _exponent(sums, total, goal, repeats, entropy, sources)
+    known = sums.where("t > 0")
+    x = spread_exponent(known, total, goal, repeats, entropy) if total else 1.0
+    norm = known.agg(F.sum(F.exp(F.lit(x) * F.ln(F.col("t") / F.lit(float(max(total, 1))))))).first()[0]
     weight = F.when(F.col("t") > 0, F.exp(F.lit(x) * F.ln(F.col("t") / F.lit(float(max(total, 1))))) / F.lit(norm or 1.0)).otherwise(0.0)
-    plan = sums.select("src", F.col("t").alias("all"), F.rint(F.lit(float(goal)) * weight).cast("long").alias("budget"), F.greatest(F.lit(1), F.ceil(F.col("t") / F.lit(block_tokens))).alias("blocks"))
+    plan = sums.select("src", F.col("t").alias("all"), F.rint(F.lit(float(goal)) * weight).cast("long").alias("budget"), F.greatest(F.ceil(F.col("n") / F.lit(block_rows)), F.ceil(F.col("t") / F.lit(block_tokens))).alias("blocks"))
     plan = staged(plan, "mixing-plan")
     block = F.pmod("mark", F.col("blocks")).alias("block")
     sized = narrow.join(plan, "src").groupBy("src", block, "all", "budget").agg(F.sum("tokens").alias("sum"))
