@@ -22,7 +22,7 @@ from cuecorpus.llm.workspace import shared_dir, staged
 #: Queries broadcast at once, and bytes of their components.
 CHUNK, CHUNK_BYTES = 20_000, 64_000_000
 #: Queries and candidates that meet in one array of scores.
-QUERY_BLOCK, ROW_BLOCK = 256, 4096
+QUERY_BLOCK, ROW_BLOCK = 64, 4096
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -44,32 +44,46 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _fitting(queries: np.ndarray, block: np.ndarray) -> type:
+    """The narrowest integers that hold all sums of products of these components."""
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(block).max(initial=0)) * queries.shape[1]
+    return np.int32 if most < 2**31 else np.int64
+
+
 def _scores(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Term at a time: for each component, its posting list scattered into the scores of the queries that have it."""
-    acc = np.zeros((len(queries), len(block)), np.int64)
-    for term in range(queries.shape[1]):
-        who, posting = np.flatnonzero(queries[:, term]), np.flatnonzero(block[:, term])
+    kind = _fitting(queries, block)
+    terms, postings = np.ascontiguousarray(queries.T, kind), np.ascontiguousarray(block.T, kind)
+    acc, product = np.zeros((len(queries), len(block)), kind), np.empty((len(queries), len(block)), kind)
+    for weights, values in zip(terms, postings, strict=True):
+        who, posting = np.flatnonzero(weights), np.flatnonzero(values)
         if len(who) == len(queries) and len(posting) == len(block):
-            acc += queries[:, term, None] * block[None, :, term]
+            acc += np.multiply.outer(weights, values, out=product)
         elif len(who) and len(posting):
-            acc[np.ix_(who, posting)] += queries[who, term, None] * block[posting, term]
-    return acc
+            acc[np.ix_(who, posting)] += weights[who, None] * values[posting]
+    return acc.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k highest of each row, ties to the smaller id; ``ids`` has the shape of ``scores``."""
-    if scores.shape[1] > k:
-        limit = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        s, i = np.full((len(scores), k), LOWEST), np.full((len(scores), k), np.iinfo(np.int64).max)
-        for r in range(len(scores)):
-            at = np.flatnonzero(scores[r] >= limit[r])
-            at = at[np.lexsort((ids[r, at], ~scores[r, at]))[:k]]
-            s[r, : len(at)], i[r, : len(at)] = scores[r, at], ids[r, at]
-        return s, i
-    order = np.lexsort((ids, ~scores), axis=1)
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def _select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest of each row, ties to the smaller id; ``ids``, one for each column, ascend.
+
+    Score and place are packed in one number, so that one partial selection settles ties too. Where the scores are too
+    large to be packed, all columns are sorted.
+    """
+    n = scores.shape[1]
+    if n <= k or int(np.abs(scores, where=scores != LOWEST, out=np.zeros_like(scores)).max(initial=0)) >= 2**61 // n:
+        return _best(scores, np.broadcast_to(ids, scores.shape), k)
+    packed = np.where(scores == LOWEST, LOWEST, scores * n + np.arange(n - 1, -1, -1))
+    at = np.argpartition(packed, n - k, axis=1)[:, n - k :]
+    return _best(np.take_along_axis(scores, at, 1), ids[at], k)
+
+
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Each query's k best candidates: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
@@ -114,12 +128,13 @@ def _search(usable: DataFrame, sent, k: int, schema: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 ids = np.asarray(batch.column(0).slice(at, ROW_BLOCK), dtype=np.int64)
-                block = _matrix(batch.column(1).slice(at, ROW_BLOCK), queries.shape[1])
+                up = np.argsort(ids, kind="stable")
+                ids, block = ids[up], _matrix(batch.column(1).slice(at, ROW_BLOCK), queries.shape[1])[up]
                 for q in range(0, len(names), QUERY_BLOCK):
                     own, rows = slice(q, q + QUERY_BLOCK), names[q : q + QUERY_BLOCK]
                     scores = _scores(queries[own], block)
                     scores[rows[:, None] == ids[None, :]] = LOWEST
-                    a, b = _best(scores, np.broadcast_to(ids, scores.shape), k)
+                    a, b = _select(scores, ids, k)
                     s[own], i[own] = (x[:, :k] for x in _best(np.hstack((s[own], a)), np.hstack((i[own], b)), k))
         r, c = np.nonzero(s > LOWEST)
         yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(i[r, c]), pa.array(s[r, c])], names=["query_id", "vec_id", "score"])
