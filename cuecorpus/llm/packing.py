@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuecorpus.llm.workspace import as_row, row_hash, staged
+from cuecorpus.llm.workspace import as_row, number_equals, row_hash, staged
 
 #: Words that a bin holds.
 CAPACITY = 4096
@@ -87,8 +87,9 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, capac
     is dropped. A bin's pieces don't overlap, at most ``per_source`` are of one source, and no two of one cluster (null values
     conflict with nothing). Documents whose length is null or negative have none, and are packed too.
 
-    Rows are dealt into shards at random, whatever their ids, so null and repeated ids and rows that repeat all columns are
-    spread evenly; ``shard``, a number from 0, overrides that. The bins of a smaller shard have the smaller numbers. The rows
+    Rows are dealt into shards by a hash of all their columns and of their number among equal rows, so null and repeated ids
+    and rows that repeat all columns are spread evenly, and the bins don't depend on the files or the order that rows come in;
+    ``shard``, a number from 0, overrides that. The bins of a smaller shard have the smaller numbers. The rows
     are written to the shared folder before they are packed, so pass no more columns than are wanted. Columns of any names
     and types pass through, but for the five above, which are replaced. An empty table gives an empty table.
     """
@@ -98,13 +99,13 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, capac
         F.when(source.isNotNull(), F.xxhash64(source)).alias("source"),
         F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("cluster"),
         row_hash(docs).alias("mark"),
-        F.rand(SEED).alias("dealt") if shard is None else shard.cast("long").alias("dealt"),
+        F.spark_partition_id().alias("part") if shard is None else shard.cast("long").alias("dealt"),
     )
     rows = staged(keyed, "packing-rows")
     if shard is None:
         n, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         shards = max(1, -(-n // shard_rows), -(-words // SHARD_WORDS))
-        rows = rows.withColumn("dealt", F.floor(F.col("dealt") * F.lit(shards)).cast("long"))
+        rows = number_equals(rows, ["mark"], "part").withColumn("dealt", F.pmod(F.xxhash64("mark", "nth", F.lit(SEED)), F.lit(shards)).cast("long"))
     schema = T.StructType([rows.schema["row"], *MADE])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Columns of any names and types, and bounds that hold whatever the rows are."""
 
+import glob
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cuecorpus.llm import chat, exact_dedup, minhash, mixing, packing, sharding, topk, toxicity
+from cuecorpus.llm.workspace import shared_dir
 from tests.llm.test_operators import make, plain_best_fit, words  # noqa: F401
 
 #: Names that the operators use inside, those they add, and odd ones.
@@ -190,12 +193,30 @@ def test_topk_chunks_repeated_ids_and_unlike_lengths(spark):
         assert {i: sorted(x, key=lambda y: (-y[1], y[0])) for i, x in got.items()} == want
 
 
-def test_mixing_null_tokens_and_many_sources(spark):
+def test_exponent_of_any_number_of_sources(spark):
+    tokens = {f"s{i}": (i + 1) ** 3 for i in range(40)}
+    sums = spark.createDataFrame(list(tokens.items()), "src string, t long")
+    total = sum(tokens.values())
+    for repeats, entropy in ((2.0, None), (1.2, None), (1e9, 2.5), (0.5, None), (1e9, None)):
+        x, _ = mixing.temperature_weights(tokens, repeats=repeats, entropy=entropy)
+        assert mixing.spread_exponent(sums, total, total, repeats, entropy) == pytest.approx(x, abs=1e-9)
+
+
+def test_a_source_without_tokens_is_many_blocks(spark):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("void").alias("source"), F.lit(0).alias("n"))
+    got = mixing.mix_sources(docs, F.col("n"))
+    assert got.count() == got.select("doc_id").distinct().count() == 100_000
+    tables = sorted(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/mixing-plan-*"), key=os.path.getmtime)
+    assert spark.read.parquet(tables[-1]).first()["blocks"] == 2
+
+
+def test_mixing_null_tokens_and_small_blocks(spark):
     docs = spark.createDataFrame([(i, f"s{i % 7}", None if i % 11 == 0 else -5 if i % 13 == 0 else (i % 7 + 1) ** 3) for i in range(400)] + [(None, None, 5)] * 30, "doc_id long, source string, n long")
     few = mixing.mix_sources(docs, F.col("n"), block_tokens=500)
-    many = mixing.mix_sources(docs, F.col("n"), block_tokens=500, sources=2)
-    by = lambda df: {r["source"]: (r["n"], r["t"]) for r in df.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("_tokens").alias("t")).collect()}
-    assert by(few) == by(many)
+    small = mixing.mix_sources(docs, F.col("n"), block_tokens=500, block_rows=20)
+    spent = lambda df: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.max("_position").alias("n")).collect()}
+    # Smaller blocks read other documents last, and spend the same budgets.
+    assert all(abs(n - spent(small)[s]) < 7**3 for s, n in spent(few).items())
     assert few.where("_tokens < 0 OR _tokens IS NULL OR _at < 0 OR _at >= 1").count() == 0
     one = mixing.mix_sources(docs.where("doc_id IS NULL"), F.col("n"))
     assert one.count() == 30 and sorted(r["_position"] for r in one.collect()) == [5 * k for k in range(30)]
@@ -209,3 +230,20 @@ def test_packing_spreads_rows_that_repeat(spark):
     shards = [r["n"] for r in got.groupBy(F.shiftright("bin_id", 32).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(shards) == 600 and len(shards) == 12 and max(shards) < 100
     assert got.groupBy("bin_id").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_bins_do_not_depend_on_the_layout(spark):
+    docs = spark.range(900).select((F.col("id") % 700).alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 700 % 37).alias("n"))
+    for df in (docs.where("doc_id IS NOT NULL"), docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        pack = lambda d: packing.pack(d, F.col("n"), F.col("source"), F.col("doc_id"), capacity=100, shard_rows=100)
+        rows = [sorted(map(str, pack(d).collect())) for d in (df, df.repartition(7), df.orderBy(F.desc("n")))]
+        assert rows[0] == rows[1] == rows[2]
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_sharding_cuts_rows_without_an_id_of_their_own(spark, same):
+    docs = spark.range(20_000).select(F.lit(same).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
+    got = sharding.shard_documents(docs, 8).groupBy("shard").agg(F.sum("size").alias("size"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("n")).collect()
+    assert len(got) == 8 and sum(r["size"] for r in got) == 100_000
+    assert max(r["size"] for r in got) - min(r["size"] for r in got) <= 2 * sharding.TOLERANCE * 100_000 / 8 + 10
+    assert all(r["low"] == 0 and r["high"] == r["n"] - 1 for r in got)
