@@ -11,6 +11,9 @@ from cuecorpus.llm import exact_dedup, minhash, mixing, packing, toxicity
 from cuecorpus.llm.queries import held_out
 from cuecorpus.llm.workspace import as_row, column, staged, table
 
+#: Bytes of text in a part of the mix, about.
+PART_BYTES = 128_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; it is fitted on labelled rows of these documents."""
@@ -38,7 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sources' budgets.
     """
     mixed = mixing.mix_sources(docs, packing.word_count(F.col("text")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # What is read is about as much text as there is, as the budget is all tokens.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     by_turn = mixed.repartitionById(parts, F.least(F.floor(F.col("_at") * parts), F.lit(parts - 1)).cast("int"))
     return by_turn.sortWithinPartitions("_at", "_epoch", "doc_id").select(*[column(c) for c in docs.columns])
 
