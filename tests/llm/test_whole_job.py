@@ -1,6 +1,7 @@
 """Cases that a cut of the job would lose, against brute force."""
 
 import glob
+import os
 import re
 import zlib
 
@@ -71,6 +72,43 @@ def test_rows_sent_grow_with_blocks(spark):
     assert sent[1] <= 4 * sent[0]
 
 
+def test_word_model_with_hot_words(spark):
+    """Words that fill more than a shard are dealt by the word before them, and nothing changes."""
+    texts = [words(200, 6) for _ in range(12)] + ["w1", "", "w1 w1 w1 w1 w2", words(10, 12)]
+    docs = make(spark, list(enumerate(texts)))
+    learnt = (0, 1, 2, 3, 4, 12)
+    trusted = spark.createDataFrame([(i,) for i in learnt], "doc_id long")
+    seen = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/kneser-ney-pairs-*"))
+    got = {r["doc_id"]: r["perplexity"] for r in word_quality.score_quality(docs, trusted, block_bytes=1000, held_out=0, shard_bytes=500).collect()}
+    assert set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/kneser-ney-pairs-*")) - seen
+    p = brute_word_model([texts[i] for i in learnt])
+    for i, t in enumerate(texts):
+        w = ("", "", *brute_words(t))
+        logs = [np.log(p(w[k - 2 : k + 1], 3)) for k in range(2, len(w))]
+        assert got[i] == pytest.approx(float(np.exp(-np.mean(logs))) if logs else 1.0)
+
+
+def test_word_model_writes_less_than_its_text(spark):
+    """Nearly every triple of these words is distinct, and yet all tables of the model together are smaller than the text."""
+    folder = shared_dir(spark).removeprefix("file:")
+    files = lambda: {f: os.path.getsize(f) for f in glob.glob(f"{folder}/kneser-ney-*/*.parquet")}
+    docs = make(spark, [(i, words(2000, 3000)) for i in range(150)]).persist()
+    trusted = spark.range(0, 150, 3).withColumnRenamed("id", "doc_id")
+    before = files()
+    assert word_quality.score_quality(docs, trusted, block_bytes=500_000, shard_bytes=500_000).count() == 150
+    written = sum(n for f, n in files().items() if f not in before)
+    assert written <= docs.agg({"n_chars": "sum"}).first()[0]
+
+
+def test_packed_integers_are_read_back():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 2**64, 1000, np.uint64)
+    small = rng.integers(0, 300, 999)
+    got = word_quality.unpack(word_quality.pack(hashes, small, np.zeros(0), np.zeros(7), [2**62]))
+    assert [x.tolist() for x in got] == [hashes.tolist(), small.tolist(), [], [0] * 7, [2**62]]
+    assert [len(x) for x in word_quality.unpack(word_quality.pack(np.zeros(0), np.zeros(0)))] == [0, 0]
+
+
 def test_word_model_awkward(spark, awkward):  # noqa: F811
     none = spark.createDataFrame([], "doc_id long")
     got = word_quality.score_quality(awkward, none).collect()
