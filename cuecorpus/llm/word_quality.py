@@ -7,8 +7,8 @@ block is read once and kept as numbers of its own words, packed.
 N-grams are dealt to shards by their middle word, where a triple, its context (first and second word), its pair (second and
 third word) and all that follows the second word meet. A block sends a shard one message: its distinct triples as numbers of
 the words in them, and how often its trusted texts have them. The shard adds up and answers in the same order. A word
-that would fill a shard by itself is dealt by the word before it too; its pairs are then summed and answered as rows. Single
-words have shards of their own. A message holds one n-gram at least, so what moves grows with the distinct n-grams of blocks.
+that would fill a shard by itself is dealt by the word before it too; its pairs are then summed and answered by
+shards of their own, and so are single words. A message holds one n-gram at least, so what moves grows with the distinct n-grams of blocks.
 A triple is in a message once, however often a text is repeated. A task holds a block or a shard; a shard grows beyond its
 share only with what follows a single pair of words, as that isn't dealt further.
 
@@ -27,7 +27,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuecorpus.llm.quality import QUANTILE, _pack, _unpack, discounts
@@ -51,11 +51,12 @@ WAVES = 8
 PAD = np.uint64(0x50AD50AD50AD50AD)
 #: A block with its number of words (``n`` null), or a frequent word of it with how often it has that.
 BLOCK = "block long, words long, word long, n long, blob binary, ids array<long>, langs array<string>"
-#: What a shard gives: a reply to a block; how many words precede words, to their shard or a block; a pair of a hot word, or a block that asks for it; sums of an order.
-REPLY, WORD, PAIR, ASKED, SUMS = range(5)
+#: What a shard gives: a reply to a block; how many words precede words or pairs of hot words, or which of these a block
+#: asks for (``block`` null: told, not asked); what follows a hot word; sums of an order.
+REPLY, WORD, PAIR, FOLLOW, SUMS = range(5)
 MESSAGE = "shard long, block long, blob binary"
-COLUMNS = {"block": "long", "shard": "long", "a": "long", "b": "long", "n": "long", "blob": "binary", "sums": "array<long>"}
-KINDS = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("block", "shard", "a", "b", "n")], ("blob", pa.binary()), ("sums", pa.list_(pa.int64()))])
+COLUMNS = {"block": "long", "shard": "long", "a": "long", "blob": "binary", "sums": "array<long>"}
+KINDS = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("block", "shard", "a")], ("blob", pa.binary()), ("sums", pa.list_(pa.int64()))])
 ANSWER = ", ".join(["kind int", *[f"{c} {t}" for c, t in COLUMNS.items()]])
 
 
@@ -222,31 +223,53 @@ def _word_asker(shards: int):
     return ask
 
 
-def _word_packer(shards: int):
-    """Rows (``b``, ``n``) as messages that tell how many words precede ``b``."""
+def _rows(out: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KINDS, strict=True)], schema=KINDS) if out else KINDS.empty_table()
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, n = np.asarray(batch["b"], np.int64).view(np.uint64), np.asarray(batch["n"], np.int64)
-            for s, own in _to_shards(words, shards).items():
-                yield _messages([s], [None], [pack(words[own], n[own])])
 
-    return packed
+def _told(words: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
+    """Messages to the shards of ``words``, which ascend."""
+    return [(WORD, None, s, None, pack(words[own], counts[own]), None) for s, own in _to_shards(words, shards).items()]
 
 
-def _answer_words(messages: pa.Table) -> pa.Table:
-    blocks, shard = messages["block"].to_pylist(), messages["shard"][0].as_py()
-    told = [unpack(blob.as_py()) for block, blob in zip(blocks, messages["blob"], strict=True) if block is None]
-    words, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t[0] for t in told]]), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([np.zeros(0, np.int64), *[t[1] for t in told]]), minlength=len(words)).astype(np.int64)
-    out: list[tuple] = [(SUMS, None, None, 1, None, None, None, _sums(n))]
-    for block, blob in zip(blocks, messages["blob"], strict=True):
+def _added(messages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+    """Keys that messages tell of, the sums of their counts, where each was first told, and these messages."""
+    told = [unpack(blob.as_py()) for block, blob in zip(messages["block"].to_pylist(), messages["blob"], strict=True) if block is None]
+    keys, first, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t[0] for t in told]]), return_index=True, return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([np.zeros(0, np.int64), *[t[1] for t in told]]), minlength=len(keys)).astype(np.int64), first, told
+
+
+def _found(messages: pa.Table, keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The blocks that ask, their keys and the counts of these."""
+    for block, blob in zip(messages["block"].to_pylist(), messages["blob"], strict=True):
         if block is not None:
             asked = unpack(blob.as_py())[0]
-            place = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
-            found = np.where(words[place] == asked, n[place], 0) if len(words) else np.zeros(len(asked), np.int64)
-            out.append((WORD, block, shard, None, None, None, pack(np.zeros(0), found), None))
-    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KINDS, strict=True)], schema=KINDS)
+            place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+            yield block, asked, np.where(keys[place] == asked, n[place], 0) if len(keys) else np.zeros(len(asked), np.int64)
+
+
+def _answer_words(messages: pa.Table) -> pa.Table:
+    words, n, _, _ = _added(messages)
+    shard = messages["shard"][0].as_py()
+    return _rows([(SUMS, None, None, 1, None, _sums(n)), *[(WORD, block, shard, None, pack(np.zeros(0), found), None) for block, _, found in _found(messages, words, n)]])
+
+
+def _pair_answerer(word_shards: int):
+    def answer(messages: pa.Table) -> pa.Table:
+        keys, n, first, told = _added(messages)
+        seconds, thirds = (np.concatenate([np.zeros(0, np.int64), *[t[k] for t in told]])[first] for k in (2, 3))
+        words, at = np.unique(seconds, return_inverse=True)
+        out = [(SUMS, None, None, 2, None, _sums(n))]
+        out += [(FOLLOW, None, None, int(w), None, x) for w, x in zip(words, np.stack(_tally(n, at, len(words)), 1).tolist(), strict=True)]
+        out += _told(*np.unique(thirds.view(np.uint64), return_counts=True), word_shards)
+        out += [(PAIR, block, None, None, pack(asked[found > 0], found[found > 0]), None) for block, asked, found in _found(messages, keys, n)]
+        return _rows(out)
+
+    return answer
+
+
+def _pair_keys(seconds: np.ndarray, thirds: np.ndarray) -> np.ndarray:
+    return mix(mix(seconds) * _MUL + thirds)
 
 
 def _tally(n: np.ndarray, of: np.ndarray, size: int) -> list[np.ndarray]:
@@ -282,48 +305,34 @@ def _answerer(hot: dict[int, int], word_shards: int):
         follow = _tally(before, pairs // size, size)
         is_hot = np.isin(words.view(np.int64), np.asarray(list(hot), np.int64))
         own, others = (before > 0) & ~is_hot[pairs // size], (before > 0) & is_hot[pairs // size]
-        longs = words.view(np.int64)
         out: list[tuple] = []
         c = t = 0
         shard = messages["shard"][0].as_py()
-        asked = [[np.zeros(0, np.int64)] * 3]
         for block, p in zip(messages["block"].to_pylist(), parts, strict=True):
             mine, of = triple[t : t + len(p[4])], context[c : c + len(p[1])]
             c, t = c + len(of), t + len(mine)
             _, at = np.unique(np.repeat(p[1], p[3]) * len(p[0]) + p[4], return_index=True)
             mine_pairs = pair[mine[at]]
             seconds = contexts[of[np.unique(p[1], return_index=True)[1]]] // size
-            out.append((REPLY, block, shard, None, None, None, pack(np.zeros(0), n[mine], *[x[of] for x in after], before[mine_pairs], *[x[seconds] for x in follow]), None))
+            out.append((REPLY, block, shard, None, pack(np.zeros(0), n[mine], *[x[of] for x in after], before[mine_pairs], *[x[seconds] for x in follow]), None))
             if hot:
                 x = pairs[mine_pairs[is_hot[pairs[mine_pairs] // size]]]
-                asked.append([np.full(len(x), block), longs[x // size], longs[x % size]])
-        out += [(SUMS, None, None, k, None, None, None, _sums(x)) for k, x in ((3, n), (2, before[own]))]
+                keys = np.sort(_pair_keys(words[x // size], words[x % size]))
+                out += [(PAIR, block, s, None, pack(keys[own_keys]), None) for s, own_keys in _to_shards(keys, word_shards).items()]
+        out += [(SUMS, None, None, k, None, _sums(x)) for k, x in ((3, n), (2, before[own]))]
         counts = np.bincount(pairs[own] % size, minlength=size)
         there = np.flatnonzero(counts)
-        out += [(WORD, None, s, None, None, None, pack(words[there[x]], counts[there[x]]), None) for s, x in _to_shards(words[there], word_shards).items()]
-
-        def table(kind: int, length: int, **columns: np.ndarray) -> pa.Table:
-            given = {"kind": np.full(length, kind, np.int32)} | columns
-            return pa.table([pa.array(given[f.name]) if f.name in given else pa.nulls(length, f.type) for f in KINDS], schema=KINDS)
-
-        blocks, a, b = (np.concatenate([x[k] for x in asked]) for k in range(3))
-        return pa.concat_tables(
-            [
-                pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KINDS, strict=True)], schema=KINDS),
-                table(PAIR, int(others.sum()), a=longs[pairs[others] // size], b=longs[pairs[others] % size], n=before[others]),
-                table(ASKED, len(a), block=blocks, a=a, b=b),
-            ]
-        )
+        out += _told(words[there], counts[there], word_shards)
+        x = pairs[others]
+        keys = _pair_keys(words[x // size], words[x % size])
+        order = np.argsort(keys)
+        x, keys, known = x[order], keys[order], before[others][order]
+        out += [(PAIR, None, s, None, pack(keys[k], known[k], words[x[k] // size], words[x[k] % size]), None) for s, k in _to_shards(keys, word_shards).items()]
+        return _rows(out)
 
     return answer
 
 
-def _counted(n: Column) -> list[Column]:
-    """As ``_sums``."""
-    times = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    return [*[times(n == k) for k in (1, 2, 3, 4)], times(n > 2), F.coalesce(F.sum(n), F.lit(0))]
-
-
 def _given(rows: DataFrame, kind: int, *given: str) -> DataFrame:
     """``rows`` as answers of a kind, with null in the columns that it hasn't."""
     return rows.select(F.lit(kind).alias("kind"), *[(F.col(c) if c in given else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()])
@@ -344,12 +353,7 @@ def _scorer(shards: int, word_shards: int, hot: dict[int, int], sums: dict[int,
         """The probability of each distinct triple of a block."""
         kind = np.asarray(answers["kind"])
         found = {k: answers.filter(pa.array(kind == k)) for k in (REPLY, WORD, PAIR)}
-        column = lambda k, name: np.asarray(found[k][name].combine_chunks(), np.int64)
         order = np.argsort(g.words[:-1])
-
-        def number(hashes: np.ndarray) -> np.ndarray:
-            return order[np.searchsorted(g.words[:-1], hashes.view(np.uint64), sorter=order)]
-
         size = len(g.words)
         pairs, pair = np.unique(g.second[g.context] * size + g.third, return_inverse=True)
         n, before, single = np.zeros(len(g.third), np.int64), np.zeros(len(pairs), np.int64), np.zeros(size, np.int64)
@@ -367,8 +371,13 @@ def _scorer(shards: int, word_shards: int, hot: dict[int, int], sums: dict[int,
             for w, k in names.items():
                 before[pairs // size == k] = 0
                 follow[:, k] = hot_follow.get(w, [0] * 4)
-            seconds = np.asarray([names[w] for w in column(PAIR, "a").tolist()], np.int64)
-            before[np.searchsorted(pairs, seconds * size + number(column(PAIR, "b")))] = column(PAIR, "n")
+            own = np.flatnonzero(np.isin(pairs // size, list(names.values())))
+            keys = _pair_keys(g.words[pairs[own] // size], g.words[pairs[own] % size])
+            own = own[np.argsort(keys)]
+            keys.sort()
+            for blob in found[PAIR]["blob"].to_pylist():
+                given, counts = unpack(blob)
+                before[own[np.searchsorted(keys, given)]] = counts
         dealt = _to_shards(g.words[order], word_shards)
         for s, blob in zip(found[WORD]["shard"].to_pylist(), found[WORD]["blob"].to_pylist(), strict=True):
             single[order[dealt[s]]] = unpack(blob)[1]
@@ -438,25 +447,22 @@ def score_quality(
     asked = [texts.mapInArrow(_asker(shards, hot, k), MESSAGE) for k in range(min(WAVES, shards))]
     replies = staged_parts([a.groupBy("shard").applyInArrow(_answerer(hot, word_shards), ANSWER) for a in asked], "kneser-ney-replies")
     of = lambda kind: replies.where(F.col("kind") == kind)
-    told = of(WORD).select("shard", "block", "blob")
+    message = lambda rows: rows.select("shard", "block", "blob")
+    told = message(of(WORD))
+    added, answers = of(SUMS), _given(of(REPLY), REPLY, "block", "shard", "blob")
+    hot_follow = {}
     if hot:
-        pairs = staged(of(PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")), "kneser-ney-pairs", tidy=True)
-        told = told.unionByName(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_word_packer(word_shards), MESSAGE))
+        pairs = staged(message(of(PAIR)).groupBy("shard").applyInArrow(_pair_answerer(word_shards), ANSWER), "kneser-ney-pairs", tidy=True)
+        told, added = told.unionByName(message(pairs.where(F.col("kind") == WORD))), added.unionByName(pairs.where(F.col("kind") == SUMS))
+        answers = answers.unionByName(_given(pairs.where(F.col("kind") == PAIR), PAIR, "block", "blob"))
+        # One row per hot word.
+        hot_follow = {r["a"]: list(r[1:]) for r in pairs.where(F.col("kind") == FOLLOW).groupBy("a").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).collect()}
     told = told.unionByName(texts.mapInArrow(_word_asker(word_shards), MESSAGE))
     singles = staged(told.groupBy("shard").applyInArrow(_answer_words, ANSWER), "kneser-ney-words", tidy=True)
-    added = of(SUMS).unionByName(singles.where(F.col("kind") == SUMS)).groupBy("a").agg(*[F.sum(F.col("sums")[k]) for k in range(6)])
+    added = added.unionByName(singles.where(F.col("kind") == SUMS)).groupBy("a").agg(*[F.sum(F.col("sums")[k]) for k in range(6)])
     sums = {r["a"]: list(r[1:]) for r in added.collect()}
-    hot_follow = {}
-    if hot:
-        n = F.col("n")
-        sums[2] = [x + y for x, y in zip(sums[2], pairs.agg(*_counted(n)).first(), strict=True)]
-        # One row per hot word.
-        hot_follow = {r[0]: [r[6], r[1], r[2], r[5]] for r in pairs.groupBy("a").agg(*_counted(n)).collect()}
     sums = sums if sums.get(3, [0])[-1] else {}
-    answers = _given(of(REPLY), REPLY, "block", "shard", "blob").unionByName(_given(singles.where(F.col("kind") == WORD), WORD, "block", "shard", "blob"))
-    if hot:
-        wanted = of(ASKED).select("block", "a", "b").distinct()
-        answers = answers.unionByName(_given(wanted.join(pairs, ["a", "b"]), PAIR, "block", "a", "b", "n"))
+    answers = answers.unionByName(_given(singles.where(F.col("kind") == WORD), WORD, "block", "shard", "blob"))
     score = _scorer(shards, word_shards, hot, sums, hot_follow)
     scored = staged_parts(
         [read.where(own).groupBy("block").cogroup(answers.where(own).groupBy("block")).applyInArrow(score, "doc_id long, lang string, perplexity double") for own in waves(WAVES, blocks)],
