@@ -8,12 +8,13 @@ N-grams are dealt to shards by their middle word, where a triple, its context (f
 third word) and all that follows the second word meet. A block sends a shard one message: its distinct triples as numbers of
 the words in them, and how often its trusted texts have them. The shard adds up and answers in the same order. A word
 that would fill a shard by itself is dealt by the word before it too; its pairs are then summed and answered by
-shards of their own, and so are single words. A message holds one n-gram at least, so what moves grows with the distinct n-grams of blocks.
+shards of their own, and so are single words, which blocks ask themselves. A message holds one n-gram at least, so what moves grows with the distinct n-grams of blocks.
+A block that has the counts of its triples knows a part of all other counts, so a reply holds only what these lack.
 A triple is in a message once, however often a text is repeated. A task holds a block or a shard; a shard grows beyond its
 share only with what follows a single pair of words, as that isn't dealt further.
 
-Blocks are read in ``READS`` parts, asked for shards in ``WAVES`` and scored in as many, so only a part of what moves is on
-disk at a time.
+Blocks are read in ``READS`` parts, asked for shards in ``WAVES`` and scored in as many, and asked for single words in
+``WORD_WAVES``, so only a part of what moves is on disk at a time. Waves of frequent words come first, while few replies are there.
 
 Trusted text is learnt from, but for every ``held_out``-th document: limits are quantiles of documents that the model hasn't
 learnt, since those that it has are far likelier to it than any unseen text, however good.
@@ -47,12 +48,14 @@ PER_WORDS = 4
 READS = 3
 #: Parts of the shards, and of the blocks that are scored, one after the other.
 WAVES = 8
+#: Parts of the shards of single words.
+WORD_WAVES = 4
 #: Stands before a text's first word.
 PAD = np.uint64(0x50AD50AD50AD50AD)
 #: A block with its number of words (``n`` null), or a frequent word of it with how often it has that.
 BLOCK = "block long, words long, word long, n long, blob binary, ids array<long>, langs array<string>"
-#: What a shard gives: a reply to a block; how many words precede words or pairs of hot words, or which of these a block
-#: asks for (``block`` null: told, not asked); what follows a hot word; sums of an order.
+#: What a shard gives: a reply to a block; how many words precede words or pairs of hot words (``block`` null: told to
+#: another shard); what follows a hot word; sums of an order.
 REPLY, WORD, PAIR, FOLLOW, SUMS = range(5)
 MESSAGE = "shard long, block long, blob binary"
 COLUMNS = {"block": "long", "shard": "long", "a": "long", "blob": "binary", "sums": "array<long>"}
@@ -104,6 +107,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def unpack_first(blob: bytes) -> np.ndarray:
+    """The first array of ``pack``; the rest isn't decompressed."""
+    with zstandard.ZstdDecompressor().stream_reader(blob) as data:
+        n, width = np.frombuffer(data.read(16), np.int64).tolist()
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(data.read(n * width), np.uint8).reshape(width, n).T
+    return np.cumsum(a.view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 class Grams(NamedTuple):
     """Distinct n-grams of a block by numbers of its words, ordered by second word, then the others."""
 
@@ -212,13 +224,29 @@ def _asker(shards: int, hot: dict[int, int], wave: int):
     return ask
 
 
-def _word_asker(shards: int):
+def _word_asker(shards: int, waves: int, wave: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch["block"].to_pylist(), batch["blob"], strict=True):
-                words = np.sort(unpack(blob.as_py())[0])
+                words = np.sort(unpack_first(blob.as_py()))
                 for s, own in _to_shards(words, shards).items():
-                    yield _messages([s], [block], [pack(words[own])])
+                    if s % waves == wave:
+                        yield _messages([s], [block], [pack(words[own])])
+
+    return ask
+
+
+def _pair_asker(shards: int, hot: dict[int, int]):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch["block"].to_pylist(), batch["blob"], strict=True):
+                words, local, sizes, _ = unpack(blob.as_py())
+                own = np.isin(np.append(words, PAD).view(np.int64), np.asarray(list(hot), np.int64))
+                g, _ = grams_of(words, local, sizes, own)
+                x = np.unique(g.second[g.context] * len(g.words) + g.third)
+                keys = np.sort(_pair_keys(g.words[x // len(g.words)], g.words[x % len(g.words)]))
+                for s, at in _to_shards(keys, shards).items():
+                    yield _messages([s], [block], [pack(keys[at])])
 
     return ask
 
@@ -277,6 +305,20 @@ def _tally(n: np.ndarray, of: np.ndarray, size: int) -> list[np.ndarray]:
     return [np.bincount(of, weights=n, minlength=size).astype(np.int64), *[np.bincount(of[x], minlength=size) for x in (n == 1, n == 2, n > 2)]]
 
 
+def _lacks(tally: list[np.ndarray], n: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    """What ``tally`` of all n-grams has beyond those of a block, which occur ``n`` times; of the sum, what the others don't say."""
+    total, one, two, more = (x - own for x, own in zip(tally, _tally(n, of, len(tally[0])), strict=True))
+    return [total - one - 2 * two - 3 * more, one, two, more]
+
+
+def _fill(lacks: np.ndarray, n: np.ndarray, of: np.ndarray) -> None:
+    """Make the tally of what a block lacks of it, in place."""
+    for k in (1, 2, 3):
+        lacks[0] += k * lacks[k]
+        lacks[k] += np.bincount(of[n > 2 if k == 3 else n == k], minlength=lacks.shape[1])
+    lacks[0] += np.bincount(of, weights=n, minlength=lacks.shape[1]).astype(np.int64)
+
+
 def _sums(n: np.ndarray) -> list[int]:
     """How many n-grams occur once to four times and over twice, and the sum of all."""
     return [*[int((n == k).sum()) for k in (1, 2, 3, 4)], int((n > 2).sum()), int(n.sum())]
@@ -311,14 +353,15 @@ def _answerer(hot: dict[int, int], word_shards: int):
         for block, p in zip(messages["block"].to_pylist(), parts, strict=True):
             mine, of = triple[t : t + len(p[4])], context[c : c + len(p[1])]
             c, t = c + len(of), t + len(mine)
-            _, at = np.unique(np.repeat(p[1], p[3]) * len(p[0]) + p[4], return_index=True)
+            found, at, in_pair = np.unique(np.repeat(p[1], p[3]) * len(p[0]) + p[4], return_index=True, return_inverse=True)
             mine_pairs = pair[mine[at]]
-            seconds = contexts[of[np.unique(p[1], return_index=True)[1]]] // size
-            out.append((REPLY, block, shard, None, pack(np.zeros(0), n[mine], *[x[of] for x in after], before[mine_pairs], *[x[seconds] for x in follow]), None))
-            if hot:
-                x = pairs[mine_pairs[is_hot[pairs[mine_pairs] // size]]]
-                keys = np.sort(_pair_keys(words[x // size], words[x % size]))
-                out += [(PAIR, block, s, None, pack(keys[own_keys]), None) for s, own_keys in _to_shards(keys, word_shards).items()]
+            names, firsts = np.unique(p[1], return_index=True)
+            seconds = contexts[of[firsts]] // size
+            lacks = _lacks([x[of] for x in after], n[mine], np.repeat(np.arange(len(of)), p[3]))
+            # What hot words have before and after them comes from the shards of their pairs.
+            unseen = np.where(is_hot[pairs[mine_pairs] // size], 0, before[mine_pairs] - np.bincount(in_pair[n[mine] > 0], minlength=len(found)))
+            follows = [np.where(is_hot[seconds], 0, x) for x in _lacks([x[seconds] for x in follow], before[mine_pairs], np.searchsorted(names, found // len(p[0])))]
+            out.append((REPLY, block, shard, None, pack(np.zeros(0), n[mine] - p[5], *lacks, unseen, *follows), None))
         out += [(SUMS, None, None, k, None, _sums(x)) for k, x in ((3, n), (2, before[own]))]
         counts = np.bincount(pairs[own] % size, minlength=size)
         there = np.flatnonzero(counts)
@@ -338,19 +381,20 @@ def _given(rows: DataFrame, kind: int, *given: str) -> DataFrame:
     return rows.select(F.lit(kind).alias("kind"), *[(F.col(c) if c in given else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()])
 
 
-def _step(cut: list[float], p: np.ndarray, c: np.ndarray, total: np.ndarray, *times: np.ndarray) -> np.ndarray:
-    """The probability of n-grams that occur ``c`` times, from that of the next lower order and what follows their context."""
+def _step(cut: list[float], p: np.ndarray, c: np.ndarray, of: np.ndarray, total: np.ndarray, *times: np.ndarray) -> np.ndarray:
+    """The probability of n-grams that occur ``c`` times, from that of the next lower order and what follows each context; ``of``: theirs."""
     less = np.where(c == 1, cut[0], np.where(c == 2, cut[1], cut[2]))
     direct = np.where(c > 0, np.maximum(c - less, 0.0), 0.0)
-    rest = sum(d * x for d, x in zip(cut, times, strict=True))
+    rest = sum(d * x for d, x in zip(cut, times, strict=True))[of]
+    total = total[of]
     return np.where(total > 0, (direct + rest * p) / np.maximum(total, 1), p)
 
 
 def _scorer(shards: int, word_shards: int, hot: dict[int, int], sums: dict[int, list[int]], hot_follow: dict[int, list[int]]):
     cuts = {k: discounts(t[:4]) for k, t in sums.items()}
 
-    def chances(g: Grams, answers: pa.Table) -> np.ndarray:
-        """The probability of each distinct triple of a block."""
+    def chances(g: Grams, own: np.ndarray, answers: pa.Table) -> np.ndarray:
+        """The probability of each distinct triple of a block, whose trusted texts have it ``own`` times."""
         kind = np.asarray(answers["kind"])
         found = {k: answers.filter(pa.array(kind == k)) for k in (REPLY, WORD, PAIR)}
         order = np.argsort(g.words[:-1])
@@ -365,34 +409,42 @@ def _scorer(shards: int, word_shards: int, hot: dict[int, int], sums: dict[int,
             c, t = contexts[s], triples[s]
             n[t], before[np.unique(pair[t])] = reply[0], reply[5]
             after[:, c], follow[:, np.unique(g.second[c])] = reply[1:5], reply[6:]
+        del shard, contexts, triples
+        n += own
+        _fill(after, n, g.context)
+        before += np.bincount(pair[n > 0], minlength=len(pairs))
+        _fill(follow, before, pairs // size)
         if hot:
             # PAD is no word of the block, but may stand second.
             names = {w: k for k, w in enumerate(g.words.view(np.int64).tolist()) if w in hot}
             for w, k in names.items():
                 before[pairs // size == k] = 0
                 follow[:, k] = hot_follow.get(w, [0] * 4)
-            own = np.flatnonzero(np.isin(pairs // size, list(names.values())))
-            keys = _pair_keys(g.words[pairs[own] // size], g.words[pairs[own] % size])
-            own = own[np.argsort(keys)]
+            of_hot = np.flatnonzero(np.isin(pairs // size, list(names.values())))
+            keys = _pair_keys(g.words[pairs[of_hot] // size], g.words[pairs[of_hot] % size])
+            of_hot = of_hot[np.argsort(keys)]
             keys.sort()
             for blob in found[PAIR]["blob"].to_pylist():
                 given, counts = unpack(blob)
-                before[own[np.searchsorted(keys, given)]] = counts
+                before[of_hot[np.searchsorted(keys, given)]] = counts
         dealt = _to_shards(g.words[order], word_shards)
         for s, blob in zip(found[WORD]["shard"].to_pylist(), found[WORD]["blob"].to_pylist(), strict=True):
             single[order[dealt[s]]] = unpack(blob)[1]
         first = sums[1]
         seen = first[0] + first[1] + first[4]
-        p = _step(cuts[1], np.full(size, 1 / (seen + 1)), single, np.full(size, first[5]), first[0], first[1], first[4])
-        p = _step(cuts[2], p[pairs % size], before, *follow[:, pairs // size])
-        return _step(cuts[3], p[pair], n, *after[:, g.context])
+        p = _step(cuts[1], np.full(size, 1 / (seen + 1)), single, np.zeros(size, np.int64), *np.asarray([[first[k]] for k in (5, 0, 1, 4)]))
+        p = _step(cuts[2], p[pairs % size], before, pairs // size, *follow)
+        del follow, before
+        return _step(cuts[3], p[pair], n, g.context, *after)
 
     def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         ids, langs, scores = [], [], [np.zeros(0)]
         for row in blocks.select(["blob", "ids", "langs"]).to_pylist():
-            words, local, sizes, _ = unpack(row["blob"])
+            words, local, sizes, good = unpack(row["blob"])
             g, _ = grams_of(words, local, sizes)
-            logs = np.log(chances(g, answers))[g.at] if sums and len(local) else np.zeros(len(local))
+            del words, local
+            own = np.bincount(g.at[np.repeat(good > 0, sizes)], minlength=len(g.third))
+            logs = np.log(chances(g, own, answers))[g.at] if sums and len(g.at) else np.zeros(len(g.at))
             total = np.concatenate(([0.0], np.cumsum(logs)))
             ends = np.cumsum(sizes)
             scores.append(np.exp(-(total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)))
@@ -444,7 +496,10 @@ def score_quality(
     # Words with more than a shard's share: fewer than there are shards.
     hot = {r["word"]: int(2 * r["n"] // share) for r in kept.where("n IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > share).collect()} if shards > 1 else {}
     texts = read.select("block", "blob")
-    asked = [texts.mapInArrow(_asker(shards, hot, k), MESSAGE) for k in range(min(WAVES, shards))]
+    weights = np.zeros(min(WAVES, shards))
+    for w, n_parts in hot.items():
+        weights[int(mix(np.asarray([w]).view(np.uint64))[0] % np.uint64(len(weights)))] += n_parts
+    asked = [texts.mapInArrow(_asker(shards, hot, int(k)), MESSAGE) for k in np.argsort(-weights, kind="stable")]
     replies = staged_parts([a.groupBy("shard").applyInArrow(_answerer(hot, word_shards), ANSWER) for a in asked], "kneser-ney-replies")
     of = lambda kind: replies.where(F.col("kind") == kind)
     message = lambda rows: rows.select("shard", "block", "blob")
@@ -452,13 +507,15 @@ def score_quality(
     added, answers = of(SUMS), _given(of(REPLY), REPLY, "block", "shard", "blob")
     hot_follow = {}
     if hot:
-        pairs = staged(message(of(PAIR)).groupBy("shard").applyInArrow(_pair_answerer(word_shards), ANSWER), "kneser-ney-pairs", tidy=True)
+        pair_messages = message(of(PAIR)).unionByName(texts.mapInArrow(_pair_asker(word_shards, hot), MESSAGE))
+        pairs = staged(pair_messages.groupBy("shard").applyInArrow(_pair_answerer(word_shards), ANSWER), "kneser-ney-pairs", tidy=True)
         told, added = told.unionByName(message(pairs.where(F.col("kind") == WORD))), added.unionByName(pairs.where(F.col("kind") == SUMS))
         answers = answers.unionByName(_given(pairs.where(F.col("kind") == PAIR), PAIR, "block", "blob"))
         # One row per hot word.
         hot_follow = {r["a"]: list(r[1:]) for r in pairs.where(F.col("kind") == FOLLOW).groupBy("a").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).collect()}
-    told = told.unionByName(texts.mapInArrow(_word_asker(word_shards), MESSAGE))
-    singles = staged(told.groupBy("shard").applyInArrow(_answer_words, ANSWER), "kneser-ney-words", tidy=True)
+    word_waves = min(WORD_WAVES, word_shards)
+    to_words = [told.where(F.pmod("shard", F.lit(word_waves)) == k).unionByName(texts.mapInArrow(_word_asker(word_shards, word_waves, k), MESSAGE)) for k in range(word_waves)]
+    singles = staged_parts([m.groupBy("shard").applyInArrow(_answer_words, ANSWER) for m in to_words], "kneser-ney-words")
     added = added.unionByName(singles.where(F.col("kind") == SUMS)).groupBy("a").agg(*[F.sum(F.col("sums")[k]) for k in range(6)])
     sums = {r["a"]: list(r[1:]) for r in added.collect()}
     sums = sums if sums.get(3, [0])[-1] else {}

@@ -100,6 +100,20 @@ def test_word_model_writes_less_than_its_text(spark):
     assert written <= docs.agg({"n_chars": "sum"}).first()[0]
 
 
+def test_replies_hold_only_what_a_block_lacks(spark):
+    """Texts that share no triple: blocks know all counts of their own, so replies are much smaller than their text."""
+    folder = shared_dir(spark).removeprefix("file:")
+    seen = set(glob.glob(f"{folder}/kneser-ney-replies-*"))
+    docs = make(spark, [(i, words(2000, 3000)) for i in range(150)]).persist()
+    trusted = spark.range(0, 150, 2).withColumnRenamed("id", "doc_id")
+    assert word_quality.score_quality(docs, trusted, block_bytes=500_000, shard_bytes=500_000, held_out=0).count() == 150
+    (path,) = set(glob.glob(f"{folder}/kneser-ney-replies-*")) - seen
+    replies = spark.read.parquet(path)
+    size = lambda kind: replies.where(f"kind = {kind} AND block IS NOT NULL").selectExpr("coalesce(sum(length(blob)), 0)").first()[0]
+    n_bytes = docs.agg({"n_chars": "sum"}).first()[0]
+    assert size(word_quality.REPLY) <= 0.05 * n_bytes and size(word_quality.PAIR) == 0
+
+
 def test_packed_integers_are_read_back():
     rng = np.random.default_rng(5)
     hashes = rng.integers(0, 2**64, 1000, np.uint64)
