@@ -7,11 +7,13 @@ the ranges: these are what is broadcast back to the parts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cuecorpus.checkpoints import ensure_checkpoints
+from cuecorpus.checkpoints import ensure_checkpoints, tidied
 
 _ROWS = "_rows"
 
@@ -27,6 +29,7 @@ def scan(
     last: dict[str, Column] | None = None,
     next: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``df`` with columns over the rows of a ``key`` in ascending ``order`` (nulls first), which must be a total one.
 
@@ -34,7 +37,8 @@ def scan(
     ``totals`` those over the key; ``last`` are the last values up to the row that aren't null, ``next`` the first ones from
     the row on, ``previous`` the values of the row before, null or not. Keys aren't null; sums are of longs, nulls count as 0.
 
-    The rows are checkpointed once, as parts must stay as they are while what they hand on is worked out.
+    The rows are checkpointed once, or written by ``keep`` and read back, as parts must stay as they are while what they hand
+    on is worked out.
     """
     ensure_checkpoints(df.sparkSession)
     sums, totals, last, next, previous = sums or {}, totals or {}, last or {}, next or {}, previous or {}
@@ -42,7 +46,9 @@ def scan(
     given = df.withColumns(
         {f"_s_{k}": number(c) for k, c in sums.items()} | {f"_t_{k}": number(c) for k, c in totals.items()} | {f"_l_{k}": c for k, c in last.items()} | {f"_n_{k}": c for k, c in next.items()} | {f"_p_{k}": c for k, c in previous.items()}
     )
-    parts = given.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = given.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id())
+    with tidied(df.sparkSession):
+        parts = keep(ranged) if keep else ranged.checkpoint()
 
     place = F.struct(*order)
     known = lambda c: F.when(F.col(c).isNotNull(), place)

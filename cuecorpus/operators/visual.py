@@ -100,21 +100,21 @@ def attach_visual_results(responses: DataFrame, batches: DataFrame) -> DataFrame
     object with a list of frames, or misses a frame or a frame's description.
     """
     parsed = responses.withColumn("_bare", t.unfenced(F.col("content"))).withColumn("_v", t.json_in(F.col("_bare")))
-    items = F.try_variant_get("_v", "$.frames", "array<variant>")
-    listed = parsed.select("video_id", "batch", items.alias("_items"))
-    exploded = listed.select("video_id", "batch", F.posexplode("_items").alias("_pos", "_i"))
-    exploded = exploded.withColumn("index", F.try_variant_get("_i", "$.index", "int")).where("index IS NOT NULL")
-    last = W.partitionBy("video_id", "batch", "index").orderBy(F.desc("_pos"))
-    one = exploded.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("video_id", "batch", "index", "_i")
-    rows = batches.join(listed.select("video_id", "batch", F.col("_items").isNotNull().alias("_list")), ["video_id", "batch"], "left").join(one, ["video_id", "batch", "index"], "left")
-    field = lambda k: F.coalesce(t.text_field(F.col("_i"), f"$.{k}"), F.lit(""))
-    level = F.lower(field("importance"))
+    field = lambda x, k: F.coalesce(t.text_field(x, f"$.{k}"), F.lit(""))
+    # Answers are whole texts: what is kept of an item is cut where the answer is read, before anything is dealt.
+    item = lambda x: F.struct(
+        F.try_variant_get(x, "$.index", "int").alias("index"), t.rstrip(t.cut(field(x, "description"), 160)).alias("d"), t.rstrip(t.cut(field(x, "visible_text"), 320)).alias("t"),
+        F.lower(field(x, "importance")).alias("level"), field(x, "uncertainty").alias("uncertainty"),
+    )
+    read = parsed.select("video_id", "batch", F.transform(F.try_variant_get("_v", "$.frames", "array<variant>"), item).alias("_items"))
+    rows = batches.join(read, ["video_id", "batch"], "left").withColumn("_i", F.try_element_at(F.filter("_items", lambda x: x["index"] == F.col("index")), F.lit(-1)))
+    level = F.col("_i.level")
     rows = rows.select(
-        "video_id", "batch", "index", "path", "timestamp", "source", "_list",
-        F.col("_i").isNull().alias("_gone"), field("description").alias("_d"), field("visible_text").alias("_t"),
-        F.when(level.isin("high", "medium", "low"), level).otherwise("medium").alias("importance"), field("uncertainty").alias("uncertainty"),
+        "video_id", "batch", "index", "path", "timestamp", "source", F.col("_items").isNotNull().alias("_list"),
+        F.col("_i").isNull().alias("_gone"), F.col("_i.d").alias("_d"), F.col("_i.t").alias("_t"),
+        F.when(level.isin("high", "medium", "low"), level).otherwise("medium").alias("importance"), F.coalesce("_i.uncertainty", F.lit("")).alias("uncertainty"),
     )
-    fault = F.when(~F.coalesce("_list", F.lit(False)), "no_frames").when(F.col("_gone"), "missing_item").when(F.col("_d") == "", "missing_description")
+    fault = F.when(~F.col("_list"), "no_frames").when(F.col("_gone"), "missing_item").when(F.col("_d") == "", "missing_description")
     rows = rows.withColumn("_fault", fault)
     own = W.partitionBy("video_id", "batch")
     rows = rows.withColumn("error", F.min_by("_fault", F.when(F.col("_fault").isNotNull(), F.col("index"))).over(own))
@@ -124,7 +124,7 @@ def attach_visual_results(responses: DataFrame, batches: DataFrame) -> DataFrame
         F.when(good, F.round("timestamp", 3)).alias("timestamp_seconds"),
         F.when(good, t.format_timestamp(F.col("timestamp"))).alias("timestamp"),
         F.when(good, F.col("path")).alias("image"), F.when(good, F.col("source")).alias("frame_source"),
-        F.when(good, t.rstrip(t.cut(F.col("_d"), 160))).alias("description"), F.when(good, t.rstrip(t.cut(F.col("_t"), 320))).alias("visible_text"),
+        F.when(good, F.col("_d")).alias("description"), F.when(good, F.col("_t")).alias("visible_text"),
         F.when(good, F.col("importance")).alias("importance"), F.when(good, F.col("uncertainty")).alias("uncertainty"),
     )
 

@@ -113,8 +113,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_frames(spark, sf_dir).select("video_id", "path", "timestamp", "source", "hash_value")
 
 
-def v_shown(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """What a model says of each frame, in whole texts; ``most`` cuts descriptions before they meet their frames."""
+def v_shown(spark: SparkSession, sf_dir: str, most: int | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """What a model says of each frame, in whole texts; ``most`` cuts descriptions before they meet their frames.
+
+    ``frames`` are those of ``v_frames`` to tell of; what columns they have beside stay.
+    """
     docs = table(spark, sf_dir, "documents")
     n = _n(docs, "doc_id")
     line = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit(""))
@@ -122,8 +125,14 @@ def v_shown(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFr
     d = docs.select(F.col("doc_id"), said.alias("description"), line.alias("_second"))
     lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     cue = v_cues(spark, sf_dir).select("video_id", F.col("seq").alias("_seq"), F.col("text").alias("_said"))
-    f = v_frames(spark, sf_dir).withColumns({"doc_id": F.col("event_id") % n, "_seq": F.col("event_id") % 8})
-    rows = f.join(d, "doc_id").join(lab, "doc_id", "left").join(cue, ["video_id", "_seq"], "left")
+    f = v_frames(spark, sf_dir) if frames is None else frames
+    beside = [c for c in f.columns if c not in ("video_id", "path", "timestamp", "source", "event_id", "event_type", "hash_value")]
+    f = f.withColumns({"doc_id": F.col("event_id") % n, "_seq": F.col("event_id") % 8})
+    if most is None:
+        # Whole texts come last, so that they aren't dealt again.
+        rows = f.join(cue, ["video_id", "_seq"], "left").join(d, "doc_id").join(lab, "doc_id", "left")
+    else:
+        rows = f.join(d, "doc_id").join(lab, "doc_id", "left").join(cue, ["video_id", "_seq"], "left")
     e = F.col("event_id")
     shown = F.concat_ws(
         "\n",
@@ -144,6 +153,7 @@ def v_shown(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFr
         F.when(F.col("toxic") == 1, "low").when(F.col("quality") == 1, "high").otherwise("medium").alias("importance"),
         F.when(e % 9 == 0, "unsure").otherwise("").alias("uncertainty"),
         "event_id",
+        *beside,
     )
 
 
@@ -281,12 +291,19 @@ def v_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["v_modes"] = "SELECT doc_id AS video_id, doc_id % 4 < 2 AS with_vision, doc_id % 4 <> 3 AS with_summary FROM documents"
 
 
-def v_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers for batches of four frames: plain, fenced, in prose, with an index as text, with an item missing."""
-    v = v_shown(spark, sf_dir)
+def v_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in batches of four."""
     from cuecorpus.operators.visual import assign_batches
 
-    b = assign_batches(v.select("video_id", F.col("image").alias("path"), F.col("timestamp_seconds").alias("timestamp"), F.col("frame_source").alias("source"), "description", "visible_text", "importance", "uncertainty"), 4)
+    return assign_batches(v_frames(spark, sf_dir).drop("hash_value"), 4)
+
+
+def v_answers(spark: SparkSession, sf_dir: str, batches: DataFrame | None = None) -> DataFrame:
+    """Model answers for batches of four frames: plain, fenced, in prose, with an index as text, with an item missing.
+
+    ``batches`` are those of ``v_batches`` to answer. Frames are numbered before the texts said of them are met.
+    """
+    b = v_shown(spark, sf_dir, frames=v_batches(spark, sf_dir) if batches is None else batches)
     shape = F.col("batch") % 5
     index = F.when((shape == 3) & (F.col("index") == 2), F.to_json(F.struct(F.col("index").cast("string").alias("i")))).otherwise(F.to_json(F.struct(F.col("index").alias("i"))))
     text = F.when(shape == 4, F.to_json(F.struct(F.split("visible_text", "\n").alias("v")))).otherwise(F.to_json(F.struct(F.col("visible_text").alias("v"))))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from cuecorpus.checkpoints import in_waves
 from cuecorpus.functions import text as t
 from cuecorpus.operators import keyframes, timeline, visual
 from cuecorpus.plans import fixtures as v
 from cuecorpus.plans.registry import query
 
 join = lambda c: F.array_join(c, "|")
+#: Bytes of text that the answers of a wave hold, about.
+ANSWER_BYTES = 1_000_000_000
 
 
 @query("""SELECT video_id, CASE WHEN ok THEN round(greatest(5.0, duration / (4 * b)), 3) ELSE 5.0 END::DOUBLE AS scan_interval, CASE WHEN ok THEN round(least(45.0, greatest(15.0, duration / greatest(b - 1, 1))), 3) ELSE 45.0 END::DOUBLE AS max_gap,
@@ -182,8 +187,15 @@ SELECT video_id, CAST(batch AS INTEGER) AS batch, CASE WHEN error IS NULL THEN C
   CASE WHEN error IS NULL THEN importance END AS importance, CASE WHEN error IS NULL THEN uncertainty END AS uncertainty
 FROM j WHERE error IS NULL OR index = 1""")
 def attach_visual_results(spark, d):
-    b = visual.assign_batches(v.frames(spark, d), 4)
-    return visual.attach_visual_results(v.v_answers(spark, d), b).select("video_id", "batch", "index", "error", "image", "timestamp", "description", "visible_text", "importance", "uncertainty")
+    """Answers hold whole texts, many times what the tables hold, so they are made and read in waves of videos."""
+    b = v.v_batches(spark, d)
+    said = v.table(spark, d, "documents").agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    waves = max(1, math.ceil(b.count() * said / ANSWER_BYTES))
+
+    def read(mine, _):
+        return visual.attach_visual_results(v.v_answers(spark, d, mine(b)), mine(b)).select("video_id", "batch", "index", "error", "image", "timestamp", "description", "visible_text", "importance", "uncertainty")
+
+    return in_waves(spark, waves, read)
 
 
 _LINES = r"""lines AS (SELECT video_id, image, timestamp_seconds, pos, line, replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), 'ß', 'ss') AS norm FROM (SELECT video_id, image, timestamp_seconds, unnest(x) AS line, generate_subscripts(x, 1) AS pos
