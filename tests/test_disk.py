@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from cuecorpus.operators import visual
 from cuecorpus.plans import frame_queries
 from cuecorpus.plans.queries import ORACLES, QUERIES
 from tests.test_queries import SF, plain
@@ -41,3 +42,14 @@ def test_answers_in_waves(spark, db, monkeypatch):
     assert len(got.inputFiles()) > 2
     assert kept(spark) - before < text / 4  # no answer is kept whole
     same_as_sql(db, "attach_visual_results", got)
+
+
+def test_new_lines_in_waves(spark, db, monkeypatch):
+    QUERIES["frame_batches"](spark, SF)
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(top))
+    monkeypatch.setattr(visual, "WAVE_BYTES", 100_000, raising=False)
+    got = QUERIES["new_screen_lines"](spark, SF)
+    assert len(set(os.listdir(top)) - before) == 1  # the results; frames and what the waves kept are gone
+    assert len(got.inputFiles()) > 2
+    same_as_sql(db, "new_screen_lines", got)
