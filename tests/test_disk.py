@@ -53,3 +53,15 @@ def test_new_lines_in_waves(spark, db, monkeypatch):
     assert len(set(os.listdir(top)) - before) == 1  # the results; frames and what the waves kept are gone
     assert len(got.inputFiles()) > 2
     same_as_sql(db, "new_screen_lines", got)
+
+
+@pytest.mark.parametrize("name", ["compact_visual", "timeline_budgeted"])
+def test_compaction_in_waves(spark, monkeypatch, name):
+    QUERIES["frame_batches"](spark, SF)
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    want = sorted(map(repr, QUERIES[name](spark, SF).collect()))
+    before = set(os.listdir(top))
+    monkeypatch.setattr(visual, "WAVE_BYTES", 200_000, raising=False)
+    got = QUERIES[name](spark, SF)
+    assert len(set(os.listdir(top)) - before) == 1
+    assert sorted(map(repr, got.collect())) == want
